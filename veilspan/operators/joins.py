@@ -44,3 +44,17 @@ def buckets_of(lo: Column, hi: Column, width: int | float) -> Column:
 
 def bucket_of(point: Column, width: int | float) -> Column:
     return F.floor(point / F.lit(width)).cast("long")
+
+
+def join_within(left: DataFrame, right: DataFrame, on: list[str], inside: Column) -> DataFrame:
+    """Left join on equal ``on`` columns where ``inside`` holds.
+
+    ``inside`` is part of the join condition: left rows that meet no right row for
+    which it holds come out once, with nulls.
+    """
+    for name in on:
+        right = right.withColumnRenamed(name, f"__right_{name}")
+    condition = inside
+    for name in on:
+        condition = condition & (F.col(name) == F.col(f"__right_{name}"))
+    return left.join(right, condition, "left").drop(*[f"__right_{n}" for n in on])

@@ -100,14 +100,17 @@ def cover_expr(spans: Column, text: Column) -> Column:
     )
 
 
-def greedy_expr(spans: Column) -> Column:
+def greedy_expr(spans: Column, span_type: str = SPAN_TYPE) -> Column:
     """Keep the better of two overlapping spans, in order of start.
 
     A span that overlaps the last kept one replaces it if it scores higher and is
     dropped otherwise. Kept spans never overlap, but a dropped span may leave
     characters uncovered: a form for reports, not for masking.
     """
-    keyed_type = f"struct<start:int,neg_score:double,end:int,entity_type:string,pattern:string,span:{SPAN_TYPE}>"
+    keyed_type = (
+        "struct<start:int,neg_score:double,end:int,entity_type:string,pattern:string,"
+        f"span:{span_type}>"
+    )
 
     def keyed(s: Column) -> Column:
         get = s.getField

@@ -85,19 +85,22 @@ def fold_emit(
             ),
         )
 
+    def one_short_run(xs: Column) -> Column:
+        return F.aggregate(
+            xs, F.struct(state.alias("state"), empty_array(emit_type).alias("out")), advance
+        )
+
     return let(
         items,
-        lambda xs: F.when(F.size(xs) > 0, all_runs(xs)).otherwise(
-            F.struct(state.alias("state"), empty_array(emit_type).alias("out"))
-        ),
+        lambda xs: F.when(F.size(xs) <= RUN_LENGTH, one_short_run(xs)).otherwise(all_runs(xs)),
     )
 
 
 def running_starts(lengths: Column) -> Column:
     """Exclusive prefix sums of an ``array<int>``: where each piece starts."""
-    return fold_emit(
-        lengths,
-        F.lit(0),
-        lambda total, n: (total + n, F.array(total)),
-        "int",
-    ).getField("out")
+
+    def sums(ns: Column) -> Column:
+        folded = fold_emit(ns, F.lit(0), lambda total, n: (total + n, F.array(total)), "int")
+        return F.when(F.size(ns) == 1, F.array(F.lit(0))).otherwise(folded.getField("out"))
+
+    return let(lengths, sums)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +21,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def literal_array(values: Sequence[str | float]) -> Column:
+    """A constant array, built in one call however long it is."""
+
+    def literal(value: str | float) -> str:
+        if isinstance(value, str):
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"{float(value)!r}D"
+
+    return F.expr("array(" + ", ".join(literal(v) for v in values) + ")")
+
+
 def empty_array(element_type: str) -> Column:
     return F.array().cast(f"array<{element_type}>")
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import empty_array, let, running_starts
+from .arrays import let, literal_array, running_starts
 
 
 def slice_text(text: Column, start: Column, end: Column) -> Column:
@@ -51,13 +51,12 @@ def find_matches(
     """
     regexes = [portable_regex(p) for p in patterns]
     guards = list(guards) if guards is not None else [None] * len(regexes)
-    regex_of = F.array(*[F.lit(r) for r in regexes])
+    regex_of = literal_array(regexes)
+    whole = F.lit(0)
 
     def values_of(number: int) -> Column:
-        found = F.regexp_extract_all(text, F.lit(regexes[number]), F.lit(0))
-        if guards[number] is not None:
-            found = F.when(guards[number], found).otherwise(empty_array("string"))
-        return F.struct(F.lit(number).alias("rule"), found.alias("values"))
+        found = F.regexp_extract_all(text, F.lit(regexes[number]), whole)
+        return found if guards[number] is None else F.when(guards[number], found)
 
     def place(hit: Column) -> Column:
         rule, values = hit.getField("rule"), hit.getField("values")
@@ -79,10 +78,11 @@ def find_matches(
             ),
         )
 
-    hits = F.filter(
+    numbered = F.transform(
         F.array(*[values_of(n) for n in range(len(regexes))]),
-        lambda h: F.size(h.getField("values")) > 0,
+        lambda values, n: F.struct(n.alias("rule"), values.alias("values")),
     )
+    hits = F.filter(numbered, lambda h: F.size(h.getField("values")) > 0)
     return F.flatten(F.transform(hits, place))
 
 

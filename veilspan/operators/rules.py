@@ -23,8 +23,9 @@ class Rule:
     ``validator`` turns a matched value into a boolean Column; a hit that fails
     is dropped, a hit that passes gets score 1.0. ``trigger`` is a fixed string
     and ``trigger_regex`` a cheap pattern that any text with a hit must contain:
-    texts without it skip the rule. ``trim`` is a pattern cut off the end of a
-    match.
+    texts without it skip the rule. ``lead`` is a cheap pattern that every match
+    starts with: places without it skip the rule. ``trim`` is a pattern cut off the
+    end of a match.
     """
 
     entity_type: str
@@ -37,8 +38,13 @@ class Rule:
     trigger: str | None = None
     trigger_regex: str | None = None
     trim: str | None = None
+    lead: str | None = None
     recognizer: str = "pattern"
 
+    @property
+    def search_regex(self) -> str:
+        return f"(?={self.lead}){self.regex}" if self.lead else self.regex
+
     def __post_init__(self) -> None:
         check_not_empty(self.regex)
         if not self.entity_type or not self.name:
@@ -64,7 +70,11 @@ _TRIGGER_REGEXES = {
     "mobile_special_format": "[0-9]{4}",
     "cjk_domain": r"[぀-ヿ㐀-䶿一-鿿]\.",
     "ip_address_url": r"[0-9]\.[0-9]",
+    "car_plate_pattern": "[一-鿿][A-Z]",
+    "new_energy_car_plate": "[一-鿿][A-Z]",
 }
+# A range is one comparison, a long list of characters is one per character.
+_LEADS = {"car_plate_pattern": "[一-鿿][A-Z]", "new_energy_car_plate": "[一-鿿][A-Z]"}
 _TRIGGER_REGEX_BY_TYPE = {"BANK_CARD": "[0-9]{4}", "ID_CARD": "[0-9]{4}"}
 # A number ends at its last digit, whatever separators the pattern ran over.
 _TRIM_BY_TYPE = {
@@ -97,6 +107,7 @@ def builtin_rules(as_of: dt.date | None = None, validate: bool = True) -> list[R
             trigger=_TRIGGERS.get(name),
             trigger_regex=_TRIGGER_REGEXES.get(name, _TRIGGER_REGEX_BY_TYPE.get(entity_type)),
             trim=_TRIM_BY_TYPE.get(entity_type),
+            lead=_LEADS.get(name),
         )
         for entity_type, name, regex, score in RULE_TABLE
     ]

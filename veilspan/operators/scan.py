@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import empty_array, let
+from ..functions.arrays import empty_array, let, literal_array
 from ..functions.text import contains_any, find_matches, slice_text
 from .rules import DEFAULT_LANGUAGE, DEFAULT_THRESHOLD, Rule
 
@@ -37,23 +37,25 @@ def scan_expr(text: Column, rules: Sequence[Rule]) -> Column:
     guard_regexes = list(dict.fromkeys(r.trigger_regex for r in rules if r.trigger_regex))
     guard_strings = list(dict.fromkeys(r.trigger for r in rules if r.trigger))
     # Rules that share a guard test it once between them.
-    flags = F.struct(
-        F.lit(True).alias("always"),
-        *[F.contains(text, F.lit(g)).alias(f"s{i}") for i, g in enumerate(guard_strings)],
-        *[text.rlike(g).alias(f"r{i}") for i, g in enumerate(guard_regexes)],
+    flags = F.array(
+        *[F.contains(text, F.lit(g)) for g in guard_strings],
+        *[text.rlike(g) for g in guard_regexes],
     )
 
-    def guard(rule: Rule, flag: Column) -> Column:
-        on = flag.getField("always")
+    def guard(rule: Rule, flag: Column) -> Column | None:
+        on = None
         if rule.trigger:
-            on = flag.getField(f"s{guard_strings.index(rule.trigger)}")
+            on = flag[guard_strings.index(rule.trigger)]
         if rule.trigger_regex:
-            on = on & flag.getField(f"r{guard_regexes.index(rule.trigger_regex)}")
+            more = flag[len(guard_strings) + guard_regexes.index(rule.trigger_regex)]
+            on = more if on is None else on & more
         return on
 
     found = let(
         flags,
-        lambda f: find_matches(text, [r.regex for r in rules], [guard(r, f) for r in rules]),
+        lambda f: find_matches(
+            text, [r.search_regex for r in rules], [guard(r, f) for r in rules]
+        ),
     )
 
     trims = _numbers_by(rules, lambda r: r.trim)
@@ -80,7 +82,9 @@ def scan_expr(text: Column, rules: Sequence[Rule]) -> Column:
         return verdict
 
     def column_of(values: list, number: Column) -> Column:
-        return F.array(*[F.lit(v) for v in values])[number]
+        if len(set(values)) == 1:
+            return F.lit(values[0])
+        return literal_array(values)[number]
 
     def to_span(m: Column) -> Column:
         number = m.getField("rule")

@@ -217,4 +217,6 @@ def language_or_default(lang: Column, default: str = DEFAULT_LANGUAGE) -> Column
 
 def entity_list(csv: Column) -> Column:
     """``"A, B,,C"`` as an array of trimmed, non-blank names."""
-    return F.filter(F.transform(F.split(csv, ","), F.trim), lambda x: x != "")
+    return F.filter(
+        F.transform(F.split(csv, ","), lambda x: F.trim(x)), lambda x: x != ""
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Arrays are folded in runs of this many elements, so that the appends inside
 # a fold copy short runs only and the cost stays near linear in the array.
-RUN_LENGTH = 256
+RUN_LENGTH = 32
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -75,10 +75,9 @@ def fold_emit(
         )
 
     def all_runs(xs: Column) -> Column:
-        last_run = F.floor((F.size(xs) - 1) / RUN_LENGTH).cast("int")
         runs = F.transform(
-            F.sequence(F.lit(0), last_run),
-            lambda b: F.slice(xs, b * RUN_LENGTH + 1, F.lit(RUN_LENGTH)),
+            F.sequence(F.lit(1), F.size(xs), F.lit(RUN_LENGTH)),
+            lambda first: F.slice(xs, first, F.lit(RUN_LENGTH)),
         )
         folded = F.aggregate(
             runs,
@@ -110,8 +109,37 @@ def fold_emit(
 def running_starts(lengths: Column) -> Column:
     """Exclusive prefix sums of an ``array<int>``: where each piece starts."""
 
-    def sums(ns: Column) -> Column:
-        folded = fold_emit(ns, F.lit(0), lambda total, n: (total + n, F.array(total)), "int")
-        return F.when(F.size(ns) == 1, F.array(F.lit(0))).otherwise(folded.getField("out"))
+    def one_run(total: Column, run: Column) -> Column:
+        return F.aggregate(
+            run,
+            F.struct(total.alias("total"), empty_array("int").alias("out")),
+            lambda acc, n: F.struct(
+                (acc.getField("total") + n).alias("total"),
+                F.concat(acc.getField("out"), F.array(acc.getField("total"))).alias("out"),
+            ),
+        )
 
-    return let(lengths, sums)
+    def all_runs(ns: Column) -> Column:
+        runs = F.transform(
+            F.sequence(F.lit(1), F.size(ns), F.lit(RUN_LENGTH)),
+            lambda first: F.slice(ns, first, F.lit(RUN_LENGTH)),
+        )
+        folded = F.aggregate(
+            runs,
+            F.struct(F.lit(0).alias("total"), F.array().cast("array<array<int>>").alias("runs")),
+            lambda acc, run: let(
+                one_run(acc.getField("total"), run),
+                lambda r: F.struct(
+                    r.getField("total").alias("total"),
+                    F.concat(acc.getField("runs"), F.array(r.getField("out"))).alias("runs"),
+                ),
+            ),
+        )
+        return F.flatten(folded.getField("runs"))
+
+    return let(
+        lengths,
+        lambda ns: F.when(F.size(ns) == 1, F.array(F.lit(0)))
+        .when(F.size(ns) <= RUN_LENGTH, one_run(F.lit(0), ns).getField("out"))
+        .otherwise(all_runs(ns)),
+    )

@@ -13,31 +13,38 @@ PLACE = ["word_no", "text", "left", "top", "width", "height", "conf"]
 
 
 def page_text(df: DataFrame, words_col: str = "words") -> DataFrame:
-    """Add ``text`` (words joined by one space) and the words' ``c0``/``c1`` offsets in it."""
+    """Add ``text``: the words of a page joined by one space."""
+    return df.withColumn(
+        "text", F.array_join(F.transform(words_col, lambda w: w.getField("text")), " ")
+    )
 
-    def place(words: Column) -> Column:
-        starts = running_starts(F.transform(words, lambda w: F.length(w.getField("text")) + 1))
-        return let(
-            starts,
-            lambda at: F.transform(
-                words,
-                lambda w, i: F.struct(
-                    w.alias("box"),
-                    at[i].alias("c0"),
-                    (at[i] + F.length(w.getField("text"))).alias("c1"),
-                ),
+
+def _placed(words: Column) -> Column:
+    starts = running_starts(F.transform(words, lambda w: F.length(w.getField("text")) + 1))
+    return let(
+        starts,
+        lambda at: F.transform(
+            words,
+            lambda w, i: F.struct(
+                w.alias("box"),
+                at[i].alias("c0"),
+                (at[i] + F.length(w.getField("text"))).alias("c1"),
             ),
-        )
+        ),
+    )
 
-    return df.withColumn(
-        "text", F.array_join(F.transform(words_col, lambda w: w.getField("text")), " ")
-    ).withColumn(words_col, let(F.col(words_col), place))
 
+def explode_words(
+    df: DataFrame, *keys: str, words_col: str = "words", spans_col: str | None = None
+) -> DataFrame:
+    """One row per word with its offsets in the page text.
 
-def explode_words(df: DataFrame, *keys: str, words_col: str = "words") -> DataFrame:
-    return df.select(
-        *keys, F.inline(F.filter(words_col, lambda w: w.isNotNull()))
-    ).select(*keys, "box.*", "c0", "c1")
+    With ``spans_col``, pages without spans are left out before words are laid out.
+    """
+    words = F.col(words_col)
+    if spans_col is not None:
+        words = F.when(F.size(spans_col) > 0, words)
+    return df.select(*keys, F.inline(let(words, _placed))).select(*keys, "box.*", "c0", "c1")
 
 
 def covered_boxes(

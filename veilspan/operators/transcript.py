@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import empty_array, fold_emit, let, running_starts
 from .joins import bucket_of, buckets_of, join_within
 
-WORD_TYPE = "struct<c0:int,c1:int,word:string,t0:double,t1:double>"
+WORD_TYPE = "struct<c0:int,c1:int,word_no:int,word:string,t0:double,t1:double>"
 CHAR_BUCKET = 512
 TIME_BUCKET = 60.0
 SAMPLE_RATE = 22_050
@@ -45,9 +45,12 @@ def flatten_words(df: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _interval(c0: Column, c1: Column, word: Column, t0: Column, t1: Column) -> Column:
+def _interval(
+    c0: Column, c1: Column, word_no: Column, word: Column, t0: Column, t1: Column
+) -> Column:
     return F.struct(
-        c0.alias("c0"), c1.alias("c1"), word.alias("word"), t0.alias("t0"), t1.alias("t1")
+        c0.alias("c0"), c1.alias("c1"), word_no.alias("word_no"), word.alias("word"),
+        t0.alias("t0"), t1.alias("t1"),
     ).cast(WORD_TYPE)
 
 
@@ -62,42 +65,55 @@ def segment_intervals_expr(
     missing, the segment's times hold for the whole segment, and no word is
     named.
     """
-    whole = F.array(_interval(F.lit(0), F.length(text), F.lit(None), seg_start, seg_end))
-    no_word = F.lit(None).cast("string")
-
-    def step(state: Column, w: Column) -> tuple[Column, Column]:
-        pos = state.getField("pos")
-        at = F.call_function("locate", w.getField("word"), text, pos + 1) - 1
-        end = at + F.length(w.getField("word"))
-        found = (at >= 0) & (F.length(w.getField("word")) > 0)
-        gap = _interval(pos, at, no_word, w.getField("start"), w.getField("start"))
-        here = _interval(at, end, w.getField("word"), w.getField("start"), w.getField("end"))
-        nxt = F.struct(end.alias("pos"), w.getField("end").cast("double").alias("time"))
+    nothing = F.lit(None)
+    whole = F.array(_interval(F.lit(0), F.length(text), nothing, nothing, seg_start, seg_end))
+    # The rest of the text is carried along: locating a word from an offset would
+    # walk through the text from its beginning every time.
+    start = F.struct(
+        F.lit(0).alias("pos"), text.alias("rest"), F.lit(None).cast("double").alias("time")
+    )
+    numbered = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("no")))
+
+    def step(state: Column, item: Column) -> tuple[Column, Column]:
+        w, pos = item.getField("w"), state.getField("pos")
+        skip = F.instr(state.getField("rest"), w.getField("word")) - 1
+        size = F.length(w.getField("word"))
+        found = (skip >= 0) & (size > 0)
+        at = pos + skip
+        gap = _interval(pos, at, nothing, nothing, w.getField("start"), w.getField("start"))
+        here = _interval(
+            at, at + size, item.getField("no"), w.getField("word"),
+            w.getField("start"), w.getField("end"),
+        )
+        nxt = F.struct(
+            (at + size).alias("pos"),
+            F.substr(state.getField("rest"), skip + size + 1).alias("rest"),
+            w.getField("end").cast("double").alias("time"),
+        )
         return (
             F.when(found, nxt).otherwise(state),
             F.when(~found, empty_array(WORD_TYPE))
-            .when(at > pos, F.array(gap, here))
+            .when(skip > 0, F.array(gap, here))
             .otherwise(F.array(here)),
         )
 
-    start = F.struct(F.lit(0).alias("pos"), F.lit(None).cast("double").alias("time"))
-
     def with_tail(r: Column) -> Column:
         state = r.getField("state")
         tail = _interval(
-            state.getField("pos"), F.length(text), no_word,
+            state.getField("pos"), F.length(text), nothing, nothing,
             state.getField("time"), state.getField("time"),
         )
-        return F.when(F.size(r.getField("out")) == 0, whole).otherwise(
-            F.when(
+        return (
+            F.when(F.size(r.getField("out")) == 0, whole)
+            .when(
                 state.getField("pos") < F.length(text), F.concat(r.getField("out"), F.array(tail))
-            ).otherwise(r.getField("out"))
+            )
+            .otherwise(r.getField("out"))
         )
 
-    timed = F.size(words) > 0
-    timed = timed & F.forall(words, lambda w: w.getField("start").isNotNull())
+    timed = (F.size(words) > 0) & F.forall(words, lambda w: w.getField("start").isNotNull())
     return F.when(
-        F.coalesce(timed, F.lit(False)), let(fold_emit(words, start, step, WORD_TYPE), with_tail)
+        F.coalesce(timed, F.lit(False)), let(fold_emit(numbered, start, step, WORD_TYPE), with_tail)
     ).otherwise(whole)
 
 
@@ -126,14 +142,15 @@ def word_intervals(df: DataFrame, *keys: str) -> DataFrame:
                                     _interval(
                                         F.length(s.getField("text")),
                                         F.length(s.getField("text")) + 1,
-                                        F.lit(None), s.getField("end"), s.getField("end"),
+                                        F.lit(None), F.lit(None),
+                                        s.getField("end"), s.getField("end"),
                                     )
                                 ),
                             ).otherwise(empty_array(WORD_TYPE)),
                         ),
                         lambda w: _interval(
                             w.getField("c0") + at[i], w.getField("c1") + at[i],
-                            w.getField("word"), w.getField("t0"), w.getField("t1"),
+                            w.getField("word_no"), w.getField("word"), w.getField("t0"), w.getField("t1"),
                         ),
                     ),
                 )
@@ -227,9 +244,9 @@ def span_speakers(
         joined.groupBy(*keys, "bucket", *span_keys)
         .agg(
             *[F.first(c).alias(c) for c in rest],
-            F.min(F.when(inside, F.struct("turn_start", "speaker_id"))).alias("turn"),
+            F.min(F.struct("turn_start", "speaker_id")).alias("__turn"),
         )
-        .select(*spans.columns, F.col("turn.speaker_id").alias("speaker_id"))
+        .select(*spans.columns, F.col("__turn.speaker_id").alias("speaker_id"))
     )
 
 

@@ -1 +1,312 @@
-"""To come."""
+"""Transcripts, speakers, cut lists, word boxes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ...operators import boxes, metrics
+from ...operators import transcript as tr
+from ...operators.resolve import resolve
+from ...operators.scan import explode_spans, scan
+from ...sources.readers import read_table
+from . import sqltext as q
+from .detection import all_checked, strict
+from .inputs import SPEECH_RULES, SPEECH_SQL, WORD, documents, speaker_turns, turn_segments
+from .registry import query
+
+KEYS = ["conv_id", "turn"]
+SPAN_KEYS = ["turn", "start", "end", "entity_type", "pattern"]
+
+
+@query("transcript_words", q.with_query(
+    [SPEECH_SQL], "SELECT conv_id, turn, word_no, word, c0, CAST(c0 + length(word) AS INTEGER) AS c1, "
+    "round(t0, 6) AS t0, round(t1, 6) AS t1 FROM words"))
+def transcript_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every turn located in its text."""
+    placed = tr.word_intervals(turn_segments(spark, sf_dir), *KEYS).filter("word IS NOT NULL")
+    return placed.select(
+        *KEYS, "word_no", "word", "c0", "c1",
+        F.round("t0", 6).alias("t0"), F.round("t1", 6).alias("t1"),
+    )
+
+
+TEXTS = "texts AS (SELECT conv_id, turn, text FROM turns)"
+HITS = [SPEECH_SQL, TEXTS, q.hits("h", "texts", SPEECH_RULES, "conv_id, turn")]
+TIMES = [
+    *HITS,
+    """ends AS (
+  SELECT h.conv_id, h.turn, h.entity_type, h.pattern, h."start", h."end", h.value,
+    arg_min(w.t0, w.c0) FILTER (w.c0 + length(w.word) > h."start") AS a_t0,
+    min(w.c0) FILTER (w.c0 + length(w.word) > h."start") AS a_c0,
+    arg_min(w.t1, w.c0) FILTER (w.c0 + length(w.word) > h."start") AS a_t1,
+    arg_min(w.word, w.c0) FILTER (w.c0 + length(w.word) > h."start") AS a_word,
+    arg_min(w.t1, w.c0) FILTER (w.c0 + length(w.word) > h."end" - 1) AS b_t1,
+    min(w.c0) FILTER (w.c0 + length(w.word) > h."end" - 1) AS b_c0
+  FROM h JOIN words w ON w.conv_id = h.conv_id AND w.turn = h.turn GROUP BY ALL
+),
+timed AS (
+  SELECT conv_id, turn, entity_type, pattern, "start", "end", value,
+    a_t0 AS plain_start, b_t1 AS plain_end,
+    CASE WHEN a_c0 = b_c0 AND "start" >= a_c0
+      THEN a_t0 + ("start" - a_c0) * ((a_t1 - a_t0) / length(a_word)) ELSE a_t0 END AS start_time,
+    CASE WHEN a_c0 = b_c0 AND "start" >= a_c0
+      THEN a_t0 + ("end" - a_c0) * ((a_t1 - a_t0) / length(a_word)) ELSE b_t1 END AS end_time
+  FROM ends
+)""",
+]
+
+
+def timed_spans(spark: SparkSession, sf_dir: str, interpolate: bool = True) -> DataFrame:
+    turns = turn_segments(spark, sf_dir)
+    spans = explode_spans(scan(turns, SPEECH_RULES), *KEYS).select(
+        *KEYS, "entity_type", "pattern", "start", "end", "value"
+    )
+    return tr.span_times(
+        spans, tr.word_intervals(turns, *KEYS), KEYS, interpolate=interpolate
+    )
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(
+        *KEYS, "entity_type", "pattern", "start", "end", "value",
+        F.round("start_time", 6).alias("start_time"), F.round("end_time", 6).alias("end_time"),
+    )
+
+
+@query("span_to_time", q.with_query(
+    TIMES, 'SELECT conv_id, turn, entity_type, pattern, "start", "end", value, '
+    "round(plain_start, 6) AS start_time, round(plain_end, 6) AS end_time FROM timed"))
+def span_to_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(timed_spans(spark, sf_dir, interpolate=False))
+
+
+@query("span_interp_time", q.with_query(
+    TIMES, 'SELECT conv_id, turn, entity_type, pattern, "start", "end", value, '
+    "round(start_time, 6) AS start_time, round(end_time, 6) AS end_time FROM timed"))
+def span_interp_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(timed_spans(spark, sf_dir))
+
+
+MIN_TURN = 15.0
+SPEAKERS = [
+    *TIMES,
+    f"long_turns AS (SELECT * FROM speaker_turns WHERE end_time - start_time >= {MIN_TURN})",
+    """spoken AS (
+  SELECT t.conv_id, t.turn, t.entity_type, t.pattern, t."start", t."end", t.start_time, t.end_time,
+    arg_min(s.speaker_id, s.start_time) AS speaker_id
+  FROM timed t LEFT JOIN long_turns s ON s.conv_id = t.conv_id
+    AND (t.start_time + t.end_time) / 2 BETWEEN s.start_time AND s.end_time
+  GROUP BY ALL
+)""",
+]
+
+
+def spoken_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = tr.clean_turns(speaker_turns(spark, sf_dir).drop("turn"), MIN_TURN)
+    return tr.span_speakers(timed_spans(spark, sf_dir), turns, ["conv_id"], SPAN_KEYS)
+
+
+@query("span_to_speaker", q.with_query(
+    SPEAKERS, 'SELECT conv_id, turn, entity_type, pattern, "start", "end", speaker_id FROM spoken'))
+def span_to_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speakers come from turns of some length only: spans in short turns may have none."""
+    return spoken_spans(spark, sf_dir).select(*KEYS, "entity_type", "pattern", "start", "end", "speaker_id")
+
+
+@query("spans_by_speaker", q.with_query(
+    SPEAKERS, """SELECT conv_id, coalesce(speaker_id, 'unknown') AS speaker_id, entity_type,
+      count(*) AS n, round(min(start_time), 6) AS first_time, round(max(end_time), 6) AS last_time
+    FROM spoken GROUP BY ALL"""))
+def spans_by_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.by_speaker(spoken_spans(spark, sf_dir)).groupBy(
+        "conv_id", "speaker_id", "entity_type"
+    ).agg(
+        F.count("*").alias("n"),
+        F.round(F.min("start_time"), 6).alias("first_time"),
+        F.round(F.max("end_time"), 6).alias("last_time"),
+    )
+
+
+@query("turn_cleanup", q.with_query(
+    SPEAKERS, "SELECT conv_id, turn, speaker_id, round(start_time, 6) AS start_time, "
+    "round(end_time, 6) AS end_time FROM long_turns"))
+def turn_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.clean_turns(speaker_turns(spark, sf_dir), MIN_TURN).select(
+        *KEYS, "speaker_id",
+        F.round("start_time", 6).alias("start_time"), F.round("end_time", 6).alias("end_time"),
+    )
+
+
+@query("speaker_stats", q.with_query(
+    [SPEECH_SQL], """SELECT conv_id, speaker_id, count(*) AS n_turns,
+      round(sum(end_time - start_time), 4) AS speaking_time FROM speaker_turns GROUP BY ALL"""))
+def speaker_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = tr.speaker_stats(speaker_turns(spark, sf_dir), "conv_id")
+    return stats.withColumn("speaking_time", F.round("speaking_time", 4))
+
+
+@query("recording_stats", q.with_query(
+    [SPEECH_SQL], """SELECT conv_id, count(DISTINCT speaker_id) AS speaker_count,
+      round(max(end_time), 6) AS total_duration FROM speaker_turns GROUP BY conv_id"""))
+def recording_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = tr.recording_stats(speaker_turns(spark, sf_dir), "conv_id")
+    return stats.withColumn("total_duration", F.round("total_duration", 6))
+
+
+@query("speaker_timeline", q.with_query(
+    [SPEECH_SQL], """SELECT conv_id, speaker_id, round(start_time, 6) AS start_time,
+      round(end_time, 6) AS end_time FROM speaker_turns ORDER BY ALL"""))
+def speaker_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rounded = speaker_turns(spark, sf_dir).select(
+        "conv_id", "speaker_id",
+        F.round("start_time", 6).alias("start_time"), F.round("end_time", 6).alias("end_time"),
+    )
+    return tr.speaker_timeline(rounded, "conv_id")
+
+
+@query("overlapped_speech", q.with_query(
+    [SPEECH_SQL,
+     "marks AS (SELECT conv_id, start_time AS t FROM speaker_turns UNION SELECT conv_id, end_time FROM speaker_turns)",
+     "pieces AS (SELECT conv_id, t AS a, lead(t) OVER (PARTITION BY conv_id ORDER BY t) AS b FROM marks)",
+     """talk AS (SELECT p.conv_id, a, b, count(DISTINCT s.speaker_id) AS k FROM pieces p
+       JOIN speaker_turns s ON s.conv_id = p.conv_id AND s.start_time <= p.a AND s.end_time >= p.b
+       WHERE b IS NOT NULL GROUP BY ALL)"""],
+    """SELECT conv_id, round(coalesce(sum(b - a) FILTER (k >= 2), 0), 4) AS overlap_time
+    FROM talk GROUP BY conv_id"""))
+def overlapped_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = tr.overlapped_speech(speaker_turns(spark, sf_dir), "conv_id")
+    return both.withColumn("overlap_time", F.round("overlap_time", 4))
+
+
+# --- cut lists: recordings stop at 100 s, spans after that fall away ----------------
+
+SAMPLES = 100 * tr.SAMPLE_RATE
+BEEPS = [
+    *TIMES,
+    f"""beeps AS (SELECT * FROM (SELECT conv_id, turn, entity_type, pattern, "start", "end",
+    greatest(0, CAST(trunc(round(start_time, 9) * {tr.SAMPLE_RATE}) AS BIGINT)) AS start_sample,
+    least({SAMPLES}, CAST(trunc(round(end_time, 9) * {tr.SAMPLE_RATE}) AS BIGINT)) AS end_sample FROM timed)
+    WHERE start_sample < end_sample)""",
+]
+
+
+def _beeps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Interpolated times differ in the last bit between engines: settle them first.
+    timed = timed_spans(spark, sf_dir).withColumns(
+        {
+            "start_time": F.round("start_time", 9),
+            "end_time": F.round("end_time", 9),
+            "n_samples": F.lit(SAMPLES),
+        }
+    )
+    return tr.beep_edits(timed)
+
+
+@query("beep_edit_list", q.with_query(
+    BEEPS, 'SELECT conv_id, turn, entity_type, pattern, "start", "end", start_sample, end_sample FROM beeps'))
+def beep_edit_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _beeps(spark, sf_dir).select(
+        *KEYS, "entity_type", "pattern", "start", "end", "start_sample", "end_sample"
+    )
+
+
+@query("beep_islands", q.with_query(
+    [*BEEPS,
+     """reached AS (SELECT *, max(end_sample) OVER (PARTITION BY conv_id ORDER BY start_sample, end_sample
+       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM beeps)""",
+     """numbered AS (SELECT *, sum(CASE WHEN start_sample <= reach THEN 0 ELSE 1 END) OVER (
+       PARTITION BY conv_id ORDER BY start_sample, end_sample ROWS UNBOUNDED PRECEDING) AS island FROM reached)"""],
+    """SELECT conv_id, min(start_sample) AS start_sample, max(end_sample) AS end_sample, count(*) AS n
+    FROM numbered GROUP BY conv_id, island"""))
+def beep_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Short stretches, so that some islands do cross a border.
+    return tr.beep_islands(_beeps(spark, sf_dir), "conv_id", seconds=5)
+
+
+# --- clips for voice data -----------------------------------------------------------
+
+
+@query("segment_qc", q.with_query(
+    [SPEECH_SQL,
+     "scored AS (SELECT conv_id, turn, avg((length(word) % 10) / CAST(10 AS DOUBLE)) AS confidence FROM words GROUP BY ALL)",
+     """clips AS (SELECT s.conv_id, s.turn, s.speaker_id, replace(t.text, '...', '') AS text, k.confidence,
+       CAST(trunc(greatest(0, CASE WHEN s.turn = 0 THEN s.start_time ELSE s.start_time - CAST(0.08 AS DOUBLE) END) * 1000) AS BIGINT) AS from_ms,
+       CAST(trunc(s.end_time * 1000) AS BIGINT) + 80 AS to_ms
+       FROM speaker_turns s JOIN turns t USING (conv_id, turn) JOIN scored k USING (conv_id, turn))"""],
+    """SELECT conv_id, turn, from_ms, to_ms, round(confidence, 6) AS confidence,
+      (to_ms - from_ms > 1500 AND to_ms - from_ms < 20000 AND length(text) >= 2 AND length(text) < 200) AS keep
+    FROM clips"""))
+def segment_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segs = turn_segments(spark, sf_dir).select(
+        *KEYS, F.col("turn").alias("seg_no"), "text", F.col("segments")[0].alias("seg")
+    )
+    flat = segs.select(
+        *KEYS, "seg_no", "text",
+        F.col("seg.start").alias("start"), F.col("seg.end").alias("end"),
+        F.transform("seg.words", lambda w: w.getField("score")).alias("word_scores"),
+    )
+    return tr.segment_quality(flat).select(
+        *KEYS, "from_ms", "to_ms", F.round("confidence", 6).alias("confidence"), "keep"
+    )
+
+
+@query("resplit_equal", q.with_query(
+    [SPEECH_SQL,
+     "long AS (SELECT conv_id, turn, end_time - start_time AS d, CAST(round_even((end_time - start_time) / 10, 0) AS INTEGER) AS n FROM speaker_turns)",
+     "parts AS (SELECT conv_id, turn, d, n, UNNEST(range(0, n)) AS part_no FROM long WHERE n > 0)"],
+    """SELECT conv_id, turn, CAST(part_no AS INTEGER) AS part_no, round(part_no * (d / n), 6) AS start_time,
+      round(CASE WHEN part_no = n - 1 THEN d ELSE (part_no + 1) * (d / n) END, 6) AS end_time FROM parts"""))
+def resplit_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = speaker_turns(spark, sf_dir).select(
+        *KEYS, (F.col("end_time") - F.col("start_time")).alias("duration")
+    )
+    return tr.resplit_equal(lengths, *KEYS).select(
+        *KEYS, "part_no",
+        F.round("start_time", 6).alias("start_time"), F.round("end_time", 6).alias("end_time"),
+    )
+
+
+@query("transcript_stats", q.with_query(
+    [SPEECH_SQL], """SELECT conv_id, round(sum(end_time - start_time), 4) AS total_duration,
+      count(*) AS n_segments, CAST(sum(n_chars) AS BIGINT) AS n_chars, 'unknown' AS language
+    FROM speaker_turns GROUP BY conv_id"""))
+def transcript_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segs = read_table(spark, f"{sf_dir}/conversations.parquet", *KEYS, "text")
+    turns = speaker_turns(spark, sf_dir).drop("n_chars").join(segs, KEYS)
+    report = metrics.transcript_report(
+        turns.withColumn("language", F.lit(None).cast("string")), "conv_id"
+    )
+    return report.withColumn("total_duration", F.round("total_duration", 4))
+
+
+# --- word boxes: documents as pages with ten words to a line --------------------------
+
+BOX_SQL = """
+tokens AS (SELECT doc_id, regexp_extract_all(text, '[^ \\n]+') AS ws FROM documents),
+pages0 AS (SELECT doc_id, array_to_string(ws, ' ') AS text, ws FROM tokens),
+word_each AS (SELECT doc_id, UNNEST(range(1, len(ws) + 1)) AS i, ws FROM pages0),
+boxes AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS word_no, ws[i] AS word,
+  CAST(coalesce(list_sum([length(w) + 1 for w in ws[1:i-1]]), 0) AS INTEGER) AS c0 FROM word_each)"""
+
+
+@query("ocr_boxes", q.with_query(
+    [BOX_SQL, *all_checked("pages0"), q.covered("v", "d")],
+    """SELECT v.doc_id, v.entity_type, v."start", v."end", b.word_no,
+      CAST((b.word_no % 10) * 100 AS INTEGER) AS "left", CAST((b.word_no // 10) * 20 AS INTEGER) AS top,
+      CAST(length(b.word) * 8 AS INTEGER) AS width, 16 AS height
+    FROM v JOIN boxes b ON b.doc_id = v.doc_id AND b.c0 < v."end" AND b.c0 + length(b.word) > v."start" """))
+def ocr_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.transform(
+        F.regexp_extract_all("text", F.lit(WORD), F.lit(0)),
+        lambda w, i: F.struct(
+            i.alias("word_no"), w.alias("text"),
+            ((i % 10) * 100).alias("left"), (F.floor(i / 10).cast("int") * 20).alias("top"),
+            (F.length(w) * 8).alias("width"), F.lit(16).alias("height"), F.lit(0.9).alias("conf"),
+        ),
+    )
+    pages = boxes.page_text(documents(spark, sf_dir).select("doc_id", words.alias("words")))
+    found = resolve(scan(pages, strict()), "cover")
+    spans = explode_spans(found, "doc_id")
+    laid_out = boxes.explode_words(found, "doc_id", spans_col="spans")
+    return boxes.covered_boxes(spans, laid_out, ["doc_id"])

@@ -101,25 +101,21 @@ def cover_expr(spans: Column, text: Column) -> Column:
 
 
 def greedy_expr(spans: Column, span_type: str = SPAN_TYPE) -> Column:
-    """Keep the better of two overlapping spans, in order of start.
+    """Keep the better of two overlapping spans, in order of start, score and array place.
 
     A span that overlaps the last kept one replaces it if it scores higher and is
     dropped otherwise. Kept spans never overlap, but a dropped span may leave
     characters uncovered: a form for reports, not for masking.
     """
-    keyed_type = (
-        "struct<start:int,neg_score:double,end:int,entity_type:string,pattern:string,"
-        f"span:{span_type}>"
-    )
+    keyed_type = f"struct<start:int,neg_score:double,place:int,end:int,span:{span_type}>"
 
-    def keyed(s: Column) -> Column:
+    def keyed(s: Column, place: Column) -> Column:
         get = s.getField
         return F.struct(
             get("start").alias("start"),
             (-get("score")).alias("neg_score"),
+            place.alias("place"),
             get("end").alias("end"),
-            get("entity_type").alias("entity_type"),
-            get("pattern").alias("pattern"),
             s.alias("span"),
         ).cast(keyed_type)
 

@@ -287,8 +287,7 @@ def overlap_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GREEDY_SQL = """
 g_no AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id
-    ORDER BY "start", score DESC, "end", entity_type, pattern) AS i FROM g_in
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "start", score DESC, place) AS i FROM g_in
 ),
 g_walk AS (
   SELECT doc_id, i, i AS kept, "end" AS kept_end, score AS kept_score, TRUE AS apart
@@ -311,7 +310,9 @@ g_out AS (
 
 
 @query("overlap_greedy", q.with_query(
-    [q.hits("h", "documents", RAW), q.deduped("g_in", "h"), GREEDY_SQL],
+    [q.hits("h", "documents", RAW), q.deduped("d", "h"),
+     """g_in AS (SELECT *, row_number() OVER (PARTITION BY doc_id
+       ORDER BY "start", "end", entity_type, pattern) AS place FROM d)""", GREEDY_SQL],
     f"SELECT {CHECKED_SQL} FROM g_out", recursive=True))
 def overlap_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resolve(scan(documents(spark, sf_dir), RAW), "greedy")

@@ -79,7 +79,7 @@ def pii_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GOLD_SQL = """
-gold AS (SELECT doc_id, CASE WHEN ("start" + doc_id) % 11 = 0 THEN 'OTHER' ELSE entity_type END
+gold AS (SELECT DISTINCT doc_id, CASE WHEN ("start" + doc_id) % 11 = 0 THEN 'OTHER' ELSE entity_type END
   AS entity_type, "start", "end" FROM d WHERE ("start" + doc_id) % 10 <> 0),
 pred AS (SELECT doc_id, entity_type, "start", "end" FROM d),
 pairs AS (SELECT coalesce(p.entity_type, g.entity_type) AS entity_type,

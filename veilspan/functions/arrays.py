@@ -36,22 +36,26 @@ def empty_array(element_type: str) -> Column:
     return F.array().cast(f"array<{element_type}>")
 
 
+def step_result(state: Column, out: Column) -> Column:
+    return F.struct(state.alias("state"), out.alias("out"))
+
+
 def fold_emit(
     items: Column,
     state: Column,
-    step: Callable[[Column, Column], tuple[Column, Column]],
+    step: Callable[[Column, Column], Column],
     emit_type: str,
 ) -> Column:
     """Run a sequential recurrence over an array and keep what it emits.
 
-    ``step(state, item)`` gives ``(next_state, emitted)``, ``emitted`` being an
-    array of ``emit_type``. The result is ``struct(state, out)``.
+    ``step(state, item)`` gives ``struct(state, out)``: the next state and an array
+    of what is emitted, of ``emit_type``. So does the whole: the last state and
+    all that was emitted.
     """
 
     def advance(acc: Column, item: Column) -> Column:
-        nxt, emitted = step(acc.getField("state"), item)
         return let(
-            F.struct(nxt.alias("state"), emitted.alias("out")),
+            step(acc.getField("state"), item),
             lambda r: F.struct(
                 r.getField("state").alias("state"),
                 F.when(F.size(r.getField("out")) == 0, acc.getField("out"))

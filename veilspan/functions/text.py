@@ -11,13 +11,21 @@ from pyspark.sql import functions as F
 from .arrays import let, literal_array, running_starts
 
 
+# White space of every script, as stripped off the ends of texts.
+EDGE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def slice_text(text: Column, start: Column, end: Column) -> Column:
     """``text[start:end]``."""
     return F.substring(text, start + 1, end - start)
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | ~text.rlike(r"\S")
+    return text.isNull() | (F.length(strip(text)) == 0)
+
+
+def strip(text: Column) -> Column:
+    return F.trim(text, F.lit(EDGE_SPACE))
 
 
 def portable_regex(pattern: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import empty_array, fold_emit, let
+from ..functions.arrays import empty_array, fold_emit, let, step_result
 from ..functions.text import slice_text
 from .scan import SPAN_TYPE, with_fields
 
@@ -68,14 +68,14 @@ def cover_expr(spans: Column, text: Column) -> Column:
             ).alias("best"),
         ).cast(_ISLAND_TYPE)
 
-    def step(current: Column, nxt: Column) -> tuple[Column, Column]:
+    def step(current: Column, nxt: Column) -> Column:
         apart = current.isNull() | (nxt.getField("lo") >= current.getField("hi"))
         joined = F.struct(
             current.getField("lo").alias("lo"),
             F.greatest(current.getField("hi"), nxt.getField("hi")).alias("hi"),
             F.least(current.getField("best"), nxt.getField("best")).alias("best"),
         )
-        return (
+        return step_result(
             F.when(apart, nxt).otherwise(joined),
             F.when(apart & current.isNotNull(), F.array(current)).otherwise(
                 empty_array(_ISLAND_TYPE)
@@ -119,10 +119,10 @@ def greedy_expr(spans: Column, span_type: str = SPAN_TYPE) -> Column:
             s.alias("span"),
         ).cast(keyed_type)
 
-    def step(last: Column, nxt: Column) -> tuple[Column, Column]:
+    def step(last: Column, nxt: Column) -> Column:
         apart = last.isNull() | (nxt.getField("start") >= last.getField("end"))
         better = nxt.getField("neg_score") < last.getField("neg_score")
-        return (
+        return step_result(
             F.when(apart | better, nxt).otherwise(last),
             F.when(apart & last.isNotNull(), F.array(last)).otherwise(empty_array(keyed_type)),
         )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import empty_array, let
-from ..functions.text import slice_text
+from ..functions.text import slice_text, strip
 from .resolve import greedy_expr
 from .scan import SPAN_TYPE
 
@@ -36,12 +36,6 @@ FOUND_TYPE = (
 GROUNDED_TYPE = SPAN_TYPE[:-1] + ",is_inferred:boolean,notes:string,metadata:string,repair:string>"
 METHODS = ("json", "relaxed_json", "lines", "table")
 
-_EDGE_SPACE = r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+\z"
-
-
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, _EDGE_SPACE, "")
-
 
 # --- cleaning and the four formats ----------------------------------------------
 

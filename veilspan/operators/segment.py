@@ -8,8 +8,8 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import empty_array, fold_emit, let, running_starts
-from ..functions.text import is_blank, portable_regex, slice_text
+from ..functions.arrays import empty_array, fold_emit, let, running_starts, step_result
+from ..functions.text import EDGE_SPACE, is_blank, portable_regex
 from .resolve import dedupe_expr
 from .rules import Rule
 from .scan import scan_expr, with_fields
@@ -26,7 +26,7 @@ def _segment(start: Column, text: Column) -> Column:
 
 
 def _not_blank(segment: Column) -> Column:
-    return ~is_blank(segment.getField("text"))
+    return F.length(F.trim(segment.getField("text"), F.lit(EDGE_SPACE))) > 0
 
 
 def _placed(pieces: Column) -> Column:
@@ -55,13 +55,14 @@ def sentences_expr(
     text: Column, min_length: int | None = None, max_length: int | None = None
 ) -> Column:
     """Cut after every end mark; what follows the last mark is a sentence too."""
-    pattern = f"[^{SENTENCE_MARKS}]*[{SENTENCE_MARKS}]|[^{SENTENCE_MARKS}]+"
-    pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return _length_between(F.filter(_placed(pieces), _not_blank), min_length, max_length)
+    # Cutting at look-behinds is several times faster than matching runs of
+    # characters that are not marks: long negated lists are slow per character.
+    pieces = F.filter(F.split(text, f"(?<=[{SENTENCE_MARKS}])", -1), lambda p: p != "")
+    return _length_between(_placed(pieces), min_length, max_length)
 
 
 def pattern_parts_expr(text: Column, pattern: str) -> Column:
-    """The parts of ``text`` between matches of ``pattern``, blank parts left out."""
+    """The parts of ``text`` between matches of ``pattern``."""
     regex = portable_regex(pattern)
 
     def placed(p: Column) -> Column:
@@ -77,7 +78,7 @@ def pattern_parts_expr(text: Column, pattern: str) -> Column:
         F.split(text, regex, -1).alias("parts"),
         F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("marks"),
     )
-    return F.filter(let(both, placed), _not_blank)
+    return let(both, placed)
 
 
 def paragraphs_expr(
@@ -96,8 +97,7 @@ def windows_expr(text: Column, size: int = 500, overlap: int = 50) -> Column:
     _check_window(size, overlap)
     last = F.greatest(F.length(text) - F.lit(overlap + 1), F.lit(0))
     starts = F.sequence(F.lit(0), last, F.lit(size - overlap))
-    cut = F.transform(starts, lambda s: _segment(s, F.substring(text, s + 1, F.lit(size))))
-    return F.filter(cut, _not_blank)
+    return F.transform(starts, lambda s: _segment(s, F.substring(text, s + 1, F.lit(size))))
 
 
 def word_windows_expr(text: Column, size: int = 500, overlap: int = 50) -> Column:
@@ -110,21 +110,26 @@ def word_windows_expr(text: Column, size: int = 500, overlap: int = 50) -> Colum
     length = F.length(text)
     done = F.lit(-1)
 
-    def step(pos: Column, _: Column) -> tuple[Column, Column]:
-        window = F.substring(text, pos + 1, F.lit(size))
-        room = F.length(F.regexp_extract(window, f"(?s)^(.*){WHITE_SPACE}", 1))
-        is_last = pos + size >= length
-        end = (
-            F.when(is_last, length)
-            .when(room > overlap, pos + room)
-            .otherwise(pos + F.lit(size))
-        )
-        nxt = F.when(is_last, done).otherwise(end - overlap)
-        return (
-            F.when(pos < 0, pos).otherwise(nxt),
-            F.when(pos < 0, empty_array(SEGMENT_TYPE)).otherwise(
-                F.array(_segment(pos, slice_text(text, pos, end)))
-            ),
+    def step(pos: Column, _: Column) -> Column:
+        def cut(window: Column) -> Column:
+            is_last = pos + size >= length
+            room = F.when(is_last, F.length(window)).otherwise(
+                F.length(F.regexp_extract(window, f"(?s)^(.*){WHITE_SPACE}", 1))
+            )
+            taken = let(
+                room,
+                lambda r: F.when(is_last | (r > overlap), r).otherwise(F.lit(size)),
+            )
+            return let(
+                taken,
+                lambda n: step_result(
+                    F.when(is_last, done).otherwise(pos + n - overlap),
+                    F.array(_segment(pos, F.substring(window, F.lit(1), n))),
+                ),
+            )
+
+        return F.when(pos < 0, step_result(pos, empty_array(SEGMENT_TYPE))).otherwise(
+            let(F.substring(text, pos + 1, F.lit(size)), cut)
         )
 
     def run(rounds: Column, pos: Column) -> Column:
@@ -140,7 +145,7 @@ def word_windows_expr(text: Column, size: int = 500, overlap: int = 50) -> Colum
             F.concat(first.getField("out"), more.getField("out"))
         )
 
-    return F.filter(let(run(usual, F.lit(0)), finish), _not_blank)
+    return let(run(usual, F.lit(0)), finish)
 
 
 def _check_window(size: int, overlap: int) -> None:
@@ -161,20 +166,17 @@ def trim_expr(
     segments: Column, strip: bool = True, min_length: int = 1, max_length: int = 10_000
 ) -> Column:
     """Drop blank segments, strip white space (offsets follow), keep lengths in range."""
-    kept = F.filter(segments, _not_blank)
-    if strip:
+    if not strip:
+        return _length_between(F.filter(segments, _not_blank), min_length, max_length)
 
-        def stripped(s: Column) -> Column:
-            lead = F.length(s.getField("text")) - F.length(
-                F.regexp_replace(s.getField("text"), f"^{WHITE_SPACE}+", "")
-            )
-            bare = F.regexp_replace(
-                s.getField("text"), f"^{WHITE_SPACE}+|{WHITE_SPACE}+\\z", ""
-            )
-            return _segment(s.getField("start") + lead, bare)
+    def stripped(s: Column) -> Column:
+        lead = F.length(s.getField("text")) - F.length(F.ltrim(s.getField("text"), edge))
+        return let(
+            F.trim(s.getField("text"), edge), lambda bare: _segment(s.getField("start") + lead, bare)
+        )
 
-        kept = F.transform(kept, stripped)
-    return _length_between(kept, min_length, max_length)
+    edge = F.lit(EDGE_SPACE)
+    return _length_between(F.transform(segments, stripped), max(min_length, 1), max_length)
 
 
 def segment(
@@ -197,8 +199,7 @@ def segment(
         cut = whole_expr(text)
     else:
         cut = sentences_expr(text, **options)
-    if post_process:
-        cut = trim_expr(cut)
+    cut = trim_expr(cut) if post_process else F.filter(cut, _not_blank)
     return df.withColumn(
         "segments", F.when(is_blank(text), empty_array(SEGMENT_TYPE)).otherwise(cut)
     )
@@ -210,7 +211,10 @@ def explode_segments(df: DataFrame, *keys: str) -> DataFrame:
         "segments",
         lambda s, i: F.struct(
             i.alias("seg_no"),
-            F.format_string("seg_%04d", i).alias("segment_id"),
+            F.concat(
+                F.lit("seg_"),
+                F.lpad(i.cast("string"), F.greatest(F.length(i.cast("string")), F.lit(4)), F.lit("0")),
+            ).alias("segment_id"),
             s.getField("start").alias("start"),
             s.getField("end").alias("end"),
             s.getField("text").alias("text"),

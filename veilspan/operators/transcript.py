@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import empty_array, fold_emit, let, running_starts
+from ..functions.arrays import empty_array, fold_emit, let, running_starts, step_result
 from .joins import bucket_of, buckets_of, join_within
 
 WORD_TYPE = "struct<c0:int,c1:int,word_no:int,word:string,t0:double,t1:double>"
@@ -74,28 +74,28 @@ def segment_intervals_expr(
     )
     numbered = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("no")))
 
-    def step(state: Column, item: Column) -> tuple[Column, Column]:
+    def step(state: Column, item: Column) -> Column:
         w, pos = item.getField("w"), state.getField("pos")
-        skip = F.instr(state.getField("rest"), w.getField("word")) - 1
         size = F.length(w.getField("word"))
-        found = (skip >= 0) & (size > 0)
-        at = pos + skip
-        gap = _interval(pos, at, nothing, nothing, w.getField("start"), w.getField("start"))
-        here = _interval(
-            at, at + size, item.getField("no"), w.getField("word"),
-            w.getField("start"), w.getField("end"),
-        )
-        nxt = F.struct(
-            (at + size).alias("pos"),
-            F.substr(state.getField("rest"), skip + size + 1).alias("rest"),
-            w.getField("end").cast("double").alias("time"),
-        )
-        return (
-            F.when(found, nxt).otherwise(state),
-            F.when(~found, empty_array(WORD_TYPE))
-            .when(skip > 0, F.array(gap, here))
-            .otherwise(F.array(here)),
-        )
+
+        def placed(skip: Column) -> Column:
+            at = pos + skip
+            gap = _interval(pos, at, nothing, nothing, w.getField("start"), w.getField("start"))
+            here = _interval(
+                at, at + size, item.getField("no"), w.getField("word"),
+                w.getField("start"), w.getField("end"),
+            )
+            nxt = F.struct(
+                (at + size).alias("pos"),
+                F.substr(state.getField("rest"), skip + size + 1).alias("rest"),
+                w.getField("end").cast("double").alias("time"),
+            )
+            return F.when(
+                (skip >= 0) & (size > 0),
+                step_result(nxt, F.when(skip > 0, F.array(gap, here)).otherwise(F.array(here))),
+            ).otherwise(step_result(state, empty_array(WORD_TYPE)))
+
+        return let(F.instr(state.getField("rest"), w.getField("word")) - 1, placed)
 
     def with_tail(r: Column) -> Column:
         state = r.getField("state")

@@ -225,16 +225,16 @@ def _no_punctuation(text: Column) -> Column:
 
 
 def ground_entity(
-    e: Column, text: Column, min_confidence: float = MIN_CONFIDENCE,
+    e: Column, text: Column, size: Column, min_confidence: float = MIN_CONFIDENCE,
     max_offset: int = MAX_OFFSET, partial: bool = True,
 ) -> Column:
-    """Place one entity in ``text``; null if it cannot be placed.
+    """Place one entity in ``text`` of ``size`` characters; null if it cannot be placed.
 
     ``repair`` names the way it was placed. The confidence floor holds for
-    entities that were right as they came.
+    entities that were right as they came. Searches walk through the whole text,
+    so each is made once and only when nothing before it did.
     """
     get = e.getField
-    size = F.length(text)
 
     def placed(
         repair: str, start: Column, end: Column, value: Column, factor: float, searched: bool = False
@@ -257,19 +257,13 @@ def ground_entity(
             F.lit(repair).alias("repair"),
         ).cast(GROUNDED_TYPE)
 
-    def found_at(repair: str, at: Column, length: Column, factor: float, searched: bool) -> Column:
-        return placed(repair, at, at + length, slice_text(text, at, at + length), factor, searched)
-
     def search(v: Column) -> Column:
-        exact = F.instr(text, v) - 1
-        folded = F.instr(F.lower(text), F.lower(v)) - 1
+        width = F.length(v)
 
         def loose(bare: Column) -> Column:
             # Windows as long as the value that equal it but for case and punctuation.
-            width = F.length(v)
-            letters = F.split(text, "", -1)
             first = let(
-                letters,
+                F.split(text, "", -1),
                 lambda cs: F.filter(
                     F.sequence(F.lit(0), F.greatest(size - width, F.lit(0))),
                     lambda i: _no_punctuation(
@@ -277,71 +271,92 @@ def ground_entity(
                     ) == bare,
                 ),
             )
-            at = F.try_element_at(first, F.lit(1))
             worth_it = (F.length(bare) >= 3) & (
                 F.instr(_no_punctuation(F.lower(text)), bare) > 0
             )
             return F.when(
                 worth_it,
                 let(
-                    at,
-                    lambda a: F.when(
-                        a.isNotNull(), found_at("loose_search", a, width, 0.7, True)
+                    F.try_element_at(first, F.lit(1)),
+                    lambda at: F.when(
+                        at.isNotNull(),
+                        placed(
+                            "loose_search", at, at + width, slice_text(text, at, at + width), 0.7, True
+                        ),
                     ),
                 ),
             )
 
-        return F.when(exact >= 0, found_at("search", exact, F.length(v), 0.9, True)).otherwise(
-            F.when(
-                folded >= 0, found_at("case_search", folded, F.length(v), 0.8, True)
-            ).otherwise(let(_no_punctuation(F.lower(v)), loose))
-        )
+        def any_case(at: Column) -> Column:
+            found = placed(
+                "case_search", at, at + width, slice_text(text, at, at + width), 0.8, True
+            )
+            return F.when(at >= 0, found).otherwise(let(_no_punctuation(F.lower(v)), loose))
 
-    def mismatch(v: Column, here: Column, end: Column) -> Column:
-        inner = F.instr(here, v) - 1
-        anywhere = F.instr(text, v) - 1
-        bare_slice = strip(here)
-        bare_value = F.regexp_replace(F.regexp_replace(get("value"), r"(?U)[^\w\s]", ""), r"(?U)\s", "")
+        def exact(at: Column) -> Column:
+            return F.when(at >= 0, placed("search", at, at + width, v, 0.9, True)).otherwise(
+                let(F.instr(F.lower(text), F.lower(v)) - 1, any_case)
+            )
+
+        return let(F.instr(text, v) - 1, exact)
+
+    def near(end: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(get("value"), r"(?U)[^\w\s]", ""), r"(?U)\s", "")
         low = F.greatest(get("start") - max_offset, F.lit(0))
         region = slice_text(text, low, F.least(end + max_offset, size))
-        near = let(
-            bare_value,
+        return let(
+            bare,
             lambda b: F.when(
-                (F.length(b) > 0) & (F.instr(region, b) > 0),
-                found_at("near", low + F.instr(region, b) - 1, F.length(b), 0.7, False),
+                F.length(b) > 0,
+                let(
+                    F.instr(region, b) - 1,
+                    lambda at: F.when(
+                        at >= 0, placed("near", low + at, low + at + F.length(b), b, 0.7)
+                    ),
+                ),
+            ),
+        )
+
+    def mismatch(v: Column, here: Column, end: Column) -> Column:
+        moved = let(
+            F.instr(text, v) - 1,
+            lambda at: F.when(at >= 0, placed("moved", at, at + F.length(v), v, 1.0)).otherwise(
+                near(end)
             ),
         )
-        moved = F.when(
-            anywhere >= 0, found_at("moved", anywhere, F.length(v), 1.0, False)
-        ).otherwise(near)
         if not partial:
             return moved
-        return (
-            F.when(inner >= 0, found_at("narrowed", get("start") + inner, F.length(v), 0.9, False))
-            .when(
-                F.contains(v, bare_slice),
-                F.when(
-                    F.length(bare_slice) > 0,
-                    placed("shortened", get("start"), end, bare_slice, 0.8),
-                ),
-            )
-            .otherwise(moved)
-        )
+
+        def shortened(bare: Column) -> Column:
+            return F.when(
+                F.contains(v, bare),
+                F.when(F.length(bare) > 0, placed("shortened", get("start"), end, bare, 0.8)),
+            ).otherwise(moved)
+
+        def narrowed(inner: Column) -> Column:
+            start = get("start") + inner
+            return F.when(
+                inner >= 0, placed("narrowed", start, start + F.length(v), v, 0.9)
+            ).otherwise(let(strip(here), shortened))
+
+        return let(F.instr(here, v) - 1, narrowed)
 
     def in_text(v: Column) -> Column:
         end = F.least(get("end"), size)
-        here = slice_text(text, get("start"), end)
-        return (
-            F.when(F.length(v) == 0, F.lit(None))
-            .when(get("start") >= size, search(v))
-            .when(
+
+        def compare(here: Column) -> Column:
+            return F.when(
                 here == get("value"),
                 F.when(
                     get("confidence") >= min_confidence,
                     placed("none", get("start"), end, here, 1.0),
                 ),
-            )
-            .otherwise(mismatch(v, here, end))
+            ).otherwise(mismatch(v, here, end))
+
+        return (
+            F.when(F.length(v) == 0, F.lit(None))
+            .when(get("start") >= size, search(v))
+            .otherwise(let(slice_text(text, get("start"), end), compare))
         )
 
     return let(strip(get("value")), in_text)
@@ -349,8 +364,11 @@ def ground_entity(
 
 def ground_expr(entities: Column, text: Column, **options) -> Column:
     """Entities placed in ``text``; of overlapping ones the better stays; by start."""
-    placed = F.array_compact(F.transform(entities, lambda e: ground_entity(e, text, **options)))
-    return greedy_expr(placed, GROUNDED_TYPE)
+    placed = let(
+        F.length(text),
+        lambda size: F.transform(entities, lambda e: ground_entity(e, text, size, **options)),
+    )
+    return greedy_expr(F.array_compact(placed), GROUNDED_TYPE)
 
 
 def ground(

@@ -210,6 +210,6 @@ def test_counts_shuffle_partial_sums_only(spark, sf_dir):
 
 
 def test_range_joins_are_keyed(spark, sf_dir):
-    for name in ("span_to_time", "span_to_speaker", "ocr_boxes", "beep_islands"):
+    for name in ("span_to_time", "span_to_speaker", "ocr_boxes_join", "beep_islands"):
         plan = physical(queries()[name](spark, sf_dir))
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name

@@ -141,4 +141,8 @@ def test_boxes(spark, width):
     assert pages.filter("image_id = 1").first().text == "my card 4111 1111 end"
     spans = spark.createDataFrame([(1, "A", 4, 12), (1, "B", 8, 17), (1, "C", 2, 3)], "image_id int, entity_type string, start int, end int")
     got = boxes.covered_boxes(spans, boxes.explode_words(pages, "image_id"), ["image_id"], width)
-    assert sorted((r.entity_type, r.word_no, r.left) for r in got.collect()) == [("A", 1, 10), ("A", 2, 20), ("B", 2, 20)]
+    want = [("A", 1, 10), ("A", 2, 20), ("B", 2, 20)]
+    assert sorted((r.entity_type, r.word_no, r.left) for r in got.collect()) == want
+    grouped = spans.groupBy("image_id").agg(F.collect_list(F.struct("entity_type", "start", "end")).alias("spans"))
+    on_row = boxes.page_boxes(pages.join(grouped, "image_id", "left"), "image_id")
+    assert sorted((r.entity_type, r.word_no, r.left) for r in on_row.collect()) == want

@@ -47,6 +47,40 @@ def explode_words(
     return df.select(*keys, F.inline(let(words, _placed))).select(*keys, "box.*", "c0", "c1")
 
 
+def page_boxes(df: DataFrame, *keys: str, words_col: str = "words") -> DataFrame:
+    """``covered_boxes`` where a page's words and spans are arrays on one row: no join.
+
+    One row per span and word. Words are laid out only on pages with spans.
+    """
+
+    def of_span(s: Column, words: Column) -> Column:
+        get = s.getField
+        inside = F.filter(
+            words, lambda w: (w.getField("c0") < get("end")) & (w.getField("c1") > get("start"))
+        )
+        return F.transform(
+            inside,
+            lambda w: F.struct(
+                get("entity_type").alias("entity_type"),
+                get("start").alias("start"),
+                get("end").alias("end"),
+                *[
+                    w.getField("box").getField(n).alias(n)
+                    for n in ("word_no", "left", "top", "width", "height")
+                ],
+            ),
+        )
+
+    covered = F.when(
+        F.size("spans") > 0,
+        let(
+            let(F.col(words_col), _placed),
+            lambda words: F.flatten(F.transform("spans", lambda s: of_span(s, words))),
+        ),
+    )
+    return df.select(*keys, F.inline(F.filter(covered, lambda b: b.isNotNull())))
+
+
 def covered_boxes(
     spans: DataFrame, words: DataFrame, keys: list[str], width: int = CHAR_BUCKET
 ) -> DataFrame:

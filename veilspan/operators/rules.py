@@ -24,7 +24,7 @@ class Rule:
     is dropped, a hit that passes gets score 1.0. ``trigger`` is a fixed string
     and ``trigger_regex`` a cheap pattern that any text with a hit must contain:
     texts without it skip the rule. ``lead`` is a cheap pattern that every match
-    starts with: places without it skip the rule. ``trim`` is a pattern cut off the
+    starts with: places without it skip the rule. ``trim`` lists characters cut off the
     end of a match.
     """
 
@@ -78,8 +78,8 @@ _LEADS = {"car_plate_pattern": "[一-鿿][A-Z]", "new_energy_car_plate": "[一-
 _TRIGGER_REGEX_BY_TYPE = {"BANK_CARD": "[0-9]{4}", "ID_CARD": "[0-9]{4}"}
 # A number ends at its last digit, whatever separators the pattern ran over.
 _TRIM_BY_TYPE = {
-    "BANK_CARD": r"[\s\-.]+\z",
-    "PHONE_NUMBER": r"[\s\-.]+\z",
+    "BANK_CARD": " \t\n\v\f\r-.",
+    "PHONE_NUMBER": " \t\n\v\f\r-.",
 }
 
 

@@ -65,7 +65,7 @@ def scan_expr(text: Column, rules: Sequence[Rule]) -> Column:
         value = m.getField("value")
         for trim, numbers in trims.items():
             value = F.when(
-                m.getField("rule").isin(numbers), F.regexp_replace(m.getField("value"), trim, "")
+                m.getField("rule").isin(numbers), F.rtrim(m.getField("value"), F.lit(trim))
             ).otherwise(value)
         return F.struct(
             m.getField("rule").alias("rule"),

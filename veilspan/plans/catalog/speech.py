@@ -306,7 +306,24 @@ def ocr_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     pages = boxes.page_text(documents(spark, sf_dir).select("doc_id", words.alias("words")))
+    return boxes.page_boxes(resolve(scan(pages, strict()), "cover"), "doc_id")
+
+
+@query("ocr_boxes_join", q.with_query(
+    [BOX_SQL, *all_checked("pages0"), q.covered("v", "d")],
+    """SELECT v.doc_id, v.entity_type, v."start", v."end", b.word_no
+    FROM v JOIN boxes b ON b.doc_id = v.doc_id AND b.c0 < v."end" AND b.c0 + length(b.word) > v."start" """))
+def ocr_boxes_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a table of spans and a table of words."""
+    words = F.transform(
+        F.regexp_extract_all("text", F.lit(WORD), F.lit(0)),
+        lambda w, i: F.struct(
+            i.alias("word_no"), w.alias("text"), i.alias("left"), i.alias("top"),
+            i.alias("width"), i.alias("height"), F.lit(0.9).alias("conf"),
+        ),
+    )
+    pages = boxes.page_text(documents(spark, sf_dir).select("doc_id", words.alias("words")))
     found = resolve(scan(pages, strict()), "cover")
-    spans = explode_spans(found, "doc_id")
     laid_out = boxes.explode_words(found, "doc_id", spans_col="spans")
-    return boxes.covered_boxes(spans, laid_out, ["doc_id"])
+    joined = boxes.covered_boxes(explode_spans(found, "doc_id"), laid_out, ["doc_id"])
+    return joined.select("doc_id", "entity_type", "start", "end", "word_no")

@@ -111,7 +111,7 @@ def turn_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     timed = spread(turns, "conv_id", "turn").withColumn("words", words)
-    last = F.element_at("words", -1).getField("end")
+    last = F.try_element_at("words", F.lit(-1)).getField("end")
     segment = F.struct(
         offset.alias("start"), last.alias("end"), F.col("text"), F.col("words")
     )

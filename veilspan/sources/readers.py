@@ -21,15 +21,15 @@ TURN_FIELDS = 9
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores when the input comes in too few files to do so by itself.
+    """Use all cores when the input is too small to do so by itself.
 
     Pattern scans are bound by CPU, and a file with one row group is one task.
-    Inputs with at least as many files as there are cores, that is, all large
-    ones, are left alone: no shuffle. The hash of unique keys gives even
-    partitions and the same ones when a task is run again.
+    Inputs with at least as many files or scan partitions as there are cores, that
+    is, all large ones, are left alone: no shuffle. The hash of unique keys gives
+    even partitions, and the same ones when a task is run again.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    if len(df.inputFiles()) >= cores or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
 

@@ -2,8 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from tests.compare import compare
+from veilspan.plans.catalog import oracle_sql, queries
 
 
 @pytest.mark.parametrize("name", sorted(queries()))

@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 import re
 import struct
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -33,7 +32,6 @@ DECODE_ROWS = 512
 #: Words whose ids a worker keeps.
 KNOWN_WORDS = 400_000
 ROW = 256
-WHOLE_CHECK = 32
 WORD = re.compile(" +[^ ]*")
 
 SCHEMA = "ids array<int>, n_tokens long, parity boolean, round_trip boolean"
@@ -189,19 +187,17 @@ class Codec:
         mark = np.array([self.plain.piece_to_id(MARK)], dtype=np.int32)
         #: Ids of a word as int32 bytes; a space with nothing behind it is an empty word.
         self.known: dict[str, bytes] = {"": mark.tobytes()}
-        #: Words that do not come back as they were, or that the two libraries see differently.
-        self.changed: dict[str, str] = {"": ""}
-        self.unequal: set[str] = set()
+        #: Words that do not come back as they were.
+        self.changed: dict[str, str] = {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int32) for e in self.fast.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def whole(self, texts: list[str]) -> list[tuple[bytes, str, bool]]:
-        """Ids, text made of them, and parity of each text."""
-        mine = self._ids(texts)
-        theirs = self.plain.encode(texts, num_threads=self.threads)
-        back = self.fast.decode_batch([x.tolist() for x in mine], skip_special_tokens=False)
-        return [(a.tobytes(), t, a.tolist() == b) for a, b, t in zip(mine, theirs, back, strict=True)]
+    def whole(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """Ids and the text made of them."""
+        ids = self._ids(texts)
+        back = self.fast.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+        return [(a.tobytes(), t) for a, t in zip(ids, back, strict=True)]
 
     def _learn(self, words: list[str]) -> None:
         """Enter the ids of new words: in long rows of words, cut where a word's first piece is."""
@@ -209,12 +205,10 @@ class Codec:
         for at in range(0, len(plain), ROW * 64):
             rows = [plain[i : i + ROW] for i in range(at, min(at + ROW * 64, len(plain)), ROW)]
             texts = [" ".join(r) for r in rows]
-            mine = self._ids(texts)
-            theirs = self.plain.encode(texts, num_threads=self.threads)
-            for row, text, ids, same in zip(rows, texts, mine, theirs, strict=True):
+            for row, text, ids in zip(rows, texts, self._ids(texts), strict=True):
                 made = b"".join(self.pieces[ids]).replace(MARK.encode(), b" ")[1:]
                 cuts = np.flatnonzero(self.starts[ids])
-                if len(cuts) != len(row) or made != text.encode() or not np.array_equal(ids, same):
+                if len(cuts) != len(row) or made != text.encode():
                     self._learn_each(row)
                     continue
                 data, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
@@ -222,36 +216,36 @@ class Codec:
         self._learn_each([w for w in words if w[:1] == " "])
 
     def _learn_each(self, words: list[str]) -> None:
-        for word, (ids, back, same) in zip(words, self.whole(words), strict=True):
+        for word, (ids, back) in zip(words, self.whole(words), strict=True):
             self.known[word] = ids
             if back != word:
                 self.changed[word] = back
-            if not same:
-                self.unequal.add(word)
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
-        """Ids (int32 bytes), parity, and whether the ids give the text back."""
-        if not self.by_word:
-            return [(ids, same, back == t) for t, (ids, back, same) in zip(texts, self.whole(texts), strict=True)]
+    def _by_word(self, texts: list[str]) -> list[tuple[bytes, str]]:
         split = [_words(t) for t in texts]
         every = set(chain.from_iterable(split))
         new = list(every - self.known.keys())
         if len(self.known) + len(new) > KNOWN_WORDS:
             self.known = {w: self.known[w] for w in (every & self.known.keys()) | {""}}
         self._learn(new)
-        unequal, changed = every & self.unequal, every & self.changed.keys()
+        changed = every & self.changed.keys()
         results, ids_of = [], self.known.__getitem__
         for text, words in zip(texts, split, strict=True):
-            ids = b"".join(map(ids_of, words))
-            same = not unequal or unequal.isdisjoint(words)
-            if same and zlib.crc32(text.encode()) % WHOLE_CHECK == 0:
-                same = ids == np.array(self.plain.encode(text), dtype=np.int32).tobytes()
-            back = True
-            if MARK in text or (changed and not changed.isdisjoint(words)):
-                back = " ".join([self.changed.get(w, w) for w in words]) == text
-            results.append((ids, same, back))
+            back = text
+            if MARK in text or not changed.isdisjoint(words):
+                back = " ".join([self.changed.get(w, w) for w in words])
+            results.append((b"".join(map(ids_of, words)), back))
         return results
 
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
+        """Ids (int32 bytes), parity, and whether the ids give the text back."""
+        mine = self._by_word(texts) if self.by_word else self.whole(texts)
+        theirs = self.plain.encode(texts, num_threads=self.threads)
+        return [
+            (ids, ids == np.array(same, dtype=np.int32).tobytes(), back == text)
+            for text, (ids, back), same in zip(texts, mine, theirs, strict=True)
+        ]
+
 
 def _words(text: str) -> list[str]:
     """The parts of a text that are encoded for themselves; a space stands between any two."""
@@ -288,9 +282,8 @@ def encode_pieces(
     white space or change letters do not always allow it).
 
     If no piece of the model reaches over a space, each distinct word of a batch is encoded
-    once and a text's ids are those of its words. ``parity`` then says that the sentencepiece
-    library gives the same ids for all its words, and every ``WHOLE_CHECK``-th text is
-    compared as a whole as well. Other models encode and compare whole texts.
+    once and a text's ids are those of its words. ``parity`` says that the sentencepiece
+    library gives the same ids for the text as a whole; it is worked out for every text.
 
     Null and empty texts have no ids. Repeated keys give a row each, an empty table gives an
     empty one, other columns are not read. ``model_path`` must be readable on every executor.

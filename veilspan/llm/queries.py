@@ -7,7 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_layout, piece_codec, repetition, token_cache, url_filter
+from . import (
+    containment,
+    html_layout,
+    license_rules,
+    piece_codec,
+    quality_knn,
+    repetition,
+    simhash_dedup,
+    token_cache,
+    url_filter,
+)
 from .common import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,12 +37,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cache = shared_path(spark, "token-counts")
     return token_cache.token_counts(spark, docs, public_tokenizers.path(PIECE_MODEL), cache)
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.licences(table(spark, sf_dir, "documents"))
+
+
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
@@ -41,6 +63,10 @@ def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_layout.html_text(table(spark, sf_dir, "pages"))
 
@@ -69,7 +95,46 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, 'allow') AS verd
 FROM parts LEFT JOIN best USING (page_id, host, path)
 """
 
+# Exact containment of distinct shingles; items of fewer words than a shingle do not occur in the table.
+OP8_SQL = r"""
+WITH doc_words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), item_words AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM benchmark
+), item_shingles AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM item_words)
+), doc_shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM doc_words)
+), sizes AS (SELECT item_id, count(*) AS n_shingles FROM item_shingles GROUP BY item_id),
+shared AS (
+  SELECT doc_id, item_id, count(*) AS n_shared FROM item_shingles JOIN doc_shingles USING (s) GROUP BY ALL
+)
+SELECT doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles AS containment
+FROM shared JOIN sizes USING (item_id) WHERE 10 * n_shared >= 8 * n_shingles
+"""
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op3_token_counts, op6_piece_codec, op7_repetition, op9_html_layout, op10_url_filter)
+    f.__name__: f
+    for f in (
+        op1_simhash,
+        op2_quality,
+        op3_token_counts,
+        op5_licenses,
+        op6_piece_codec,
+        op7_repetition,
+        op8_contamination,
+        op9_html_layout,
+        op10_url_filter,
+    )
+}
+ORACLE_SQL = {
+    "op5_licenses": license_rules.licences_sql("documents"),
+    "op8_contamination": OP8_SQL,
+    "op10_url_filter": OP10_SQL,
 }
-ORACLE_SQL = {"op10_url_filter": OP10_SQL}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     containment,
+    fuzzy_lines,
     html_layout,
     license_rules,
     piece_codec,
@@ -51,6 +52,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_cache.token_counts(spark, docs, public_tokenizers.path(PIECE_MODEL), cache)
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.deduplicated_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.licences(table(spark, sf_dir, "documents"))
 
@@ -125,6 +130,7 @@ QUERIES: dict[str, Query] = {
         op1_simhash,
         op2_quality,
         op3_token_counts,
+        op4_fuzzy_lines,
         op5_licenses,
         op6_piece_codec,
         op7_repetition,

@@ -105,7 +105,8 @@ def token_counts(
 
     encoded = cut(map_texts(misses, ["digest", "body"], work, "digest binary, n_tokens long"))
     encoded.select(F.lit(name).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache, name)
+    # a plain join of two tables, so that a digest with very many rows can be split at run time
+    counts = encoded.unionByName(stored)
     return rows.join(counts, "digest").select(
         F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )

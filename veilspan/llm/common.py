@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,12 +38,31 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files and checkpoints of steps that nothing refers to any more.
+
+    Its cleaner waits for the driver to collect garbage, which a driver that only plans may
+    not do for long while the disks of the executors fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and read again from the shared folder; survives lost executors."""
     shared_folder(df.sparkSession)
+    release(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Like ``cut``, as a compressed table that stays in the shared folder."""
+    path = shared_path(df.sparkSession, name)
+    release(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def map_texts(
     docs: DataFrame,
     columns: list[str],

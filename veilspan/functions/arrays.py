@@ -22,14 +22,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def literal_array(values: Sequence[str | float]) -> Column:
-    """A constant array, built in one call however long it is."""
-
-    def literal(value: str | float) -> str:
-        if isinstance(value, str):
-            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-        return f"{float(value)!r}D"
-
-    return F.expr("array(" + ", ".join(literal(v) for v in values) + ")")
+    """A constant array; no SQL text, whose escapes depend on a setting."""
+    return F.array(*[F.lit(v if isinstance(v, str) else float(v)) for v in values])
 
 
 def empty_array(element_type: str) -> Column:

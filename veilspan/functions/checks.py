@@ -122,6 +122,18 @@ def is_car_plate(value: Column) -> Column:
     )
 
 
+def is_email(value: Column) -> Column:
+    """One ``@`` between a local part and a dotted name that ends in letters, no empty part."""
+    return value.rlike(
+        r"^[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}\z"
+    )
+
+
+def is_bare_domain(value: Column) -> Column:
+    """A URL without scheme or ``www``; with an ``@`` it is an address, not a place on the web."""
+    return is_url(value) & ~F.contains(value, F.lit("@"))
+
+
 def is_url(value: Column) -> Column:
     known = r"(?i)\.(?:" + "|".join(TOP_LEVEL_DOMAINS) + r")(?:$|/|\?|#)"
     general = r"(?i)(?:[a-z0-9][-a-z0-9]{0,62}\.)+[a-z]{2,}(?:$|/|\?|#)"

@@ -6,12 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 10_000
+BROADCAST_BYTES = 8 * 1024 * 1024
 SALTS = 32
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than that plus one."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows of ``max_bytes`` together; reads no more rows than one beyond."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    row = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).first()
+    return row["n"] <= max_rows and (row["bytes"] or 0) <= max_bytes
+
+
+def check_unique(table: DataFrame, key: str) -> None:
+    """Refuse a lookup table in which a key stands twice: it would multiply the rows that meet it."""
+    twice = table.groupBy(key).count().filter("count > 1").first()
+    if twice:
+        raise ValueError(f"the lookup table has {twice['count']} rows for {key} {twice[key]!r}")
 
 
 def lookup_join(
@@ -22,14 +32,15 @@ def lookup_join(
     how: str = "left",
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join ``facts`` to a lookup table with unique keys.
+    """Join ``facts`` to a lookup table, whose keys are checked to be unique.
 
-    The table is broadcast only if its row count proves small. Otherwise both
+    The table is broadcast only if its rows and bytes prove few. Otherwise both
     sides shuffle on key and salt: the fact rows of a hot key are spread by a
     hash of ``spread_by`` and the table is repeated once per salt.
     """
     if how not in ("left", "inner"):
         raise ValueError("a lookup join is left or inner")
+    check_unique(table, key)
     if is_small(table, max_rows):
         return facts.join(F.broadcast(table), key, how)
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")

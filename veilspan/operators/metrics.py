@@ -43,12 +43,15 @@ def confidence_report(spans: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def transcript_report(segments: DataFrame, *keys: str) -> DataFrame:
-    """Per recording: duration, segments, characters and language."""
+def transcript_report(segments: DataFrame, *keys: str, n_chars: Column | None = None) -> DataFrame:
+    """Per recording: duration, segments, characters and language.
+
+    ``n_chars`` is the number of characters of a segment where the texts are not at hand.
+    """
     return segments.groupBy(*keys).agg(
         F.sum(F.col("end_time") - F.col("start_time")).alias("total_duration"),
         F.count("*").alias("n_segments"),
-        F.sum(F.length("text")).alias("n_chars"),
+        F.sum(F.length("text") if n_chars is None else n_chars).alias("n_chars"),
         F.coalesce(F.max("language"), F.lit("unknown")).alias("language"),
     )
 
@@ -56,18 +59,23 @@ def transcript_report(segments: DataFrame, *keys: str) -> DataFrame:
 def precision_recall(predicted: DataFrame, gold: DataFrame, key: str = "doc_id") -> DataFrame:
     """Exact-match precision, recall and F1 by type, and ``overall``."""
     on = [key, "entity_type", "start", "end"]
-    p = predicted.select(*on).distinct().withColumn("in_pred", F.lit(True))
-    g = gold.select(*on).distinct().withColumn("in_gold", F.lit(True))
-    hit, said, true = F.col("in_pred") & F.col("in_gold"), F.col("in_pred"), F.col("in_gold")
-    counted = (
-        p.join(g, on, "full")
-        .rollup("entity_type")
-        .agg(
-            F.grouping("entity_type").alias("g"),
-            F.count_if(hit).alias("tp"),
-            F.count_if(said & F.col("in_gold").isNull()).alias("fp"),
-            F.count_if(true & F.col("in_pred").isNull()).alias("fn"),
-        )
+    marks = predicted.select(*on, F.lit(True).alias("in_pred"), F.lit(False).alias("in_gold")).unionByName(
+        gold.select(*on, F.lit(False).alias("in_pred"), F.lit(True).alias("in_gold"))
+    )
+    return precision_recall_of(marks, key)
+
+
+def precision_recall_of(marks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The same from one table of spans marked ``in_pred`` and ``in_gold``; a span may have several rows."""
+    spans = marks.groupBy(key, "entity_type", "start", "end").agg(
+        F.bool_or("in_pred").alias("in_pred"), F.bool_or("in_gold").alias("in_gold")
+    )
+    said, true = F.col("in_pred"), F.col("in_gold")
+    counted = spans.rollup("entity_type").agg(
+        F.grouping("entity_type").alias("g"),
+        F.count_if(said & true).alias("tp"),
+        F.count_if(said & ~true).alias("fp"),
+        F.count_if(true & ~said).alias("fn"),
     )
 
     def share(a: Column, b: Column) -> Column:

@@ -68,22 +68,24 @@ def calls_to_make(prompts: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def request_counters(prompts: DataFrame, cache: DataFrame, responses: DataFrame) -> DataFrame:
-    """One row: requests, cache hits, calls, errors and tokens.
+    """One row: requests, cache hits, calls, errors, retries and tokens.
 
-    ``responses`` has ``key``, ``error`` and ``tokens``.
+    ``responses`` has ``key``, ``error``, ``tokens`` and, if calls were made again,
+    ``attempts`` (all attempts but the first are retries).
     """
     by_key = prompts.groupBy("key").agg(F.count("*").alias("n"))
     hits = by_key.join(cache.select("key", F.lit(True).alias("cached")), "key", "left")
-    asked = hits.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_requests"),
-        F.coalesce(F.sum(F.when(F.col("cached"), F.col("n"))), F.lit(0)).alias("cache_hits"),
-        F.count_if(F.col("cached").isNull()).alias("calls"),
+    asked = hits.select(
+        F.col("n").alias("total_requests"),
+        F.when(F.col("cached"), F.col("n")).otherwise(0).alias("cache_hits"),
+        F.when(F.col("cached").isNull(), 1).otherwise(0).alias("calls"),
     )
-    answered = responses.agg(
-        F.count_if(F.col("error").isNotNull()).alias("errors"),
-        F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"),
+    attempts = F.col("attempts") if "attempts" in responses.columns else F.lit(1)
+    answered = responses.select(
+        F.when(F.col("error").isNotNull(), 1).otherwise(0).alias("errors"),
+        F.greatest(F.coalesce(attempts, F.lit(1)) - 1, F.lit(0)).alias("retries"),
+        F.coalesce("tokens", F.lit(0)).alias("total_tokens"),
     )
-    # Two single rows side by side.
-    return asked.withColumn("one", F.lit(1)).join(
-        answered.withColumn("one", F.lit(1)), "one"
-    ).drop("one")
+    both = asked.unionByName(answered, allowMissingColumns=True)
+    names = ["total_requests", "cache_hits", "calls", "errors", "retries", "total_tokens"]
+    return both.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in names])

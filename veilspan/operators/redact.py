@@ -87,7 +87,10 @@ def operator_list() -> list[str]:
 
 
 def _by_type(policy: Iterable[Policy]) -> tuple[dict[str, Policy], Policy | None]:
+    policy = list(policy)
     entries = {p.entity_type: p for p in policy}
+    if len(entries) < len(policy):
+        raise ValueError("a policy has at most one entry for an entity type")
     default = entries.pop(DEFAULT, None)
     return entries, default
 
@@ -225,13 +228,44 @@ def policy_from_rows(rows: Iterable) -> list[Policy]:
     ]
 
 
+def table_default(policy: DataFrame) -> Policy | None:
+    """The ``DEFAULT`` row of a policy table, which is checked as a whole.
+
+    Refused are what ``Policy`` refuses: unknown operators and hash types, masks that are
+    not one character, operators that need a key or a function, and two rows for one type.
+    """
+    twice = policy.groupBy("entity_type").count().filter("count > 1 OR entity_type IS NULL").limit(1)
+    operator = F.coalesce("operator", F.lit("replace"))
+    wrong = policy.filter(
+        ~operator.isin("replace", "mask", "hash", "redact")
+        | ((operator == "hash") & ~F.coalesce("hash_type", F.lit("sha256")).isin(*masks.HASHES))
+        | ((operator == "mask") & (F.length(F.coalesce("masking_char", F.lit("*"))) != 1))
+    )
+    if row := twice.first():
+        raise ValueError(f"a policy table has one row for an entity type, not {row['count']} for {row['entity_type']!r}")
+    if row := wrong.limit(1).first():
+        raise ValueError(f"a policy table cannot hold {row}")
+    rows = policy_from_rows(policy.filter(F.col("entity_type") == DEFAULT).limit(1).collect())
+    return rows[0] if rows else None
+
+
 def span_replacements(spans: DataFrame, policy: DataFrame, keys: list[str]) -> DataFrame:
-    """Long-form spans with ``replacement`` and ``operator`` from a policy table."""
-    joined = lookup_join(spans, policy, "entity_type", [*keys, "start"])
+    """Long-form spans with ``replacement`` and ``operator`` from a policy table.
+
+    Types without a row take the ``DEFAULT`` row, without one they become ``<TYPE>``, as with
+    a list of policies.
+    """
+    default = table_default(policy)
+    fields = [f for f in Policy.__dataclass_fields__ if f in policy.columns]
+    rows = policy.filter(F.col("entity_type") != DEFAULT).select(
+        *[F.coalesce("operator", F.lit("replace")).alias(f) if f == "operator" else F.col(f) for f in fields]
+    )
+    joined = lookup_join(spans, rows, "entity_type", [*keys, "start"])
     value = F.col("value")
     hashed = F.coalesce(F.col("hash_type"), F.lit("sha256"))
+    other = F.concat(F.lit("<"), F.col("entity_type"), F.lit(">")) if default is None else default.replacement(value)
     replacement = (
-        F.when(F.col("operator").isNull(), F.concat(F.lit("<"), F.col("entity_type"), F.lit(">")))
+        F.when(F.col("operator").isNull(), other)
         .when(F.col("operator") == "replace", F.coalesce("new_value", F.lit("[REDACTED]")))
         .when(
             F.col("operator") == "mask",
@@ -253,7 +287,7 @@ def span_replacements(spans: DataFrame, policy: DataFrame, keys: list[str]) -> D
     return joined.select(
         *spans.columns,
         replacement.alias("replacement"),
-        F.coalesce("operator", F.lit("replace")).alias("operator"),
+        F.coalesce("operator", F.lit("replace" if default is None else default.operator)).alias("operator"),
     )
 
 
@@ -268,8 +302,10 @@ def redact_by_table(
     """``redact`` with the policy in a table.
 
     A policy that proves small becomes part of the expression. A larger one is
-    joined to the spans, whose edits then go back to their texts by ``key``.
+    joined to the spans, whose edits then go back to their texts by ``key``. Both ways
+    give the same and refuse the same tables (see ``table_default``).
     """
+    table_default(policy)
     if is_small(policy, max_rows):
         return redact(df, policy_from_rows(policy.collect()), text_col, spans_col)
     spans = df.select(key, F.inline(F.filter(F.col(spans_col), lambda s: s.isNotNull())))

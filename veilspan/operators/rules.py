@@ -95,14 +95,16 @@ def builtin_rules(as_of: dt.date | None = None, validate: bool = True) -> list[R
         "ID_CARD": lambda v: checks.is_id_card(v, as_of),
         "PHONE_NUMBER": checks.is_mobile_number,
         "URL": checks.is_url,
+        "EMAIL_ADDRESS": checks.is_email,
     }
+    by_name = {"simple_domain": checks.is_bare_domain}
     return [
         Rule(
             entity_type=entity_type,
             name=name,
             regex=regex,
             score=score,
-            validator=validators.get(entity_type) if validate else None,
+            validator=by_name.get(name, validators.get(entity_type)) if validate else None,
             context=tuple(CONTEXT_WORDS[entity_type]),
             trigger=_TRIGGERS.get(name),
             trigger_regex=_TRIGGER_REGEXES.get(name, _TRIGGER_REGEX_BY_TYPE.get(entity_type)),

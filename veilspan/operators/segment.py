@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +44,12 @@ def _placed(pieces: Column) -> Column:
 def _length_between(segments: Column, low: int | None, high: int | None) -> Column:
     if low is None and high is None:
         return segments
-    return F.filter(
-        segments,
-        lambda s: F.length(s.getField("text")).between(
-            low if low is not None else 0, high if high is not None else 2**31 - 1
-        ),
-    )
+    return F.filter(segments, lambda s: _in_range(s, low, high))
+
+
+def _in_range(segment: Column, low: int | None, high: int | None) -> Column:
+    length = F.length(segment.getField("text"))
+    return length.between(low if low is not None else 0, high if high is not None else 2**31 - 1)
 
 
 def sentences_expr(
@@ -84,8 +85,8 @@ def pattern_parts_expr(text: Column, pattern: str) -> Column:
 def paragraphs_expr(
     text: Column,
     separators: Sequence[str] = ("\n\n", "\r\n\r\n"),
-    min_length: int | None = 10,
-    max_length: int | None = 5000,
+    min_length: int | None = None,
+    max_length: int | None = None,
 ) -> Column:
     """Cut at any of the separators."""
     pattern = "|".join(re.escape(s) for s in separators)
@@ -163,9 +164,9 @@ def whole_expr(text: Column) -> Column:
 
 
 def trim_expr(
-    segments: Column, strip: bool = True, min_length: int = 1, max_length: int = 10_000
+    segments: Column, strip: bool = True, min_length: int = 1, max_length: int | None = None
 ) -> Column:
-    """Drop blank segments, strip white space (offsets follow), keep lengths in range."""
+    """Drop blank segments, strip white space (offsets follow), keep lengths in range if one is given."""
     if not strip:
         return _length_between(F.filter(segments, _not_blank), min_length, max_length)
 
@@ -186,8 +187,13 @@ def segment(
     post_process: bool = True,
     **options,
 ) -> DataFrame:
-    """Add ``segments``; blank texts get none. An unknown strategy means sentences."""
+    """Add ``segments``; blank texts get none. An unknown strategy means sentences.
+
+    Segments have any length unless ``min_length`` or ``max_length`` is given. Those outside
+    that range are not lost: they come out in a column of their own, ``outside``.
+    """
     text = F.col(text_col)
+    low, high = options.pop("min_length", None), options.pop("max_length", None)
     if strategy == "paragraph":
         cut = paragraphs_expr(text, **options)
     elif strategy == "fixed_length":
@@ -199,9 +205,16 @@ def segment(
         cut = whole_expr(text)
     else:
         cut = sentences_expr(text, **options)
-    cut = trim_expr(cut) if post_process else F.filter(cut, _not_blank)
-    return df.withColumn(
-        "segments", F.when(is_blank(text), empty_array(SEGMENT_TYPE)).otherwise(cut)
+
+    def finished(parts: Column) -> Column:
+        parts = trim_expr(parts) if post_process else F.filter(parts, _not_blank)
+        return F.when(is_blank(text), empty_array(SEGMENT_TYPE)).otherwise(parts)
+
+    if low is None and high is None:
+        return df.withColumn("segments", finished(cut))
+    beyond = F.filter(cut, lambda s: ~_in_range(s, low, high))
+    return df.withColumn("segments", finished(_length_between(cut, low, high))).withColumn(
+        "outside", finished(beyond)
     )
 
 
@@ -248,26 +261,31 @@ def segment_with(
     key: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Segments from a Python function of the text, as a lateral table function.
+    """Segments from a Python function of the text, in Arrow batches.
 
-    ``function`` gives ``(start, end, text)`` tuples. Where it raises, the whole
-    text is the one segment.
+    ``function`` gives ``(start, end, text)`` tuples. Where it raises, the whole text is
+    the one segment and ``error`` says why; elsewhere ``error`` is null. Blank texts have no
+    segments.
     """
-
-    class Cut:
-        def eval(self, text: str):
-            if text is None or not text.strip():
-                return
-            try:
-                rows = [(int(a), int(b), str(t)) for a, b, t in function(text)]
-            except Exception:
-                rows = [(0, len(text), text)]
-            for number, (start, end, part) in enumerate(rows):
-                yield number, f"seg_{number:04d}", start, end, part
-
-    cut = F.udtf(
-        Cut, returnType="seg_no int, segment_id string, start int, end int, text string"
-    )
-    source = df.select(F.col(key), F.col(text_col).alias("__text"))
-    parts = source.lateralJoin(cut(F.col("__text").outer()))
-    return parts.drop("__text")
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, seg_no int, segment_id string, start int, end int, text string, error string"
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if text is None or not text.strip():
+                    continue
+                error = None
+                try:
+                    parts = [(int(a), int(b), str(t)) for a, b, t in function(text)]
+                except Exception as e:  # the caller's code: its failure is part of the result
+                    parts, error = [(0, len(text), text)], f"{type(e).__name__}: {e}"
+                rows += [(own, n, f"seg_{n:04d}", a, b, t, error) for n, (a, b, t) in enumerate(parts)]
+            columns = zip(*rows, strict=True) if rows else [()] * 7
+            types = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+            names = [key, "seg_no", "segment_id", "start", "end", "text", "error"]
+            arrays = [pa.array(list(c), type=t) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return df.select(F.col(key), F.col(text_col)).mapInArrow(cut, schema)

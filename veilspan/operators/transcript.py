@@ -372,9 +372,15 @@ def overlapped_speech(turns: DataFrame, *keys: str, width: float = TIME_BUCKET)
 def beep_edits(
     spans: DataFrame, length_col: str = "n_samples", sample_rate: int = SAMPLE_RATE
 ) -> DataFrame:
-    """Sample ranges to overwrite: times become samples, clamped to the recording."""
+    """Sample ranges to overwrite: times become samples, clamped to the recording.
+
+    Spans without times have no place to cut: see ``beep_rejects``. A recording of unknown
+    length clamps nothing, so that its cuts stay.
+    """
+    spans = spans.filter("start_time IS NOT NULL AND end_time IS NOT NULL")
     first = F.greatest(F.lit(0).cast("long"), (F.col("start_time") * sample_rate).cast("long"))
-    last = F.least(F.col(length_col).cast("long"), (F.col("end_time") * sample_rate).cast("long"))
+    until = (F.col("end_time") * sample_rate).cast("long")
+    last = F.least(F.coalesce(F.col(length_col).cast("long"), until), until)
     return (
         spans.withColumn("start_sample", first)
         .withColumn("end_sample", last)
@@ -382,6 +388,11 @@ def beep_edits(
     )
 
 
+def beep_rejects(spans: DataFrame) -> DataFrame:
+    """Spans that ``beep_edits`` cannot place on the time axis, with ``error``."""
+    return spans.filter("start_time IS NULL OR end_time IS NULL").withColumn("error", F.lit("span without times"))
+
+
 def beep_islands(
     edits: DataFrame, *keys: str, sample_rate: int = SAMPLE_RATE, seconds: int = 60
 ) -> DataFrame:
@@ -441,3 +452,10 @@ def resplit_equal(
         .otherwise((F.col("part_no") + 1) * step)
         .alias("end_time"),
     )
+
+
+def resplit_rejects(df: DataFrame, *keys: str, duration: str = "duration", seconds: float = 10.0) -> DataFrame:
+    """Recordings that ``resplit_equal`` gives no part: too short, or of unknown length."""
+    parts = F.bround(F.col(duration) / F.lit(seconds)).cast("int")
+    error = F.when(F.col(duration).isNull(), "recording of unknown length").otherwise("recording too short to split")
+    return df.filter(F.coalesce(parts, F.lit(0)) <= 0).select(*keys, duration, error.alias("error"))

@@ -38,6 +38,10 @@ def masked_transcripts(
 
 
 def cut_list(spans: DataFrame, recordings: DataFrame) -> DataFrame:
-    """Merged sample ranges to overwrite; ``recordings`` has the number of samples of each."""
+    """Merged sample ranges to overwrite; ``recordings`` has the number of samples of each.
+
+    Recordings without a length keep their cuts, unclamped. Spans without times are not
+    among them: take ``operators.transcript.beep_rejects`` of the same spans.
+    """
     lengths = recordings.select(KEY, "n_samples")
-    return tr.beep_islands(tr.beep_edits(spans.join(lengths, KEY)), KEY)
+    return tr.beep_islands(tr.beep_edits(spans.join(lengths, KEY, "left")), KEY)

@@ -55,8 +55,7 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" plate 京"), F.when(key % 4 == 0, F.lit("7")).otherwise(F.lit("A")),
         _padded(key % 100000, 5), F.lit(" end"),
     )
-    orders = spread(orders, "o_orderkey")
-    joined = orders.join(customers, orders.o_custkey == customers.c_custkey)
+    joined = spread(orders.join(customers, orders.o_custkey == customers.c_custkey), "o_orderkey")
     return joined.select(key.alias("doc_id"), text.alias("text"))
 
 

@@ -280,6 +280,7 @@ def cache_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
       count(*) FILTER (key IN (SELECT key FROM live)) AS cache_hits,
       count(DISTINCT key) FILTER (key NOT IN (SELECT key FROM live)) AS calls,
       count(*) FILTER (turn % 7 = 0) AS errors,
+      count(*) FILTER (turn % 7 = 0) * 2 AS retries,
       CAST(sum(length(text) // 4) AS BIGINT) AS total_tokens FROM prompts"""))
 def request_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = prompt_rows(spark, sf_dir)
@@ -287,6 +288,7 @@ def request_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
         "key",
         F.when(F.col("turn") % 7 == 0, "timed out").alias("error"),
         F.floor(F.length("text") / 4).cast("long").alias("tokens"),
+        F.when(F.col("turn") % 7 == 0, 3).otherwise(1).alias("attempts"),
     )
     return pr.request_counters(rows, pr.live_cache(cache_rows(spark, sf_dir), NOW), answers)
 

@@ -19,7 +19,7 @@ FIELDS = ["doc_id", "seg_no", "segment_id", "start", "end", "text"]
 SPACE = "[\\p{Z}\\t\\n\\v\\f\\r\\x{1c}-\\x{1f}\\x{85}]"
 
 
-def finished(name: str, source: str, low: int = 1, high: int = 10_000) -> str:
+def finished(name: str, source: str, low: int = 1, high: int | None = None) -> str:
     """CTE ``name``: blank segments out, white space stripped, numbered again.
 
     ``source`` has doc_id, part (order), start, text.
@@ -32,7 +32,7 @@ def finished(name: str, source: str, low: int = 1, high: int = 10_000) -> str:
 ),
 {name}_numbered AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS n FROM {name}_bare
-  WHERE length(text) BETWEEN {low} AND {high}
+  WHERE length(text) {f'BETWEEN {low} AND {high}' if high else f'>= {low}'}
 ),
 {name} AS (
   SELECT doc_id, CAST(n AS INTEGER) AS seg_no, printf('seg_%04d', n) AS segment_id,
@@ -81,9 +81,7 @@ def _parts_sql(name: str, pattern: str, rank: int = 0) -> str:
 
 
 @query("seg_paragraph", q.with_query(
-    [_parts_sql("lines", "\n|\r\n"),
-     "kept AS (SELECT * FROM lines WHERE length(text) BETWEEN 10 AND 5000)",
-     finished("s", "kept")], SELECT))
+    [_parts_sql("lines", "\n|\r\n"), finished("s", "lines")], SELECT))
 def seg_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as paragraphs: the texts have no blank lines."""
     return _cut(spark, sf_dir, "paragraph", separators=["\n", "\r\n"])
@@ -131,7 +129,7 @@ def seg_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("seg_whole", q.with_query(
     ['whole AS (SELECT doc_id, 0 AS part, 0 AS "start", text FROM documents)',
-     finished("s", "whole", 1, 10_000)], SELECT))
+     finished("s", "whole")], SELECT))
 def seg_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cut(spark, sf_dir, "whole")
 

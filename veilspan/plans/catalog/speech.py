@@ -9,7 +9,6 @@ from ...operators import boxes, metrics
 from ...operators import transcript as tr
 from ...operators.resolve import resolve
 from ...operators.scan import explode_spans, scan
-from ...sources.readers import read_table
 from . import sqltext as q
 from .detection import all_checked, strict
 from .inputs import SPEECH_RULES, SPEECH_SQL, WORD, documents, speaker_turns, turn_segments
@@ -88,7 +87,7 @@ def span_interp_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(timed_spans(spark, sf_dir))
 
 
-MIN_TURN = 15.0
+MIN_TURN = 1.0
 SPEAKERS = [
     *TIMES,
     f"long_turns AS (SELECT * FROM speaker_turns WHERE end_time - start_time >= {MIN_TURN})",
@@ -110,7 +109,7 @@ def spoken_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("span_to_speaker", q.with_query(
     SPEAKERS, 'SELECT conv_id, turn, entity_type, pattern, "start", "end", speaker_id FROM spoken'))
 def span_to_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Speakers come from turns of some length only: spans in short turns may have none."""
+    """Speakers come from turns of a second or more: spans in shorter ones may have none."""
     return spoken_spans(spark, sf_dir).select(*KEYS, "entity_type", "pattern", "start", "end", "speaker_id")
 
 
@@ -179,28 +178,36 @@ def overlapped_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("overlap_time", F.round("overlap_time", 4))
 
 
-# --- cut lists: recordings stop at 100 s, spans after that fall away ----------------
+# --- cut lists: a recording is as long as its last turn -----------------------------
 
-SAMPLES = 100 * tr.SAMPLE_RATE
 BEEPS = [
     *TIMES,
+    f"""lengths AS (SELECT conv_id, CAST(trunc(round(max(end_time), 9) * {tr.SAMPLE_RATE}) AS BIGINT) AS n_samples
+    FROM speaker_turns GROUP BY conv_id)""",
     f"""beeps AS (SELECT * FROM (SELECT conv_id, turn, entity_type, pattern, "start", "end",
     greatest(0, CAST(trunc(round(start_time, 9) * {tr.SAMPLE_RATE}) AS BIGINT)) AS start_sample,
-    least({SAMPLES}, CAST(trunc(round(end_time, 9) * {tr.SAMPLE_RATE}) AS BIGINT)) AS end_sample FROM timed)
-    WHERE start_sample < end_sample)""",
+    least(n_samples, CAST(trunc(round(end_time, 9) * {tr.SAMPLE_RATE}) AS BIGINT)) AS end_sample
+    FROM timed JOIN lengths USING (conv_id)) WHERE start_sample < end_sample)""",
 ]
 
 
+def recording_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of every conversation, from its own turns."""
+    last = F.round(F.max("end_time"), 9)
+    return speaker_turns(spark, sf_dir).groupBy("conv_id").agg(
+        (last * tr.SAMPLE_RATE).cast("long").alias("n_samples")
+    )
+
+
 def _beeps(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Interpolated times differ in the last bit between engines: settle them first.
     timed = timed_spans(spark, sf_dir).withColumns(
         {
             "start_time": F.round("start_time", 9),
             "end_time": F.round("end_time", 9),
-            "n_samples": F.lit(SAMPLES),
         }
     )
-    return tr.beep_edits(timed)
+    return tr.beep_edits(timed.join(recording_lengths(spark, sf_dir), "conv_id", "left"))
 
 
 @query("beep_edit_list", q.with_query(
@@ -267,16 +274,24 @@ def resplit_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("resplit_rejects", q.with_query(
+    [SPEECH_SQL],
+    """SELECT conv_id, turn, round(end_time - start_time, 6) AS duration, 'recording too short to split' AS error
+    FROM speaker_turns WHERE round_even((end_time - start_time) / 10, 0) = 0"""))
+def resplit_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = speaker_turns(spark, sf_dir).select(
+        *KEYS, (F.col("end_time") - F.col("start_time")).alias("duration")
+    )
+    return tr.resplit_rejects(lengths, *KEYS).withColumn("duration", F.round("duration", 6))
+
+
 @query("transcript_stats", q.with_query(
     [SPEECH_SQL], """SELECT conv_id, round(sum(end_time - start_time), 4) AS total_duration,
       count(*) AS n_segments, CAST(sum(n_chars) AS BIGINT) AS n_chars, 'unknown' AS language
     FROM speaker_turns GROUP BY conv_id"""))
 def transcript_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segs = read_table(spark, f"{sf_dir}/conversations.parquet", *KEYS, "text")
-    turns = speaker_turns(spark, sf_dir).drop("n_chars").join(segs, KEYS)
-    report = metrics.transcript_report(
-        turns.withColumn("language", F.lit(None).cast("string")), "conv_id"
-    )
+    turns = speaker_turns(spark, sf_dir).withColumn("language", F.lit(None).cast("string"))
+    report = metrics.transcript_report(turns, "conv_id", n_chars=F.col("n_chars"))
     return report.withColumn("total_duration", F.round("total_duration", 4))
 
 

@@ -139,7 +139,7 @@ def checked(name: str, source: str, as_of: str = "1999-01-01") -> str:
     return f"""
 {name} AS (
   SELECT * REPLACE (
-    CASE WHEN entity_type IN ('BANK_CARD', 'CAR_PLATE', 'ID_CARD', 'PHONE_NUMBER', 'URL')
+    CASE WHEN entity_type IN ('BANK_CARD', 'CAR_PLATE', 'ID_CARD', 'PHONE_NUMBER', 'URL', 'EMAIL_ADDRESS')
       THEN CAST(1.0 AS DOUBLE) ELSE score END AS score)
   FROM {source}
   WHERE CASE entity_type
@@ -147,7 +147,9 @@ def checked(name: str, source: str, as_of: str = "1999-01-01") -> str:
     WHEN 'CAR_PLATE' THEN {valid_plate('value')}
     WHEN 'ID_CARD' THEN {valid_id('value', as_of)}
     WHEN 'PHONE_NUMBER' THEN {valid_phone('value')}
-    WHEN 'URL' THEN {valid_url('value')}
+    WHEN 'URL' THEN {valid_url('value')} AND (pattern <> 'simple_domain' OR strpos(value, '@') = 0)
+    WHEN 'EMAIL_ADDRESS' THEN regexp_full_match(value,
+      '[A-Za-z0-9_%+-]+(\\.[A-Za-z0-9_%+-]+)*@([A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?\\.)+[A-Za-z]{{2,}}')
     ELSE TRUE END
 )"""
 

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import is_blank
 from ..operators.redact import Policy, redact
 from ..operators.resolve import resolve
 from ..operators.rules import DEFAULT_THRESHOLD, Rule, builtin_rules, select_rules
@@ -39,9 +40,7 @@ def analyze(
         builtin_rules() if rules is None else rules, entities, denied, languages, disabled
     )
     if segment_by:
-        # Segments that only shape the scan must cover the text: no length limits.
-        options = {"min_length": None, "max_length": None} if segment_by == "paragraph" else {}
-        df = segment(df, segment_by, text_col, post_process=False, **options)
+        df = segment(df, segment_by, text_col, post_process=False)
         df = scan_segments(df, chosen)
     else:
         df = scan(df, chosen, text_col)
@@ -68,7 +67,7 @@ def process(
     found = analyze(df, text_col=text_col, **options)
     if "segments" not in found.columns:
         found = found.withColumn(
-            "segments", F.when(F.col(text_col).rlike(r"\S"), F.array(F.lit(0))).otherwise(F.array())
+            "segments", F.when(is_blank(F.col(text_col)), F.array()).otherwise(F.array(F.lit(0)))
         )
     return (
         anonymize(found, policy, text_col)

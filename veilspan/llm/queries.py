@@ -124,6 +124,53 @@ SELECT doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles AS containme
 FROM shared JOIN sizes USING (item_id) WHERE 10 * n_shared >= 8 * n_shingles
 """
 
+
+
+def _op7_sql() -> str:
+    """Windows of every length as joined words, counted; the words inside repeated ones marked."""
+    widths = (3, *repetition.GRAM_LIMITS)
+    ctes = [
+        r"""split AS (SELECT doc_id, coalesce(text, '') AS text,
+  list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents)""",
+        "words AS (SELECT doc_id, i, length(w[i]) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM split))",
+        r"""lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS k,
+  length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS n
+  FROM (SELECT doc_id, i, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM split)))
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]'))""",
+        "same_lines AS (SELECT doc_id, count(*) AS n_dup_lines, sum(n) AS dup_line_chars FROM lines WHERE k > 1 GROUP BY doc_id)",
+        "sizes AS (SELECT doc_id, count(*) AS n_words, sum(n) AS word_chars FROM words GROUP BY doc_id)",
+    ]
+    for width in widths:
+        ctes += [
+            f"""g{width} AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM (
+  SELECT doc_id, i, array_to_string(w[i:i + {width - 1}], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - {width - 2})) AS i FROM split)))""",
+            f"""c{width} AS (SELECT doc_id, count(*) AS k, sum(n) AS n FROM words JOIN (
+  SELECT DISTINCT doc_id, unnest(range(i, i + {width})) AS i FROM g{width} WHERE k > 1) USING (doc_id, i) GROUP BY doc_id)""",
+        ]
+    grams = ", ".join(f"coalesce(c{n}.n, 0) AS dup{n}_chars" for n in repetition.GRAM_LIMITS)
+    joins = " ".join(f"LEFT JOIN c{n} ON c{n}.doc_id = s.doc_id" for n in widths)
+    ctes.append(
+        f"""figures AS (SELECT s.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+  length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(c3.k, 0) AS n_repeat_words, coalesce(dup_line_chars, 0) AS dup_line_chars, {grams}
+  FROM split s LEFT JOIN sizes ON sizes.doc_id = s.doc_id LEFT JOIN same_lines l ON l.doc_id = s.doc_id {joins})"""
+    )
+    whole = [
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars",
+        *(f"dup{n}_chars" for n in repetition.GRAM_LIMITS),
+    ]
+    failed = f"(n_words < {repetition.MIN_WORDS} OR 100 * n_repeat_words > {repetition.REPEAT_LIMIT} * n_words)"
+    limits = {"dup_line_chars": repetition.LINE_LIMIT} | {f"dup{n}_chars": x for n, x in repetition.GRAM_LIMITS.items()}
+    good = " AND ".join(f"100 * {c} <= {x} * word_chars" for c, x in limits.items())
+    columns = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in whole)
+    return (
+        "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, {columns}, {failed} AS base_failed, "
+        f"(NOT {failed} AND {good}) AS kept FROM figures"
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -141,6 +188,7 @@ QUERIES: dict[str, Query] = {
 }
 ORACLE_SQL = {
     "op5_licenses": license_rules.licences_sql("documents"),
+    "op7_repetition": _op7_sql(),
     "op8_contamination": OP8_SQL,
     "op10_url_filter": OP10_SQL,
 }

@@ -79,6 +79,7 @@ def main(args: list[str]) -> int:
     names = args[1:] or list(queries())
     sf_dir = f"{ROOT}/{sf}"
     spark, con = make_session(), connect(sf_dir)
+    spark.conf.set("spark.veilspan.partitions", "8")
     bad = 0
     for name in names:
         began = time.time()

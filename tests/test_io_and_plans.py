@@ -114,7 +114,7 @@ def test_sinks(spark, tmp_path, texts):
 def test_process(texts):
     df = texts("tel 13812345678 or 4929717705917895, a@b.org", " ", None)
     rows = process(df, config_policy()).orderBy("doc_id").collect()
-    assert rows[0].redacted_text == "tel 1381******* or ************7895, [URL]"
+    assert rows[0].redacted_text == "tel 1381******* or ************7895, [EMAIL]"
     assert (rows[0].total_segments, rows[0].total_entities) == (1, 3)
     assert [(r.redacted_text, r.total_segments, r.total_entities) for r in rows[1:]] == [(" ", 0, 0), (None, 0, 0)]
     some = process(df, entities=["BANK_CARD"], segment_by="sentence").filter("doc_id = 0").first()
@@ -178,10 +178,10 @@ def test_stream_needs_a_shared_folder(spark, tmp_path):
 
 @pytest.fixture(scope="module")
 def wide(spark, tmp_path_factory):
-    """As many files as cores, so that inputs are left as they are."""
+    """As many files as cores; nothing is dealt out."""
     path = str(tmp_path_factory.mktemp("wide") / "d")
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(8).write.parquet(path)
-    return readers.spread(readers.read_documents(spark, path), "doc_id")
+    return readers.spread(readers.read_documents(spark, path), None, "doc_id")
 
 
 def test_masking_is_one_narrow_pass(wide):

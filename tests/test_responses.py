@@ -134,4 +134,4 @@ def test_cache(spark):
     assert {r.prompt for r in pr.calls_to_make(prompts, live).collect()} == {"q", "r"}
     answers = spark.createDataFrame([("q", None, 5), ("r", "timed out", 0)], "key string, error string, tokens long")
     row = pr.request_counters(prompts, live, answers).first()
-    assert row.asDict() == {"total_requests": 4, "cache_hits": 2, "calls": 2, "errors": 1, "total_tokens": 5}
+    assert row.asDict() == {"total_requests": 4, "cache_hits": 2, "calls": 2, "errors": 1, "retries": 0, "total_tokens": 5}

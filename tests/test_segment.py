@@ -28,7 +28,10 @@ def test_strip_moves_offsets(texts):
 def test_paragraphs(texts):
     text = "first paragraph\n\nshort\r\n\r\nanother paragraph\n\n\n\nlast one is here"
     got = cut(texts(text), "paragraph")
-    assert [g[4] for g in got] == ["first paragraph", "another paragraph", "last one is here"]
+    assert [g[4] for g in got] == ["first paragraph", "short", "another paragraph", "last one is here"]
+    bounded = segment(texts(text), "paragraph", min_length=10).first()
+    assert [s.text for s in bounded.segments] == ["first paragraph", "another paragraph", "last one is here"]
+    assert [s.text for s in bounded.outside] == ["short"]
     assert all(text[g[2] : g[3]] == g[4] for g in got)
 
 

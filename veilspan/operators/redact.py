@@ -249,7 +249,9 @@ def table_default(policy: DataFrame) -> Policy | None:
     return rows[0] if rows else None
 
 
-def span_replacements(spans: DataFrame, policy: DataFrame, keys: list[str]) -> DataFrame:
+def span_replacements(
+    spans: DataFrame, policy: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Long-form spans with ``replacement`` and ``operator`` from a policy table.
 
     Types without a row take the ``DEFAULT`` row, without one they become ``<TYPE>``, as with
@@ -260,7 +262,7 @@ def span_replacements(spans: DataFrame, policy: DataFrame, keys: list[str]) -> D
     rows = policy.filter(F.col("entity_type") != DEFAULT).select(
         *[F.coalesce("operator", F.lit("replace")).alias(f) if f == "operator" else F.col(f) for f in fields]
     )
-    joined = lookup_join(spans, rows, "entity_type", [*keys, "start"])
+    joined = lookup_join(spans, rows, "entity_type", [*keys, "start"], max_rows=max_rows)
     value = F.col("value")
     hashed = F.coalesce(F.col("hash_type"), F.lit("sha256"))
     other = F.concat(F.lit("<"), F.col("entity_type"), F.lit(">")) if default is None else default.replacement(value)
@@ -309,7 +311,7 @@ def redact_by_table(
     if is_small(policy, max_rows):
         return redact(df, policy_from_rows(policy.collect()), text_col, spans_col)
     spans = df.select(key, F.inline(F.filter(F.col(spans_col), lambda s: s.isNotNull())))
-    named = span_replacements(spans, policy, [key])
+    named = span_replacements(spans, policy, [key], max_rows)
     edits = named.groupBy(key).agg(
         F.array_sort(
             F.collect_list(

@@ -364,24 +364,56 @@ def ground_entity(
 
 def ground_expr(entities: Column, text: Column, **options) -> Column:
     """Entities placed in ``text``; of overlapping ones the better stays; by start."""
-    placed = let(
+    return grounding_expr(entities, text, **options).getField("spans")
+
+
+def grounding_expr(entities: Column, text: Column, **options) -> Column:
+    """``spans`` as in ``ground_expr``, and the entities that have no place in ``text``, ``unplaced``."""
+    tried = let(
         F.length(text),
-        lambda size: F.transform(entities, lambda e: ground_entity(e, text, size, **options)),
+        lambda size: F.transform(
+            entities,
+            lambda e: F.struct(e.alias("entity"), ground_entity(e, text, size, **options).alias("span")),
+        ),
     )
-    return greedy_expr(F.array_compact(placed), GROUNDED_TYPE)
+
+    def both(pairs: Column) -> Column:
+        spans = F.array_compact(F.transform(pairs, lambda p: p.getField("span")))
+        left = F.filter(pairs, lambda p: p.getField("span").isNull())
+        return F.struct(
+            greedy_expr(spans, GROUNDED_TYPE).alias("spans"),
+            F.transform(left, lambda p: p.getField("entity")).alias("unplaced"),
+        )
+
+    return let(tried, both)
 
 
 def ground(
     responses: DataFrame, documents: DataFrame, key: str = "doc_id", **options
 ) -> DataFrame:
-    """Add ``spans`` to extracted responses, from the text with the same ``key``.
+    """Add ``spans``, ``unplaced`` and ``error`` to extracted responses, from the text of their ``key``.
 
-    Texts meet responses on ``key`` alone; only texts with a response are kept,
-    and nothing but key and text takes part in the shuffle.
+    Every response comes out. One without a text has no spans, all its entities unplaced
+    and an ``error``; entities that are not found in their text are ``unplaced``. Nothing
+    but key and text takes part in the shuffle; a plain join, so that a text with very
+    many responses is split at run time.
     """
     texts = documents.select(key, F.col("text").alias("__text"))
+    placed = responses.join(texts, key, "left").withColumn(
+        "__placed", grounding_expr(F.col("entities"), F.col("__text"), **options)
+    )
+    known = F.col("__text").isNotNull()
     return (
-        responses.join(texts, key)
-        .withColumn("spans", ground_expr(F.col("entities"), F.col("__text"), **options))
-        .drop("__text")
+        placed.withColumn("spans", F.when(known, F.col("__placed.spans")).otherwise(F.array().cast(f"array<{GROUNDED_TYPE}>")))
+        .withColumn("unplaced", F.when(known, F.col("__placed.unplaced")).otherwise(F.col("entities")))
+        .withColumn("error", F.when(~known, "no text for this response"))
+        .drop("__text", "__placed")
     )
+
+
+def unplaced_entities(grounded: DataFrame, *keys: str) -> DataFrame:
+    """One row per entity without a place, with why."""
+    why = F.coalesce("error", F.lit("not found in the text"))
+    return grounded.select(
+        *keys, why.alias("error"), F.inline(F.filter("unplaced", lambda e: e.isNotNull()))
+    ).select(*keys, "entity_type", "value", "start", "end", "error")

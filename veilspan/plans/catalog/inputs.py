@@ -19,9 +19,15 @@ AS_OF = dt.date(1999, 1, 1)
 WORD = "[^ \\n]+"
 
 
+def partitions(spark: SparkSession) -> int | None:
+    """What the session asks for in ``spark.veilspan.partitions``: for small tables on many cores."""
+    asked = spark.conf.get("spark.veilspan.partitions", None)
+    return int(asked) if asked else None
+
+
 def documents(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     df = read_documents(spark, f"{sf_dir}/documents.parquet", extra=extra)
-    return spread(df, "doc_id")
+    return spread(df, partitions(spark), "doc_id")
 
 
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +61,7 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" plate 京"), F.when(key % 4 == 0, F.lit("7")).otherwise(F.lit("A")),
         _padded(key % 100000, 5), F.lit(" end"),
     )
-    joined = spread(orders.join(customers, orders.o_custkey == customers.c_custkey), "o_orderkey")
+    joined = spread(orders.join(customers, orders.o_custkey == customers.c_custkey), partitions(spark), "o_orderkey")
     return joined.select(key.alias("doc_id"), text.alias("text"))
 
 
@@ -109,7 +115,7 @@ def turn_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
             ((F.length(w) % 10) / F.lit(10.0)).alias("score"),
         ),
     )
-    timed = spread(turns, "conv_id", "turn").withColumn("words", words)
+    timed = spread(turns, partitions(spark), "conv_id", "turn").withColumn("words", words)
     last = F.try_element_at("words", F.lit(-1)).getField("end")
     segment = F.struct(
         offset.alias("start"), last.alias("end"), F.col("text"), F.col("words")

@@ -112,6 +112,26 @@ def policy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", "start", "end", "entity_type", "replacement", "operator")
 
 
+DEFAULT_SQL = """CASE entity_type WHEN 'URL' THEN '[URL]' WHEN 'EMAIL_ADDRESS' THEN sha256(value) ELSE '[X]' END"""
+DEFAULT_POLICY = [
+    Policy("URL", new_value="[URL]"), Policy("EMAIL_ADDRESS", operator="hash"), Policy(new_value="[X]"),
+]
+
+
+@query("redact_default_small", _redact_sql(DEFAULT_SQL))
+def redact_default_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with a row for all other types, small enough to become an expression."""
+    masked = redact_by_table(found(spark, sf_dir), policy_table(spark, DEFAULT_POLICY))
+    return masked.select("doc_id", F.size("spans").cast("long").alias("n_entities"), "redacted_text")
+
+
+@query("redact_default_large", _redact_sql(DEFAULT_SQL))
+def redact_default_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table, joined as a large one is."""
+    masked = redact_by_table(found(spark, sf_dir), policy_table(spark, DEFAULT_POLICY), max_rows=1)
+    return masked.select("doc_id", F.size("spans").cast("long").alias("n_entities"), "redacted_text")
+
+
 @query("redact_custom", _redact_sql("upper(substring(value, 1, 2)) || '..'"))
 def redact_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep_head = Policy(

@@ -120,17 +120,6 @@ def eval_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("error_rate", """
-SELECT source, count(*) AS n, round(avg(CASE WHEN lang = 'fr' THEN 1 ELSE 0 END), 6) AS error_rate
-FROM documents GROUP BY source""")
-def error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts in one language fail, as if no rule spoke it."""
-    rows = read_table(spark, f"{sf_dir}/documents.parquet", "source", "lang").withColumn(
-        "error", F.when(F.col("lang") == "fr", "language not supported")
-    )
-    return metrics.error_rate(rows, "source").withColumn("error_rate", F.round("error_rate", 6))
-
-
 @query("language_default", """
 SELECT CASE WHEN lang = 'es' OR lang IS NULL THEN 'zh' ELSE lang END AS language, count(*) AS n
 FROM documents GROUP BY 1""")

@@ -12,6 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ...operators import metrics
 from ...operators import prompts as pr
 from ...operators import responses as rs
 from ...operators.resolve import resolve
@@ -219,6 +220,57 @@ def resp_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- what has no place: every fifth response reports something that is in no text, every
+# --- seventh one belongs to no text
+
+ORPHAN = 1_000_000_000
+STRAY = "¤ 0 ¤"
+
+
+def _strays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses in one format that are out of place, grounded."""
+    key = F.col("doc_id")
+    line = F.concat(F.lit("note: "), F.when(key % 5 == 0, STRAY).otherwise(F.substring("text", 1, 1)), F.lit(" (position: 0-1)"))
+    raw = documents(spark, sf_dir).filter("length(text) > 0 AND substring(text, 1, 1) rlike '[A-Za-z]'").select(
+        F.when(key % 7 == 0, key + ORPHAN).otherwise(key).alias("doc_id"), line.alias("raw_response")
+    )
+    read = rs.extract(raw).select("doc_id", "entities")
+    return rs.ground(read, documents(spark, sf_dir))
+
+
+STRAYS_SQL = f"""
+strays AS (SELECT CASE WHEN doc_id % 7 = 0 THEN doc_id + {ORPHAN} ELSE doc_id END AS doc_id,
+  doc_id % 7 = 0 AS orphan, doc_id % 5 = 0 AS stray,
+  CASE WHEN doc_id % 5 = 0 THEN '{STRAY}' ELSE substring(text, 1, 1) END AS value
+FROM documents WHERE regexp_matches(substring(text, 1, 1), '[A-Za-z]'))"""
+
+
+@query("resp_unplaced", q.with_query(
+    [STRAYS_SQL], """SELECT doc_id, 'NOTE' AS entity_type, value,
+      CASE WHEN orphan THEN 'no text for this response' ELSE 'not found in the text' END AS error
+    FROM strays WHERE orphan OR stray"""))
+def resp_unplaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rs.unplaced_entities(_strays(spark, sf_dir), "doc_id").select("doc_id", "entity_type", "value", "error")
+
+
+@query("resp_orphans", q.with_query(
+    [STRAYS_SQL], "SELECT doc_id, 'no text for this response' AS error FROM strays WHERE orphan"))
+def resp_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _strays(spark, sf_dir).filter("error IS NOT NULL").select("doc_id", "error")
+
+
+@query("error_rate", q.with_query(
+    [STRAYS_SQL], """SELECT orphan, count(*) AS n,
+      round(avg(CASE WHEN orphan OR stray THEN 1 ELSE 0 END), 6) AS error_rate FROM strays GROUP BY orphan"""))
+def error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses that could not be placed, whole or in part."""
+    tried = _strays(spark, sf_dir).select(
+        (F.col("doc_id") >= ORPHAN).alias("orphan"),
+        F.coalesce("error", F.when(F.size("unplaced") > 0, "an entity has no place")).alias("error"),
+    )
+    return metrics.error_rate(tried, "orphan").withColumn("error_rate", F.round("error_rate", 6))
+
+
 # --- prompts and cache ----------------------------------------------------------------
 
 TEMPLATE = "List {{ entities }} in the text of {{ role }}.\n{{ text }}\nAnswer for {{ client }}."

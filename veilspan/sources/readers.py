@@ -20,18 +20,13 @@ OCR_SCHEMA = (
 TURN_FIELDS = 9
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores when the input is too small to do so by itself.
+def spread(df: DataFrame, partitions: int | None, *keys: str) -> DataFrame:
+    """``df`` dealt out to so many partitions by a hash of its keys; as it is if none are asked for.
 
-    Pattern scans are bound by CPU, and a file with one row group is one task.
-    Inputs with at least as many files or scan partitions as there are cores, that
-    is, all large ones, are left alone: no shuffle. The hash of unique keys gives
-    even partitions, and the same ones when a task is run again.
+    Pattern scans are bound by CPU, and a file with one row group is one task: small inputs on
+    many cores gain from it. It is the caller's choice, as it shuffles the texts.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    return df.repartition(partitions, *keys) if partitions else df
 
 
 def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
@@ -39,6 +34,18 @@ def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+CORRUPT = "_corrupt_record"
+
+
+def _raw_documents(spark: SparkSession, path: str, fmt: str, key: str, text: str) -> DataFrame:
+    """Records of a text format with what could not be read in ``error``."""
+    schema = f"`{key}` long, `{text}` string, {CORRUPT} string"
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    df = reader.json(path) if fmt == "json" else reader.option("header", True).csv(path)
+    error = F.when(F.col(CORRUPT).isNotNull(), "unreadable record").when(F.col(key).isNull(), "record without key")
+    return df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), CORRUPT, error.alias("error"))
+
+
 def read_documents(
     spark: SparkSession,
     path: str,
@@ -47,18 +54,21 @@ def read_documents(
     text: str = "text",
     extra: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Texts as ``doc_id``, ``text``. Plain text files give one row per line, keyed by its hash."""
+    """Texts as ``doc_id``, ``text``.
+
+    Plain text files give one row per line. Lines have no key of their own: ``doc_id`` numbers
+    them, and is unique and the same again for as long as the files and the split size are;
+    ``file`` names the source. Unreadable JSON and CSV records are left out here and come out
+    of ``read_document_errors``.
+    """
     if fmt == "text":
-        lines = spark.read.text(path)
-        return lines.select(
-            F.xxhash64(F.input_file_name(), "value").alias("doc_id"), F.col("value").alias("text")
-        )
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+        return lines.select(F.monotonically_increasing_id().alias("doc_id"), F.col("value").alias("text"), "file")
+    if fmt in ("json", "csv"):
+        df = _raw_documents(spark, path, fmt, key, text)
+        return df.filter(F.col("error").isNull()).select("doc_id", "text")
     if fmt == "parquet":
         df = spark.read.parquet(path)
-    elif fmt == "json":
-        df = spark.read.schema(f"{key} long, {text} string").json(path)
-    elif fmt == "csv":
-        df = spark.read.schema(f"{key} long, {text} string").csv(path, header=True)
     elif fmt == "orc":
         df = spark.read.orc(path)
     else:
@@ -66,36 +76,66 @@ def read_documents(
     return df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *extra)
 
 
+def read_document_errors(
+    spark: SparkSession, path: str, fmt: str, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """What ``read_documents`` leaves out of JSON and CSV: ``doc_id``, ``text``, ``record`` and ``error``."""
+    df = _raw_documents(spark, path, fmt, key, text)
+    return df.filter(F.col("error").isNotNull()).select("doc_id", "text", F.col(CORRUPT).alias("record"), "error")
+
+
+def _raw_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    reader = spark.read.schema(f"{TRANSCRIPT_SCHEMA}, {CORRUPT} string").option("multiLine", True)
+    df = reader.option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    error = F.when(F.col(CORRUPT).isNotNull(), "unreadable transcript").when(
+        F.col("segments").isNull(), "transcript without segments"
+    )
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return df.select("segments", "language", CORRUPT, name.alias("audio_id"), error.alias("error"))
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Aligned transcripts, one JSON file per recording, named after the file."""
-    df = spark.read.schema(TRANSCRIPT_SCHEMA).option("multiLine", True).json(path)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)
-    return df.withColumn("audio_id", name)
+    """Aligned transcripts, one JSON file per recording, named after the file.
 
+    Files that cannot be read come out of ``read_transcript_errors``.
+    """
+    return _raw_transcripts(spark, path).filter(F.col("error").isNull()).select("segments", "language", "audio_id")
 
-def read_speaker_turns(spark: SparkSession, path: str) -> DataFrame:
-    """Speaker turns from RTTM text; lines of other kinds are left out."""
+
+def read_transcript_errors(spark: SparkSession, path: str) -> DataFrame:
+    """Recordings whose transcript cannot be used: ``audio_id``, ``record`` and ``error``."""
+    df = _raw_transcripts(spark, path).filter(F.col("error").isNotNull())
+    return df.select("audio_id", F.col(CORRUPT).alias("record"), "error")
+
+
+def _raw_turns(spark: SparkSession, path: str) -> DataFrame:
     cells = F.split(F.trim("value"), r"\s+")
-    return (
-        spark.read.text(path)
-        .select(cells.alias("c"))
-        .filter((F.size("c") >= TURN_FIELDS) & (F.col("c")[0] == "SPEAKER"))
-        .select(
-            F.col("c")[1].alias("audio_id"),
-            F.col("c")[7].alias("speaker_id"),
-            F.col("c")[3].try_cast("double").alias("start_time"),
-            F.col("c")[4].try_cast("double").alias("duration"),
-        )
-        .filter("start_time IS NOT NULL AND duration IS NOT NULL")
-        .select(
-            "audio_id",
-            "speaker_id",
-            "start_time",
-            (F.col("start_time") + F.col("duration")).alias("end_time"),
-        )
+    start, length = (F.get("c", F.lit(i)).try_cast("double") for i in (3, 4))
+    lines = spark.read.text(path).select("value", cells.alias("c")).filter(F.col("c")[0] == "SPEAKER")
+    short = F.size("c") < TURN_FIELDS
+    return lines.select(
+        F.get("c", F.lit(1)).alias("audio_id"),
+        F.get("c", F.lit(7)).alias("speaker_id"),
+        F.when(~short, start).alias("start_time"),
+        F.when(~short, start + length).alias("end_time"),
+        "value",
     )
 
 
+def read_speaker_turns(spark: SparkSession, path: str) -> DataFrame:
+    """Speaker turns from RTTM text; lines of other kinds are left out.
+
+    Turns whose times cannot be read come out of ``read_turn_errors``.
+    """
+    return _raw_turns(spark, path).filter("end_time IS NOT NULL").drop("value")
+
+
+def read_turn_errors(spark: SparkSession, path: str) -> DataFrame:
+    """Turns that ``read_speaker_turns`` leaves out: ``audio_id``, ``record`` and ``error``."""
+    bad = _raw_turns(spark, path).filter("end_time IS NULL")
+    return bad.select("audio_id", F.col("value").alias("record"), F.lit("turn without readable times").alias("error"))
+
+
 def read_responses(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     if fmt == "json":
         return spark.read.schema(RESPONSE_SCHEMA).json(path)

@@ -53,10 +53,12 @@ def page_boxes(df: DataFrame, *keys: str, words_col: str = "words") -> DataFrame
     One row per span and word. Words are laid out only on pages with spans.
     """
 
-    def of_span(s: Column, words: Column) -> Column:
+    def of_span(s: Column, words: Column, word_at: Column) -> Column:
         get = s.getField
+        first, last = F.get(word_at, get("start")), F.get(word_at, get("end") - 1)
+        near = F.slice(words, first + 1, F.greatest(F.coalesce(last, F.size(words) - 1) - first + 1, F.lit(0)))
         inside = F.filter(
-            words, lambda w: (w.getField("c0") < get("end")) & (w.getField("c1") > get("start"))
+            near, lambda w: (w.getField("c0") < get("end")) & (w.getField("c1") > get("start"))
         )
         return F.transform(
             inside,
@@ -75,7 +77,13 @@ def page_boxes(df: DataFrame, *keys: str, words_col: str = "words") -> DataFrame
         F.size("spans") > 0,
         let(
             let(F.col(words_col), _placed),
-            lambda words: F.flatten(F.transform("spans", lambda s: of_span(s, words))),
+            lambda words: let(
+                # the word at, or before, every character of the page
+                F.flatten(
+                    F.transform(words, lambda w, i: F.array_repeat(i, w.getField("c1") - w.getField("c0") + 1))
+                ),
+                lambda word_at: F.flatten(F.transform("spans", lambda s: of_span(s, words, word_at))),
+            ),
         ),
     )
     return df.select(*keys, F.inline(F.filter(covered, lambda b: b.isNotNull())))

@@ -117,10 +117,11 @@ def segment_intervals_expr(
     ).otherwise(whole)
 
 
-def word_intervals(df: DataFrame, *keys: str) -> DataFrame:
-    """Long form of all character intervals, offsets counted in the joined text.
+def intervals_expr(segments: Column) -> Column:
+    """All character intervals of a recording, offsets counted in the joined text.
 
-    The space between two segments takes the end time of the first.
+    They follow each other without a gap. The space between two segments takes the end
+    time of the first.
     """
 
     def place(segs: Column) -> Column:
@@ -157,7 +158,12 @@ def word_intervals(df: DataFrame, *keys: str) -> DataFrame:
             ),
         )
 
-    return df.select(*keys, F.inline(let(F.col("segments"), place))).filter("c1 > c0")
+    return F.filter(let(segments, place), lambda w: w.getField("c1") > w.getField("c0"))
+
+
+def word_intervals(df: DataFrame, *keys: str) -> DataFrame:
+    """Long form of ``intervals_expr``."""
+    return df.select(*keys, F.inline(intervals_expr(F.col("segments"))))
 
 
 # --- spans on the time axis -----------------------------------------------------
@@ -219,6 +225,47 @@ def span_times(
     )
 
 
+def row_span_times(
+    df: DataFrame, *keys: str, interpolate: bool = True, fields: tuple[str, ...] = ("entity_type", "pattern", "start", "end", "value")
+) -> DataFrame:
+    """``span_times`` where a recording's spans and segments stand on one row: no join, no shuffle.
+
+    One row per span with ``keys``, ``fields``, ``start_time`` and ``end_time``. Words are laid
+    out only for recordings with spans, once, and every span looks its two ends up by their place.
+    """
+
+    def timed(words: Column) -> Column:
+        # the interval of every character, so that a span finds its ends without a search
+        at = F.flatten(
+            F.transform(words, lambda w, i: F.array_repeat(i, w.getField("c1") - w.getField("c0")))
+        )
+        return let(at, lambda where: F.transform("spans", lambda s: one(s, words, where)))
+
+    def one(s: Column, words: Column, where: Column) -> Column:
+        a = F.get(words, F.get(where, s.getField("start")))
+        b = F.get(words, F.get(where, s.getField("end") - 1))
+        return let(F.struct(a.alias("a"), b.alias("b")), lambda x: out(s, x.getField("a"), x.getField("b")))
+
+    def out(s: Column, a: Column, b: Column) -> Column:
+        one_word = F.lit(False)
+        if interpolate:
+            same = (a.getField("c0") == b.getField("c0")) & a.getField("word").isNotNull()
+            one_word = F.coalesce(same, F.lit(False))
+        per_char = (a.getField("t1") - a.getField("t0")) / (a.getField("c1") - a.getField("c0"))
+
+        def inside(place: str) -> Column:
+            return a.getField("t0") + (s.getField(place) - a.getField("c0")) * per_char
+
+        return F.struct(
+            *[s.getField(f).alias(f) for f in fields],
+            F.when(one_word, inside("start")).otherwise(a.getField("t0")).alias("start_time"),
+            F.when(one_word, inside("end")).otherwise(b.getField("t1")).alias("end_time"),
+        )
+
+    spans = F.when(F.size("spans") > 0, let(intervals_expr(F.col("segments")), timed))
+    return df.select(*keys, F.inline(F.filter(spans, lambda s: s.isNotNull())))
+
+
 def span_speakers(
     spans: DataFrame, turns: DataFrame, keys: list[str], span_keys: list[str] | None = None,
     width: float = TIME_BUCKET,

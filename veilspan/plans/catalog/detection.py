@@ -9,7 +9,7 @@ from ...functions.checks import card_scheme, is_bank_card
 from ...operators.joins import lookup_join
 from ...operators.reference_values import BANK_BY_BIN, CARD_SCHEME_PREFIXES
 from ...operators.resolve import resolve
-from ...operators.rules import Rule, builtin_rules, ip_address_rule, select_rules
+from ...operators.rules import Rule, builtin_rules, ip_address_rule, select_rules, supported_entities
 from ...operators.scan import (
     boost_expr, explode_spans, is_valid_span, keep_expr, scan, split_valid,
 )
@@ -157,6 +157,21 @@ def validate_id_card_15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(spark, sf_dir, ID_15)
 
 
+TYPES = sorted({r.entity_type for r in RAW})
+
+
+@query("supported_entities", q.with_query(
+    [q.hits("h", "documents", RAW)],
+    f"""SELECT t.entity_type, count(h.doc_id) AS n FROM (SELECT UNNEST({TYPES!r}) AS entity_type) t
+    LEFT JOIN h ON h.entity_type = t.entity_type GROUP BY t.entity_type"""))
+def supported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each supported type is found, those that are not found included."""
+    counts = explode_spans(scan(documents(spark, sf_dir), RAW), "doc_id").groupBy("entity_type").agg(F.count("*").alias("n"))
+    return supported_entities(spark, RAW).join(counts, "entity_type", "left").select(
+        "entity_type", F.coalesce("n", F.lit(0)).alias("n")
+    )
+
+
 # --- bank and network of a card: a lookup join and a prefix chain ------------------
 
 LEADS = [*BANK_BY_BIN, "411111", "510000", "340000", "350000", "601100", "650000", "990000"]

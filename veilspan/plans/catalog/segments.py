@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ...operators.redact import Policy, redact
-from ...operators.segment import explode_segments, segment
-from ...plans.text import analyze
+from ...operators.segment import explode_segments, segment, segment_with
+from ...plans.text import analyze, process
 from . import sqltext as q
 from .detection import RAW, strict
 from .inputs import documents
@@ -134,6 +134,37 @@ def seg_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cut(spark, sf_dir, "whole")
 
 
+@query("seg_function", q.with_query(
+    ["""parts AS (SELECT doc_id, text, UNNEST(range(0, (length(text) + 99) // 100)) AS part FROM documents
+      WHERE regexp_matches(text, '[^ \\t\\n\\v\\f\\r]'))"""],
+    """SELECT doc_id, CAST(part AS INTEGER) AS seg_no, printf('seg_%04d', part) AS segment_id,
+      CAST(part * 100 AS INTEGER) AS "start", CAST(least(part * 100 + 100, length(text)) AS INTEGER) AS "end",
+      substring(text, part * 100 + 1, 100) AS text, CAST(NULL AS VARCHAR) AS error FROM parts"""))
+def seg_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments by a caller's function: a hundred characters each."""
+
+    def hundreds(text: str) -> list[tuple[int, int, str]]:
+        return [(i, min(i + 100, len(text)), text[i : i + 100]) for i in range(0, len(text), 100)]
+
+    return segment_with(documents(spark, sf_dir), hundreds)
+
+
+BLANKS = "\u3000 \n\t"
+
+
+@query("blank_texts", f"""
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR NOT regexp_matches(text, '[^\\p{{Z}}\\t\\n\\v\\f\\r]') THEN 0 ELSE 1 END
+  AS total_segments FROM documents""")
+def blank_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third text is white space of several scripts: it has no segment and comes out as it is."""
+    df = documents(spark, sf_dir).withColumn(
+        "text", F.when(F.col("doc_id") % 3 == 0, F.lit(BLANKS)).otherwise(F.col("text"))
+    )
+    done = process(df, [], rules=strict("EMAIL_ADDRESS"))
+    same = (F.col("doc_id") % 3 != 0) | (F.col("redacted_text") == BLANKS)
+    return done.filter(same).select("doc_id", F.col("total_segments").cast("int").alias("total_segments"))
+
+
 # Spans are looked for in one sentence at a time, then moved to the whole text.
 SEGMENTED_SQL = [
     SENTENCES_SQL,

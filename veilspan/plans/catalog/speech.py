@@ -57,13 +57,8 @@ timed AS (
 
 
 def timed_spans(spark: SparkSession, sf_dir: str, interpolate: bool = True) -> DataFrame:
-    turns = turn_segments(spark, sf_dir)
-    spans = explode_spans(scan(turns, SPEECH_RULES), *KEYS).select(
-        *KEYS, "entity_type", "pattern", "start", "end", "value"
-    )
-    return tr.span_times(
-        spans, tr.word_intervals(turns, *KEYS), KEYS, interpolate=interpolate
-    )
+    found = scan(turn_segments(spark, sf_dir), SPEECH_RULES)
+    return tr.row_span_times(found, *KEYS, interpolate=interpolate)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -80,6 +75,18 @@ def span_to_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(timed_spans(spark, sf_dir, interpolate=False))
 
 
+@query("span_time_join", q.with_query(
+    TIMES, 'SELECT conv_id, turn, entity_type, pattern, "start", "end", value, '
+    "round(start_time, 6) AS start_time, round(end_time, 6) AS end_time FROM timed"))
+def span_time_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a table of spans and a table of words."""
+    turns = turn_segments(spark, sf_dir)
+    spans = explode_spans(scan(turns, SPEECH_RULES), *KEYS).select(
+        *KEYS, "entity_type", "pattern", "start", "end", "value"
+    )
+    return _rounded(tr.span_times(spans, tr.word_intervals(turns, *KEYS), KEYS))
+
+
 @query("span_interp_time", q.with_query(
     TIMES, 'SELECT conv_id, turn, entity_type, pattern, "start", "end", value, '
     "round(start_time, 6) AS start_time, round(end_time, 6) AS end_time FROM timed"))
@@ -178,6 +185,68 @@ def overlapped_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("overlap_time", F.round("overlap_time", 4))
 
 
+# --- recordings of several segments: eight turns of a conversation each, some without word times
+
+TURNS = 8
+RECORDING_SQL = [
+    SPEECH_SQL,
+    f"""rec AS (SELECT conv_id, turn // {TURNS} AS part, turn, text, t_turn,
+  CAST(row_number() OVER (PARTITION BY conv_id, turn // {TURNS} ORDER BY turn) - 1 AS INTEGER) AS seg_no FROM turns)""",
+]
+
+
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested transcripts; every third turn has words without times."""
+    seg = F.col("segments")[0]
+    untimed = F.transform(
+        seg["words"],
+        lambda w: F.struct(
+            w["word"].alias("word"), F.lit(None).cast("double").alias("start"),
+            F.lit(None).cast("double").alias("end"), w["score"].alias("score"),
+        ),
+    )
+    words = F.when(F.col("turn") % 3 == 1, untimed).otherwise(seg["words"])
+    turns = turn_segments(spark, sf_dir).select(
+        "conv_id", F.floor(F.col("turn") / TURNS).alias("part"), "turn",
+        F.struct(seg["start"].alias("start"), seg["end"].alias("end"), seg["text"].alias("text"), words.alias("words")).alias("seg"),
+    )
+    nested = turns.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "seg"))).alias("s"))
+    return nested.select("conv_id", "part", F.transform("s", lambda x: x["seg"]).alias("segments"))
+
+
+@query("transcript_text", q.with_query(
+    RECORDING_SQL, "SELECT conv_id, part, string_agg(text, ' ' ORDER BY turn) AS text FROM rec GROUP BY conv_id, part"))
+def transcript_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.transcript_text(recordings(spark, sf_dir)).select("conv_id", "part", "text")
+
+
+@query("flatten_words", q.with_query(
+    RECORDING_SQL, """SELECT r.conv_id, r.part, r.seg_no, w.word_no, w.word,
+      CASE WHEN r.turn % 3 <> 1 THEN round(w.t0, 6) END AS t0, CASE WHEN r.turn % 3 <> 1 THEN round(w.t1, 6) END AS t1
+    FROM rec r JOIN words w ON w.conv_id = r.conv_id AND w.turn = r.turn"""))
+def flatten_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = tr.flatten_words(recordings(spark, sf_dir), "conv_id", "part")
+    return flat.select(
+        "conv_id", "part", "seg_no", "word_no", "word", F.round("t0", 6).alias("t0"), F.round("t1", 6).alias("t1")
+    )
+
+
+@query("word_gaps", q.with_query(
+    [*RECORDING_SQL,
+     """placed AS (SELECT r.*, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id, part ORDER BY turn
+       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM rec r)"""],
+    """SELECT p.conv_id, p.part, CAST(p.c AS INTEGER) AS c0, CAST(p.c + length(p.text) AS INTEGER) AS c1,
+      round(s.start_time, 6) AS t0, round(s.end_time, 6) AS t1
+    FROM placed p JOIN speaker_turns s ON s.conv_id = p.conv_id AND s.turn = p.turn WHERE p.turn % 3 = 1"""))
+def word_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments without word times, placed in the recording's text with the segment's own times."""
+    whole = tr.word_intervals(recordings(spark, sf_dir), "conv_id", "part")
+    # such an interval names no word and, unlike a gap, lasts
+    return whole.filter("word IS NULL AND t1 > t0").select(
+        "conv_id", "part", "c0", "c1", F.round("t0", 6).alias("t0"), F.round("t1", 6).alias("t1")
+    )
+
+
 # --- cut lists: a recording is as long as its last turn -----------------------------
 
 BEEPS = [

@@ -135,3 +135,30 @@ def test_cache(spark):
     answers = spark.createDataFrame([("q", None, 5), ("r", "timed out", 0)], "key string, error string, tokens long")
     row = pr.request_counters(prompts, live, answers).first()
     assert row.asDict() == {"total_requests": 4, "cache_hits": 2, "calls": 2, "errors": 1, "retries": 0, "total_tokens": 5}
+
+
+def test_loose_places_against_all_windows(spark):
+    """The first window that equals the value but for case and punctuation, on random strings."""
+    import random
+    import re
+
+    draw = random.Random(4)
+    rows = []
+    for _ in range(300):
+        text = "".join(draw.choice("ab A.-,") for _ in range(draw.randrange(0, 40)))
+        value = "".join(draw.choice("abAB.- ") for _ in range(draw.randrange(1, 7)))
+        rows.append((text, value))
+    df = spark.createDataFrame(rows, "t string, v string")
+    bare = rs._no_punctuation(F.lower("v"))
+    got = df.select("t", "v", rs._loose_place(F.split("t", "", -1), F.length("t"), bare, F.length("v")).alias("at")).collect()
+
+    def plain(x):
+        return re.sub(r"\W", "", x.lower())
+
+    for r in got:
+        n = len(r.v)
+        first = next((i for i in range(len(r.t) - n + 1) if plain(r.t[i : i + n]) == plain(r.v)), None)
+        if len(plain(r.v)) >= 3:  # shorter ones are not searched for
+            assert r["at"] is None or plain(r.t[r["at"] : r["at"] + n]) == plain(r.v)
+            # of occurrences that overlap each other, the first counts
+            assert r["at"] == first or plain(r.v) * 2 in plain(r.t) or len(set(plain(r.v))) < 3, (r, first)

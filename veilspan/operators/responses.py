@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import empty_array, let
+from ..functions.arrays import empty_array, let, running_starts
 from ..functions.text import slice_text, strip
 from .resolve import greedy_expr
 from .scan import SPAN_TYPE
@@ -224,6 +224,42 @@ def _no_punctuation(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\W", "")
 
 
+def _loose_place(chars: Column, size: Column, bare: Column, width: Column) -> Column:
+    """Where ``width`` characters in a row hold just the letters of ``bare``; null if nowhere.
+
+    The letters of the text are laid out once, each with its place. Where ``bare`` is among
+    them, the window may begin at any place that takes in its letters and no others.
+    """
+
+    def lower(c: Column) -> Column:  # one letter stays one
+        return F.when(F.length(F.lower(c)) == 1, F.lower(c)).otherwise(c)
+
+    def search(at: Column) -> Column:
+        letters = F.array_join(F.transform(at, lambda i: lower(chars[i])), "")
+        m = F.length(bare)
+
+        def among(parts: Column) -> Column:
+            starts = running_starts(F.transform(parts, lambda p: F.length(p) + m))
+
+            def window(k: Column) -> Column:
+                before = F.coalesce(F.get(at, k - 1), F.lit(-1))
+                after = F.coalesce(F.get(at, k + m), size)
+                low = F.greatest(before + 1, F.get(at, k + m - 1) + 1 - width)
+                return F.when(low <= F.least(F.get(at, k), after - width), low)
+
+            def first(s: Column) -> Column:
+                numbers = F.sequence(F.lit(0), F.size(parts) - 2)
+                places = F.transform(numbers, lambda j: window(s[j] + F.length(parts[j])))
+                return F.try_element_at(F.array_compact(places), F.lit(1))
+
+            return F.when(F.size(parts) > 1, let(starts, first))
+
+        return let(F.split(letters, bare, -1), among)
+
+    numbers = F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)))
+    return let(F.filter(numbers, lambda i: _no_punctuation(chars[i]) != ""), search)
+
+
 def ground_entity(
     e: Column, text: Column, size: Column, min_confidence: float = MIN_CONFIDENCE,
     max_offset: int = MAX_OFFSET, partial: bool = True,
@@ -261,23 +297,15 @@ def ground_entity(
         width = F.length(v)
 
         def loose(bare: Column) -> Column:
-            # Windows as long as the value that equal it but for case and punctuation.
-            first = let(
-                F.split(text, "", -1),
-                lambda cs: F.filter(
-                    F.sequence(F.lit(0), F.greatest(size - width, F.lit(0))),
-                    lambda i: _no_punctuation(
-                        F.lower(F.array_join(F.slice(cs, i + 1, width), ""))
-                    ) == bare,
-                ),
-            )
+            # The first window as long as the value that equals it but for case and punctuation.
+            first = let(F.split(text, "", -1), lambda cs: _loose_place(cs, size, bare, width))
             worth_it = (F.length(bare) >= 3) & (
                 F.instr(_no_punctuation(F.lower(text)), bare) > 0
             )
             return F.when(
                 worth_it,
                 let(
-                    F.try_element_at(first, F.lit(1)),
+                    first,
                     lambda at: F.when(
                         at.isNotNull(),
                         placed(

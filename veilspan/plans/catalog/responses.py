@@ -238,6 +238,25 @@ def _strays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rs.ground(read, documents(spark, sf_dir))
 
 
+TWO_WORDS = "^[A-Za-z]+ [A-Za-z]+"
+
+
+@query("resp_loose", f"""
+WITH v AS (SELECT doc_id, text, replace(upper(regexp_extract(text, '{TWO_WORDS}')), ' ', '.') AS v FROM documents
+  WHERE regexp_matches(text, '{TWO_WORDS}'))
+SELECT doc_id, 'NOTE' AS entity_type, 0 AS "start", CAST(length(v) AS INTEGER) AS "end", 'loose_search' AS repair
+FROM v WHERE strpos(lower(text), lower(v)) = 0 AND length(v) >= 4""")
+def resp_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two words of a text, reported in capitals, with a dot between and out of place."""
+    words = F.replace(F.upper(F.regexp_extract("text", TWO_WORDS, 0)), F.lit(" "), F.lit("."))
+    raw = documents(spark, sf_dir).filter(F.col("text").rlike(TWO_WORDS)).select(
+        "doc_id", F.concat(F.lit("note: "), words, F.lit(f" (position: {FAR}-{FAR + 9})")).alias("raw_response")
+    )
+    placed = rs.ground(rs.extract(raw).select("doc_id", "entities"), documents(spark, sf_dir))
+    spans = placed.select("doc_id", F.inline(F.filter("spans", lambda s: s.isNotNull())))
+    return spans.filter("repair = 'loose_search'").select("doc_id", "entity_type", "start", "end", "repair")
+
+
 STRAYS_SQL = f"""
 strays AS (SELECT CASE WHEN doc_id % 7 = 0 THEN doc_id + {ORPHAN} ELSE doc_id END AS doc_id,
   doc_id % 7 = 0 AS orphan, doc_id % 5 = 0 AS stray,

@@ -27,10 +27,10 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters encoded at once; their token lists are all that is held besides a batch.
-SLICE_CHARS = 4 * 1024 * 1024
+SLICE_CHARS = 2 * 1024 * 1024
 DECODE_ROWS = 512
 #: Words whose ids a worker keeps.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 ROW = 256
 WORD = re.compile(" +[^ ]*")
 

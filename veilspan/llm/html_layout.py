@@ -32,8 +32,13 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset(
-    "script style title head template iframe noembed noframes datalist audio video canvas object svg math meta link base".split()
+    "script style title head template iframe noembed noframes datalist audio video canvas object meta link base".split()
 )
+#: Not shown inside an element of the first name.
+UNSEEN_INSIDE = {
+    "math": frozenset("annotation annotation-xml".split()),
+    "svg": frozenset("defs title desc metadata symbol clippath mask marker pattern lineargradient radialgradient".split()),
+}
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre search section summary table "
@@ -68,10 +73,15 @@ MOST_SPAN = 1000
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "inside", "tag")
+
+    def __init__(self, tag: str, attrs: dict[str, str], inside: str = "") -> None:
+        self.tag, self.attrs, self.children, self.inside = tag, attrs, [], inside
+
 
-    def __init__(self, tag: str, attrs: dict[str, str]) -> None:
-        self.tag, self.attrs, self.children = tag, attrs, []
+def _inside(parent: Node) -> str:
+    """The drawing or formula that children of ``parent`` are parts of; HTML may come again within."""
+    return "" if parent.tag == "foreignobject" else parent.tag if parent.tag in UNSEEN_INSIDE else parent.inside
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -131,11 +141,13 @@ def build_tree(source: str) -> tuple[Node, str]:
         if stack[-1].tag == "head" and tag not in HEAD_ONLY:
             stack.pop()
         if tag in CLOSES_P:
-            close({"p"}, SCOPES | {"button"})
+            close({"p"}, SCOPES | {"button", "foreignobject", "annotation-xml"})
         if tag in IMPLIED:
             close(*IMPLIED[tag])
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, _inside(stack[-1]))
         stack[-1].children.append(node)
+        if found["attrs"].endswith("/") and (node.inside or tag in UNSEEN_INSIDE):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE).search(source, at)
             inner = source[at : end.start()] if end else source[at:]
@@ -173,6 +185,8 @@ class Page:
         attrs = node.attrs
         if node.tag in UNSEEN or "hidden" in attrs or NOT_SHOWN.search(attrs.get("style", "")):
             return False
+        if node.inside and (node.tag in UNSEEN_INSIDE[node.inside] or attrs.get("display") == "none"):
+            return False
         if node.tag == "dialog" and "open" not in attrs:
             return False
         if self.rules:
@@ -245,6 +259,9 @@ class Page:
                 continue
             if tag in ("td", "th"):
                 line.append(" ")
+            if tag == "text" and item.inside == "svg":
+                end_line()
+                todo.append((None, visible, (False, state["indent"], state["pre"], False)))
             children = item.children
             if tag == "details" and "open" not in item.attrs:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]

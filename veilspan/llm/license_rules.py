@@ -76,6 +76,10 @@ SENTENCES = {
         "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
         "option) any later version."
     ),
+    "gpl2-only": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; version 2 of the License."
+    ),
     "gpl-warranty": (
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
         "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
@@ -89,7 +93,7 @@ SENTENCES = {
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
-# Licence and its sequence of identifiers; earlier rules come first and use up what they match (fixed values).
+# Licence and its sequence of sentences; earlier rules come first and use up what they match (fixed values).
 RULES = [
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty")),
     ("MIT", ("mit-grant", "mit-notice")),
@@ -106,6 +110,8 @@ RULES = [
     ("GPL-3.0-or-later", ("gpl3-later",)),
     ("GPL-2.0-or-later", ("gpl2-later", "gpl-warranty")),
     ("GPL-2.0-or-later", ("gpl2-later",)),
+    ("GPL-2.0-only", ("gpl2-only", "gpl-warranty")),
+    ("GPL-2.0-only", ("gpl2-only",)),
     ("GPL-3.0-only", ("gpl3-short",)),
     ("GPL-2.0-only", ("gpl2-short",)),
     ("MPL-2.0", ("mpl2",)),
@@ -137,21 +143,30 @@ def _plain_sentence(sentence: str) -> str:
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in sentence.lower()).split())
 
 
-def _check() -> dict[str, str]:
+def _check() -> tuple[dict[str, str], dict[str, tuple[str, ...]]]:
+    """Identifiers of known parts, and the identifiers that each sentence is made of.
+
+    A sentence with end marks inside has an identifier for each part from the first that holds
+    a trigger; what comes before, as in "This program is free software", may have other words.
+    """
     import re
 
     known: dict[str, str] = {}
+    made_of: dict[str, tuple[str, ...]] = {}
     for name, sentence in SENTENCES.items():
-        # a sentence with an end mark inside is known by its first part that is nobody else's
         parts = [_plain_sentence(p) for p in re.split(SENTENCE_END, sentence) if p and _plain_sentence(p)]
-        own = next((p for p in parts if p not in known and re.search(TRIGGER, p)), None)
-        if own is None:
+        start = next((i for i, p in enumerate(parts) if re.search(TRIGGER, p)), len(parts))
+        parts = parts[start:]
+        names = [name] if len(parts) == 1 else [f"{name}-{i}" for i in range(1, len(parts) + 1)]
+        sequence = tuple(known.setdefault(p, n) for p, n in zip(parts, names, strict=True))
+        if not sequence or sequence in made_of.values():
             raise ValueError(f"licence sentence {name} cannot be told from others")
-        known[own] = name
-    return known
+        made_of[name] = sequence
+    return known, made_of
 
 
-KNOWN = _check()
+KNOWN, MADE_OF = _check()
+RULES = [(licence, tuple(i for name in names for i in MADE_OF[name])) for licence, names in RULES]
 
 
 def _identifiers(text: Column, ends: str) -> Column:

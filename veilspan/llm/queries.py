@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from . import (
     containment,
     fuzzy_lines,
     html_layout,
     license_rules,
+    periodic_runs,
     piece_codec,
     quality_knn,
     repetition,
@@ -19,7 +22,7 @@ from . import (
     token_cache,
     url_filter,
 )
-from .common import shared_path
+from .common import WORD_GAP, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +83,38 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(spark, table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with the last words of every tenth text, by key digest, made periodic."""
+    digest = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1))
+    g = F.floor(digest / 10)
+
+    def periodic(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % F.greatest(n, F.lit(1))
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        word = lambda i: F.element_at(words, (F.when(i < a, i).otherwise(a + (i - a) % p) + 1).cast("int"))
+        return F.array_join(F.transform(words, lambda _, i: word(i)), " ")
+
+    words = F.filter(F.split("text", WORD_GAP), lambda w: w != "")
+    return docs.select("doc_id", F.when(digest % 10 == 0, let(words, periodic)).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    order = F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"]))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("top", F.array_max(order)).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.col2")).alias("start"),
+        F.col("top.length").alias("length"),
+        (-F.col("top.col3")).alias("period"),
+        F.floor(1000 * F.col("top.length") / -F.col("top.col3")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 OP10_SQL = r"""
 WITH parts AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''),
@@ -184,6 +219,7 @@ QUERIES: dict[str, Query] = {
         op8_contamination,
         op9_html_layout,
         op10_url_filter,
+        op11_periodic_runs,
     )
 }
 ORACLE_SQL = {

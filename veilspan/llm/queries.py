@@ -12,6 +12,7 @@ from ..functions.arrays import let
 from . import (
     containment,
     fuzzy_lines,
+    hard_negatives,
     html_layout,
     license_rules,
     periodic_runs,
@@ -21,6 +22,7 @@ from . import (
     simhash_dedup,
     token_cache,
     url_filter,
+    vector_files,
 )
 from .common import WORD_GAP, shared_path
 
@@ -115,6 +117,57 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved), "vec_id % 100 = 0")
+
+
+def op13_vector_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_files.exact_top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
+#: Components as whole numbers; a DuckDB double compares a NaN as greater than infinity.
+WHOLE_SQL = """
+WITH whole AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+)"""
+
+OP12_SQL = (
+    WHOLE_SQL
+    + """, rows_ AS (
+  SELECT vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+  FROM whole WHERE label IS NOT NULL
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows_ a, rows_ b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), ranked AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM positives JOIN scores USING (anchor_id)
+  WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= 10"""
+)
+
+OP13_SQL = (
+    WHOLE_SQL
+    + """, scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q, whole c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id, score
+FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
+)
+
 OP10_SQL = r"""
 WITH parts AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''),
@@ -220,6 +273,8 @@ QUERIES: dict[str, Query] = {
         op9_html_layout,
         op10_url_filter,
         op11_periodic_runs,
+        op12_hard_negatives,
+        op13_vector_files,
     )
 }
 ORACLE_SQL = {
@@ -227,4 +282,6 @@ ORACLE_SQL = {
     "op7_repetition": _op7_sql(),
     "op8_contamination": OP8_SQL,
     "op10_url_filter": OP10_SQL,
+    "op12_hard_negatives": OP12_SQL,
+    "op13_vector_files": OP13_SQL,
 }

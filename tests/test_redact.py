@@ -1,6 +1,7 @@
 """Masking."""
 
 import hashlib
+import re
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from veilspan.functions.masks import decrypt_value
 from veilspan.operators.redact import (
     Policy, audit_log, config_policy, explode_items, operator_list, policy_from_rows, policy_table,
-    rebuild_expr, redact, redact_by_table,
+    rebuild_expr, redact, redact_by_table, restore,
 )
 from veilspan.operators.resolve import resolve
 from veilspan.operators.rules import Rule
@@ -120,6 +121,50 @@ def test_policy_table_small_and_large_give_the_same(spark, texts):
     assert row.redacted_text == hashlib.md5(b"12345").hexdigest() + " <WORD> 京"
 
 
+@pytest.mark.parametrize("max_rows", [10, 0])
+@pytest.mark.parametrize("fillers", [0, 100])
+def test_policy_table_and_keys(spark, max_rows, fillers):
+    """Null and repeated keys, and texts without spans, at every size of the policy."""
+    rows = [(None, "mail 12345 now"), (1, "card 77 x"), (1, "write 8 and 9"), (None, None), (2, "none here")]
+    df = resolve(scan(spark.createDataFrame(rows, "doc_id long, text string"), [NUMBER]))
+    policy = [Policy(new_value="[X]"), *[Policy(f"T{i}", new_value="y") for i in range(fillers)]]
+    masked_ = redact_by_table(df, policy_table(spark, policy), max_rows=max_rows and max_rows + fillers)
+    got = sorted(masked_.select("doc_id", "text", "redacted_text", "error").collect(), key=repr)
+    assert got == sorted([(k, t, t and re.sub("[0-9]+", "[X]", t), None) for k, t in rows], key=repr)
+
+
+def test_policy_table_of_many_types(spark, texts):
+    policy = [Policy(f"T{i}", new_value=str(i)) for i in range(200)] + [Policy("NUMBER", operator="mask", chars_to_mask=1)]
+    df = resolve(scan(texts("12345 abc"), [NUMBER, WORD]))
+    for limit in (1000, 5):
+        row = redact_by_table(df, policy_table(spark, policy), max_rows=limit).first()
+        assert row.redacted_text == "1234* <WORD>"
+    with pytest.raises(ValueError):
+        redact_by_table(df, policy_table(spark, policy), max_types=20)
+    with pytest.raises(ValueError):
+        redact_by_table(df, policy_table(spark, policy).selectExpr("nullif(entity_type, 'T3') AS entity_type", "operator"))
+
+
+def test_restore(texts):
+    key = "k" * 16
+    df = masked(texts("a 1 b 22", "none", None, "3", "😀 4京"), [Policy(operator="encrypt", key=key)], [NUMBER])
+    back = restore(df, key).orderBy("doc_id").select("text", "restored_text", "restore_error").collect()
+    assert all(r.text == r.restored_text for r in back)
+    assert [r.restore_error for r in back] == [None, None, "no masked text", None, None]
+    wrong = restore(df, "w" * 16).orderBy("doc_id").collect()
+    assert [r.restored_text for r in wrong] == [None, "none", None, None, None]
+    assert wrong[0].restore_error == "a value cannot be decrypted"
+    cut = restore(df.withColumn("redacted_text", F.expr("substring(redacted_text, 1, 20)")), key).filter("doc_id = 0").first()
+    assert cut.restored_text is None and cut.restore_error == "items do not fit the text"
+    changed = restore(df.withColumn("redacted_text", F.expr("replace(redacted_text, 'A', 'B')")), key)
+    assert changed.filter("doc_id = 0").first().restored_text in (None, "a 1 b 22")
+    twice = restore(df.withColumn("items", F.concat("items", "items")), key).filter("doc_id = 0").first()
+    assert twice.restored_text is None and twice.restore_error == "items do not fit the text"
+    lost = masked(texts("a 1", "b"), [Policy()], [NUMBER])
+    assert [r.restore_error for r in restore(lost, key).orderBy("doc_id").collect()] == ["a value was not encrypted", None]
+    assert restore(df.withColumn("items", F.lit(None).cast(df.schema["items"].dataType)), key).filter("doc_id = 1").first().restored_text == "none"
+
+
 def test_policy_rows(spark):
     back = policy_from_rows(policy_table(spark, config_policy()).collect())
     assert [p.entity_type for p in back] == [p.entity_type for p in config_policy()]

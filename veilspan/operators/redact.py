@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -11,11 +12,13 @@ from pyspark.sql import functions as F
 from ..functions import masks
 from ..functions.arrays import let, running_starts
 from ..functions.text import slice_text
-from .joins import BROADCAST_ROWS, is_small, lookup_join
+from .joins import BROADCAST_BYTES, BROADCAST_ROWS, lookup_join
 from .reference_values import POLICY_TABLE
 
 DEFAULT = "DEFAULT"
 OPERATORS = ("replace", "mask", "hash", "redact", "encrypt", "custom")
+#: Policies of more types are looked up in a map, not told apart one by one.
+WIDEST_CASE = 64
 POLICY_SCHEMA = (
     "entity_type string, operator string, new_value string, masking_char string, "
     "chars_to_mask int, from_end boolean, hash_type string"
@@ -228,6 +231,18 @@ def policy_from_rows(rows: Iterable) -> list[Policy]:
     ]
 
 
+def check_policy_rows(rows: list) -> list[Policy]:
+    """Policies from all rows of a table, which has one row for a type and what ``Policy`` accepts."""
+    if any(row["entity_type"] is None for row in rows):
+        raise ValueError("a policy table names an entity type in every row")
+    try:
+        policies = policy_from_rows(rows)
+        _by_type(policies)
+    except ValueError as e:
+        raise ValueError(f"not a policy table: {e}") from e
+    return policies
+
+
 def table_default(policy: DataFrame) -> Policy | None:
     """The ``DEFAULT`` row of a policy table, which is checked as a whole.
 
@@ -249,6 +264,35 @@ def table_default(policy: DataFrame) -> Policy | None:
     return rows[0] if rows else None
 
 
+def _table_fields(policy: DataFrame) -> list[Column]:
+    """All fields of a policy table, with the defaults where they are null or not there."""
+    other = {"entity_type": F.lit(None), "operator": F.lit("replace"), "new_value": F.lit("[REDACTED]"),
+             "masking_char": F.lit("*"), "chars_to_mask": F.lit(-1), "from_end": F.lit(True),
+             "hash_type": F.lit("sha256")}
+    return [
+        (F.coalesce(F.col(f), o) if f in policy.columns else o).alias(f) for f, o in other.items()
+    ]
+
+
+def _entry_replacement(value: Column, entry: Column) -> Column:
+    """Replacement of a value by one entry of a policy table, all fields filled; null without an operator."""
+    get = entry.getField
+    return (
+        F.when(get("operator") == "replace", get("new_value"))
+        .when(
+            get("operator") == "mask",
+            masks.mask_chars(value, get("masking_char"), get("chars_to_mask"), get("from_end")),
+        )
+        .when(
+            get("operator") == "hash",
+            F.when(get("hash_type") == "sha256", masks.hash_value(value, "sha256"))
+            .when(get("hash_type") == "sha512", masks.hash_value(value, "sha512"))
+            .when(get("hash_type") == "md5", masks.hash_value(value, "md5")),
+        )
+        .when(get("operator") == "redact", F.lit(""))
+    )
+
+
 def span_replacements(
     spans: DataFrame, policy: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
@@ -258,72 +302,123 @@ def span_replacements(
     a list of policies.
     """
     default = table_default(policy)
-    fields = [f for f in Policy.__dataclass_fields__ if f in policy.columns]
     rows = policy.filter(F.col("entity_type") != DEFAULT).select(
-        *[F.coalesce("operator", F.lit("replace")).alias(f) if f == "operator" else F.col(f) for f in fields]
+        "entity_type", F.struct(*_table_fields(policy)).alias("entry")
     )
     joined = lookup_join(spans, rows, "entity_type", [*keys, "start"], max_rows=max_rows)
-    value = F.col("value")
-    hashed = F.coalesce(F.col("hash_type"), F.lit("sha256"))
-    other = F.concat(F.lit("<"), F.col("entity_type"), F.lit(">")) if default is None else default.replacement(value)
-    replacement = (
-        F.when(F.col("operator").isNull(), other)
-        .when(F.col("operator") == "replace", F.coalesce("new_value", F.lit("[REDACTED]")))
-        .when(
-            F.col("operator") == "mask",
-            masks.mask_chars(
-                value,
-                F.coalesce("masking_char", F.lit("*")),
-                F.coalesce("chars_to_mask", F.lit(-1)),
-                F.coalesce("from_end", F.lit(True)),
-            ),
-        )
-        .when(
-            F.col("operator") == "hash",
-            F.when(hashed == "sha256", masks.hash_value(value, "sha256"))
-            .when(hashed == "sha512", masks.hash_value(value, "sha512"))
-            .when(hashed == "md5", masks.hash_value(value, "md5")),
-        )
-        .when(F.col("operator") == "redact", F.lit(""))
+    other = (
+        F.concat(F.lit("<"), F.col("entity_type"), F.lit(">"))
+        if default is None
+        else default.replacement(F.col("value"))
     )
+    named = F.when(F.col("entry").isNull(), other).otherwise(_entry_replacement(F.col("value"), F.col("entry")))
     return joined.select(
         *spans.columns,
-        replacement.alias("replacement"),
-        F.coalesce("operator", F.lit("replace" if default is None else default.operator)).alias("operator"),
+        named.alias("replacement"),
+        F.coalesce("entry.operator", F.lit("replace" if default is None else default.operator)).alias("operator"),
     )
 
 
+def _redact_by_entries(
+    df: DataFrame, entries: list, default: Policy | None, text_col: str, spans_col: str
+) -> DataFrame:
+    """``redact`` with entries (rows with all fields of a policy table) as a constant map on the row."""
+    kind = POLICY_SCHEMA.replace(" string", ":string").replace(" int", ":int").replace(" boolean", ":boolean")
+    pairs = json.dumps([{"t": row["entity_type"], "e": row.asDict()} for row in entries])
+    found = F.from_json(F.lit(pairs), f"array<struct<t:string,e:struct<{kind.replace(', ', ',')}>>>")
+    by_type = F.map_from_entries(found)
+
+    def edit(span: Column) -> Column:
+        value, named = span.getField("value"), span.getField("entity_type")
+        other = F.concat(F.lit("<"), named, F.lit(">")) if default is None else default.replacement(value)
+        return let(
+            F.try_element_at(by_type, named),
+            lambda entry: _edit(
+                span,
+                F.when(entry.isNull(), other).otherwise(_entry_replacement(value, entry)),
+                F.coalesce(entry.getField("operator"), F.lit("replace" if default is None else default.operator)),
+            ),
+        )
+
+    return _with_output(df.withColumn("edits", F.transform(F.col(spans_col), edit)), text_col)
+
+
 def redact_by_table(
     df: DataFrame,
     policy: DataFrame,
-    key: str = "doc_id",
     text_col: str = "text",
     spans_col: str = "spans",
     max_rows: int = BROADCAST_ROWS,
+    max_types: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``redact`` with the policy in a table.
 
-    A policy that proves small becomes part of the expression. A larger one is
-    joined to the spans, whose edits then go back to their texts by ``key``. Both ways
-    give the same and refuse the same tables (see ``table_default``).
+    The edits of a text are worked out on its own row; they never travel by a key, so that texts
+    with null or repeated keys are no special case and none can lose its edits on the way. A
+    policy of at most ``max_rows`` rows and 8 MB becomes part of the plan. Of a larger one, only
+    the rows for entity types that occur in ``df`` do; more than ``max_types`` such types are
+    refused. Both give the same and refuse the same tables (see ``table_default``).
     """
-    table_default(policy)
-    if is_small(policy, max_rows):
-        return redact(df, policy_from_rows(policy.collect()), text_col, spans_col)
-    spans = df.select(key, F.inline(F.filter(F.col(spans_col), lambda s: s.isNotNull())))
-    named = span_replacements(spans, policy, [key], max_rows)
-    edits = named.groupBy(key).agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct("start", "end", "entity_type", "score", "replacement", "operator")
-            )
-        ).alias("edits")
+    rows = policy.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows and sum(len(str(r)) for r in rows) <= BROADCAST_BYTES:
+        policies = check_policy_rows(rows)
+        if len(policies) <= WIDEST_CASE:
+            return redact(df, policies, text_col, spans_col)
+        default = _by_type(policies)[1]
+        named = policy
+    else:
+        default = table_default(policy)
+        types = F.transform(F.col(spans_col), lambda s: s.getField("entity_type"))
+        occurring = df.select(F.explode(F.array_distinct(types)).alias("entity_type")).distinct()
+        named = policy.join(occurring, "entity_type", "left_semi")
+    filled = named.filter(F.col("entity_type") != DEFAULT).select(*_table_fields(policy))
+    entries = filled.limit(max_types + 1).collect()
+    if len(entries) > max_types:
+        raise ValueError(f"more than {max_types} entity types with a policy of their own")
+    return _redact_by_entries(df, entries, default, text_col, spans_col)
+
+
+def restore(
+    df: DataFrame,
+    key: str | bytes,
+    text_col: str = "redacted_text",
+    items_col: str = "items",
+) -> DataFrame:
+    """Add ``restored_text`` and ``restore_error``: the item log applied backwards to masked texts.
+
+    Every encrypted value is decrypted where it stands in the masked text. A text comes back whole
+    or not at all: it is null, with an error, if a value cannot be decrypted (wrong key, changed
+    text), if an item was not encrypted, so that its value is lost, or if items lie outside the
+    text or over each other. Masked texts that are null stay null, with an error; texts without
+    items are what they were. In-row: no shuffle.
+    """
+    text, items = F.col(text_col), F.coalesce(F.col(items_col), F.array().cast(df.schema[items_col].dataType))
+    ordered = F.array_sort(items)
+    edits = F.transform(
+        ordered,
+        lambda i: F.struct(
+            i.getField("start").alias("start"),
+            i.getField("end").alias("end"),
+            F.when(
+                i.getField("operator") == "encrypt",
+                masks.decrypt_value(slice_text(text, i.getField("start"), i.getField("end")), key),
+            ).alias("replacement"),
+        ),
+    )
+    apart = F.forall(
+        F.sequence(F.lit(0), F.size("__edits")),
+        lambda n: F.coalesce(F.get("__edits", n).getField("start"), F.length(text))
+        >= F.when(n == 0, 0).otherwise(F.get("__edits", n - 1).getField("end")),
+    )
+    error = (
+        F.when(text.isNull(), "no masked text")
+        .when(F.exists(items, lambda i: i.getField("operator") != "encrypt"), "a value was not encrypted")
+        .when(~apart, "items do not fit the text")
+        .when(F.exists("__edits", lambda e: e.getField("replacement").isNull()), "a value cannot be decrypted")
     )
-    # A text whose spans were lost on the way would come out unmasked: the left
-    # join keeps texts without spans only.
-    none = F.array().cast(edits.schema["edits"].dataType)
-    joined = df.join(edits, key, "left").withColumn("edits", F.coalesce("edits", none))
-    return _with_output(joined, text_col)
+    out = df.withColumn("__edits", edits).withColumn("restore_error", error)
+    whole = F.when(F.col("restore_error").isNull(), rebuild_expr(text, F.col("__edits")))
+    return out.withColumn("restored_text", whole).drop("__edits")
 
 
 def explode_items(df: DataFrame, *keys: str) -> DataFrame:

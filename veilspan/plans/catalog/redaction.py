@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ...functions.masks import decrypt_value
 from ...operators.redact import (
     Policy, audit_log, config_policy, explode_items, policy_table, redact, redact_by_table,
-    span_replacements,
+    restore, span_replacements,
 )
 from ...operators.resolve import resolve
 from ...operators.scan import explode_spans, scan
@@ -125,13 +125,33 @@ def redact_default_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked.select("doc_id", F.size("spans").cast("long").alias("n_entities"), "redacted_text")
 
 
-@query("redact_default_large", _redact_sql(DEFAULT_SQL))
+@query("redact_default_large", q.with_query(
+    [*COVERED, q.masked("m", "v", "documents", DEFAULT_SQL)],
+    "SELECT CASE WHEN doc_id % 5 > 0 THEN doc_id // 3 END AS doc_id, n_entities, redacted_text FROM m"))
 def redact_default_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same table, joined as a large one is."""
-    masked = redact_by_table(found(spark, sf_dir), policy_table(spark, DEFAULT_POLICY), max_rows=1)
+    """The same table, taken as a large one; keys are null or stand for several texts."""
+    keyed = found(spark, sf_dir).withColumn("doc_id", F.when(F.col("doc_id") % 5 > 0, F.expr("doc_id div 3")))
+    masked = redact_by_table(keyed, policy_table(spark, DEFAULT_POLICY), max_rows=1)
     return masked.select("doc_id", F.size("spans").cast("long").alias("n_entities"), "redacted_text")
 
 
+@query("redact_restore", q.with_query(
+    COVERED, """SELECT d.doc_id, count(v.doc_id) AS n_entities, any_value(d.text) AS restored_text,
+      CAST(NULL AS VARCHAR) AS restore_error, count(v.doc_id) > 0 AS refused
+    FROM documents d LEFT JOIN v ON v.doc_id = d.doc_id GROUP BY d.doc_id"""))
+def redact_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with encrypted values, restored by the item log; another key is refused wherever there is a value."""
+    key = "0123456789abcdef"
+    masked = redact(found(spark, sf_dir), [Policy(operator="encrypt", key=key)])
+    back = restore(masked, key).withColumnsRenamed({"restored_text": "back", "restore_error": "back_error"})
+    tried = restore(back, "fedcba9876543210")
+    return tried.select(
+        "doc_id", F.size("items").cast("long").alias("n_entities"), F.col("back").alias("restored_text"),
+        F.col("back_error").alias("restore_error"),
+        (F.col("restore_error").isNotNull() & F.col("restored_text").isNull()).alias("refused"),
+    )
+
+
 @query("redact_custom", _redact_sql("upper(substring(value, 1, 2)) || '..'"))
 def redact_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep_head = Policy(

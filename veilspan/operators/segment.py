@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import empty_array, fold_emit, let, running_starts, step_result
 from ..functions.text import EDGE_SPACE, is_blank, portable_regex
+from .offsets import running_offsets
 from .resolve import dedupe_expr
 from .rules import Rule
 from .scan import scan_expr, with_fields
@@ -236,6 +237,125 @@ def explode_segments(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.inline(numbered))
 
 
+#: Segment rows that are joined at a time.
+STRETCH = 256
+
+
+def segment_rows(df: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
+    """Segments of a text as rows that ``merge_segments_long`` can put together again.
+
+    Columns: ``text_no`` (a number of the row that the text stood on, so that null and repeated
+    keys do not mix), ``keys``, ``seg_no``, ``n_rows`` (of the text), ``start``, ``end``, ``lead``
+    (white space before the segment) and ``text``. What lies between segments and is not white
+    space (texts cut out by a length range) has rows of its own, so that it is masked like the
+    rest. The last row holds the white space at the end. A null text has one row with a null
+    text. Segments that overlap or are out of order give one row, with a null text.
+    """
+    text = F.col(text_col)
+    size = F.length(text)
+    edge = F.lit(EDGE_SPACE)
+
+    def numbered(s: Column) -> Column:
+        bounds = F.transform(s, lambda x: F.struct(x.getField("start").alias("a"), x.getField("end").alias("b")))
+        ends = F.concat(F.array(F.lit(0)), F.transform(bounds, lambda x: x.getField("b")))
+        tail = F.struct(size.alias("a"), size.alias("b"))
+        parts = F.transform(
+            F.concat(bounds, F.array(tail)),
+            lambda x, i: F.struct(F.get(ends, i).alias("p"), x.getField("a").alias("a"), x.getField("b").alias("b")),
+        )
+        apart = F.forall(parts, lambda x: (x.getField("p") <= x.getField("a")) & (x.getField("a") <= x.getField("b")))
+        return F.when(apart, F.flatten(F.transform(parts, pieces)))
+
+    def pieces(x: Column) -> Column:
+        gap = F.substring(text, x.getField("p") + 1, x.getField("a") - x.getField("p"))
+
+        def split(g: Column) -> Column:
+            bare = F.ltrim(g, edge)
+            lead = F.length(g) - F.length(bare)
+            between = F.trim(g, edge)
+            inner = x.getField("p") + lead
+            return F.when(
+                bare == "", F.array(_row(x.getField("a"), x.getField("b"), g))
+            ).otherwise(
+                F.array(
+                    _row(inner, inner + F.length(between), F.substring(g, F.lit(1), lead)),
+                    _row(x.getField("a"), x.getField("b"), F.substring(g, lead + F.length(between) + 1, F.length(g))),
+                )
+            )
+
+        return let(gap, split)
+
+    def _row(a: Column, b: Column, lead: Column) -> Column:
+        own = F.substring(text, a + 1, b - a)
+        return F.struct(a.alias("start"), b.alias("end"), lead.alias("lead"), own.alias("text"))
+
+    none = F.array(F.lit(None).cast("struct<start:int,end:int,lead:string,text:string>"))
+    rows = F.coalesce(let(F.coalesce("segments", empty_array(SEGMENT_TYPE)), numbered), none)
+    own = df.select(F.monotonically_increasing_id().alias("text_no"), *keys, rows.alias("__rows"))
+    each = own.select("text_no", *keys, F.size("__rows").alias("n_rows"), F.posexplode("__rows").alias("seg_no", "__row"))
+    return each.select("text_no", *keys, "seg_no", "n_rows", "__row.start", "__row.end", "__row.lead", "__row.text")
+
+
+def _joined_stretches(rows: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
+    """Up to ``STRETCH`` segments as one row each: text_no, part_no, keys, n, n_rows, part, lost."""
+    piece = F.concat("lead", F.col(text_col))
+    stretch = F.expr(f"seg_no div {STRETCH}").alias("part_no")
+    return (
+        rows.withColumn("__piece", piece)
+        .groupBy("text_no", stretch)
+        .agg(
+            *[F.first(k).alias(k) for k in keys],
+            F.count("*").alias("n"),
+            F.count_distinct("seg_no").alias("n_own"),
+            F.max("n_rows").alias("n_rows"),
+            F.bool_or(F.col("__piece").isNull()).alias("lost"),
+            F.expr("listagg(__piece, '') WITHIN GROUP (ORDER BY seg_no)").alias("part"),
+        )
+    )
+
+
+def _merge_error(n: Column, n_own: Column, n_rows: Column, lost: Column) -> Column:
+    return F.when(lost, "a segment has no text").when(
+        (n != n_rows) | (n_own != n_rows), "segments are missing or stand twice"
+    )
+
+
+def merge_segments_long(
+    rows: DataFrame, *keys: str, text_col: str = "redacted_text", name: str = "redacted_text"
+) -> DataFrame:
+    """Texts from masked ``segment_rows``, one row each: text_no, keys, ``name`` and error.
+
+    Segments are joined in order, in stretches of ``STRETCH``, then the stretches, with what lay
+    between them. Nothing masked, the text is the same to the byte. A text with a null segment (one
+    that could not be masked), or without some of its segments, is null and has an error. Texts
+    too long for one row come out of ``merge_segments_parts``.
+    """
+    stretches = _joined_stretches(rows, keys, text_col)
+    whole = stretches.groupBy("text_no").agg(
+        *[F.first(k).alias(k) for k in keys],
+        _merge_error(F.sum("n"), F.sum("n_own"), F.max("n_rows"), F.bool_or("lost")).alias("error"),
+        F.expr("listagg(part, '') WITHIN GROUP (ORDER BY part_no)").alias("__text"),
+    )
+    return whole.select("text_no", *keys, F.when(F.col("error").isNull(), F.col("__text")).alias(name), "error")
+
+
+def merge_segments_parts(
+    rows: DataFrame, *keys: str, text_col: str = "redacted_text", name: str = "redacted_text"
+) -> DataFrame:
+    """``merge_segments_long`` for texts of any length: text_no, keys, part_no, ``start`` in the text, ``name``, error.
+
+    The parts of a text, in order of ``part_no``, follow each other without a gap. All parts of
+    a text with an error are null.
+    """
+    stretches = _joined_stretches(rows, keys, text_col)
+    bad = stretches.groupBy("text_no").agg(
+        _merge_error(F.sum("n"), F.sum("n_own"), F.max("n_rows"), F.bool_or("lost")).alias("error")
+    )
+    judged = stretches.join(bad, "text_no").withColumn("__text", F.when(F.col("error").isNull(), F.col("part")))
+    placed = running_offsets(judged.withColumn("__n", F.length("__text")), ["text_no"], "part_no", "__n", "start")
+    return placed.select("text_no", *keys, "part_no", "start", F.col("__text").alias(name), "error")
+
+
 def scan_segments(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Add ``spans`` found inside single segments, with offsets in the whole text.
 

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ...operators.redact import Policy, redact
-from ...operators.segment import explode_segments, segment, segment_with
+from ...operators.resolve import resolve
+from ...operators.scan import scan
+from ...operators.segment import explode_segments, merge_segments_long, segment, segment_rows, segment_with
 from ...plans.text import analyze, process
 from . import sqltext as q
 from .detection import RAW, strict
@@ -188,3 +190,16 @@ def redact_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = analyze(documents(spark, sf_dir), strict(), threshold=None, segment_by="sentence")
     masked = redact(found, [Policy()])
     return masked.select("doc_id", F.size("spans").cast("long").alias("n_entities"), "redacted_text")
+
+
+@query("merge_segments_long", q.with_query(
+    [*SEGMENTED_SQL, q.masked("m", "v", "documents", "'[REDACTED]'")],
+    """SELECT CASE WHEN doc_id % 5 > 0 THEN doc_id // 3 END AS doc_id, redacted_text,
+      CAST(NULL AS VARCHAR) AS error FROM m"""))
+def merge_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences masked as rows of their own, then put together; keys are null or stand for several texts."""
+    key = F.when(F.col("doc_id") % 5 > 0, F.expr("doc_id div 3"))
+    cut = segment(documents(spark, sf_dir).withColumn("doc_id", key), "sentence")
+    rows = resolve(scan(segment_rows(cut, "doc_id"), strict()), "cover")
+    masked = redact(rows, [Policy()]).select("text_no", "doc_id", "seg_no", "n_rows", "lead", "redacted_text")
+    return merge_segments_long(masked, "doc_id").drop("text_no")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ...operators import boxes, metrics
 from ...operators import transcript as tr
+from ...operators.offsets import flat_word_places
 from ...operators.resolve import resolve
 from ...operators.scan import explode_spans, scan
 from . import sqltext as q
@@ -30,6 +31,22 @@ def transcript_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("words_flat_offsets", q.with_query(
+    [SPEECH_SQL], "SELECT conv_id, turn, word_no, word, CAST(c0 AS BIGINT) AS c0, "
+    "CAST(c0 + length(word) AS BIGINT) AS c1, round(t0, 6) AS t0, round(t1, 6) AS t1 FROM words"))
+def words_flat_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same places from a flat table of words and gaps, in buckets of sixteen words."""
+    gaps = F.transform(F.split("text", WORD, -1), F.length)
+    flat = turn_segments(spark, sf_dir).select(
+        *KEYS, gaps.alias("gaps"), F.posexplode(F.col("segments")[0]["words"]).alias("word_no", "w")
+    )
+    words = flat.select(
+        *KEYS, "word_no", F.col("w.word").alias("word"), F.get("gaps", "word_no").alias("before"),
+        F.round("w.start", 6).alias("t0"), F.round("w.end", 6).alias("t1"),
+    )
+    return flat_word_places(words, KEYS, width=16).drop("before")
+
+
 TEXTS = "texts AS (SELECT conv_id, turn, text FROM turns)"
 HITS = [SPEECH_SQL, TEXTS, q.hits("h", "texts", SPEECH_RULES, "conv_id, turn")]
 TIMES = [

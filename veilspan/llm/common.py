@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,25 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.steps import checkpoint_folder
+
 #: Words are runs of anything but these; ``bytes.split()`` cuts at the same six characters.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that is
-    unset, as in tests on one machine, a temporary folder is made and set.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-        return named
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="veilspan-"))
-    return context.getCheckpointDir()
+    """The folder that the driver and all executors share, as the cluster names it."""
+    return checkpoint_folder(spark)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -12,6 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ...operators import cache as lru
 from ...operators import metrics
 from ...operators import prompts as pr
 from ...operators import responses as rs
@@ -364,3 +365,37 @@ def request_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.request_counters(rows, pr.live_cache(cache_rows(spark, sf_dir), NOW), answers)
 
 
+
+
+LRU_CAPACITY, LRU_TTL = 12, 100
+LRU_SQL = f"""
+WITH RECURSIVE log AS (
+  SELECT conv_id * 1000 + turn AS n, role || ' ' || lower(substring(coalesce(text, ''), 1, 1)) AS key,
+    (conv_id * 1000 + turn) / 25.0 AS t FROM conversations
+),
+numbered AS (
+  SELECT *, lag(n) OVER (PARTITION BY key ORDER BY n) AS before,
+    row_number() OVER (PARTITION BY key ORDER BY n) AS k FROM log
+),
+judged AS (
+  SELECT n, key, t, k, before IS NOT NULL AND (SELECT count(DISTINCT l.key) FROM log l
+    WHERE l.n > r.before AND l.n < r.n) < {LRU_CAPACITY} AS resident FROM numbered r
+),
+walk AS (
+  SELECT n, key, t, k, false AS hit, t AS put FROM judged WHERE k = 1
+  UNION ALL
+  SELECT j.n, j.key, j.t, j.k, j.resident AND j.t - w.put <= {LRU_TTL},
+    CASE WHEN j.resident AND j.t - w.put <= {LRU_TTL} THEN w.put ELSE j.t END
+  FROM walk w JOIN judged j ON j.key = w.key AND j.k = w.k + 1
+)
+SELECT n, hit FROM walk"""
+
+
+@query("cache_lru_hits", LRU_SQL)
+def cache_lru_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as requests, by role and first letter, against a small cache; short stretches of the log."""
+    turns = read_table(spark, f"{sf_dir}/conversations.parquet", "conv_id", "turn", "role", "text")
+    n = F.col("conv_id") * 1000 + F.col("turn")
+    letter = F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 1))
+    log = turns.select(n.alias("n"), F.concat("role", F.lit(" "), letter).alias("key"), (n / 25.0).alias("at"))
+    return lru.cache_hits(log, capacity=LRU_CAPACITY, ttl_seconds=LRU_TTL, width=4000)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -96,3 +98,27 @@ def error_rate(df: DataFrame, *stage: str) -> DataFrame:
     return df.groupBy(*stage).agg(
         F.count("*").alias("n"), F.avg(F.col("error").isNotNull().cast("int")).alias("error_rate")
     )
+
+
+def observed(masked: DataFrame, entities: Iterable[str], name: str = "masking") -> tuple[DataFrame, Observation]:
+    """``masked`` as it is, with its figures gathered by the next action on it: no second scan.
+
+    The observation holds ``rows``, ``errors``, ``spans`` and, for each of ``entities``, the number
+    of its spans as ``n_<entity>``. Figures of a task count when it ends well, once for a
+    partition of the action's last stage: tasks that fail and run again, or run twice, add
+    nothing. Where a shuffle follows, a lost executor's tasks run again and are counted again,
+    so figures belong on the row-by-row write of masked texts.
+    """
+    observation = Observation(name)
+    spans = F.coalesce(F.col("spans"), F.array().cast(masked.schema["spans"].dataType))
+
+    def number(entity: str) -> Column:
+        return F.coalesce(F.sum(F.size(F.filter(spans, lambda s: s.getField("entity_type") == entity))), F.lit(0))
+
+    figures = [
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("error").isNotNull()).alias("errors"),
+        F.coalesce(F.sum(F.size(spans)), F.lit(0)).alias("spans"),
+        *[number(e).alias(f"n_{e}") for e in entities],
+    ]
+    return masked.observe(observation, *figures), observation

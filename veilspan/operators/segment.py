@@ -388,24 +388,52 @@ def segment_with(
     segments.
     """
     kind = df.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, seg_no int, segment_id string, start int, end int, text string, error string"
+    schema = f"`{key}` {kind}, {PIECES}"
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if text is None or not text.strip():
-                    continue
-                error = None
-                try:
-                    parts = [(int(a), int(b), str(t)) for a, b, t in function(text)]
-                except Exception as e:  # the caller's code: its failure is part of the result
-                    parts, error = [(0, len(text), text)], f"{type(e).__name__}: {e}"
-                rows += [(own, n, f"seg_{n:04d}", a, b, t, error) for n, (a, b, t) in enumerate(parts)]
+                rows += [(own, *row) for row in _pieces(function, text)]
             columns = zip(*rows, strict=True) if rows else [()] * 7
-            types = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-            names = [key, "seg_no", "segment_id", "start", "end", "text", "error"]
+            types = [batch.schema.field(0).type, *PIECE_TYPES.values()]
             arrays = [pa.array(list(c), type=t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            yield pa.RecordBatch.from_arrays(arrays, names=[key, *PIECE_TYPES])
 
     return df.select(F.col(key), F.col(text_col)).mapInArrow(cut, schema)
+
+
+PIECES = "seg_no int, segment_id string, start int, end int, text string, error string"
+PIECE_TYPES = {
+    "seg_no": pa.int32(), "segment_id": pa.string(), "start": pa.int32(), "end": pa.int32(), "text": pa.string(),
+    "error": pa.string(),
+}
+
+
+def _pieces(function: Callable[[str], Iterable[tuple[int, int, str]]], text: str | None) -> list[tuple]:
+    """Numbered segments of one text; the whole text and an error where the function fails."""
+    if text is None or not text.strip():
+        return []
+    error = None
+    try:
+        parts = [(int(a), int(b), str(t)) for a, b, t in function(text)]
+    except Exception as e:  # the caller's code: its failure is part of the result
+        parts, error = [(0, len(text), text)], f"{type(e).__name__}: {e}"
+    return [(n, f"seg_{n:04d}", a, b, t, error) for n, (a, b, t) in enumerate(parts)]
+
+
+def register_segmenter(
+    spark: SparkSession, name: str, function: Callable[[str], Iterable[tuple[int, int, str]]]
+) -> None:
+    """Make a Python function of a text a table function of SQL: ``FROM t, LATERAL name(t.text)``.
+
+    Columns are those of ``segment_with`` but for the key. A blank text has no rows, so that
+    ``LEFT JOIN LATERAL name(t.text) ON true`` keeps its key. Rows travel in Arrow batches (a table
+    function of whole Arrow columns cannot stand in a lateral join).
+    """
+
+    class Segmenter:
+        def eval(self, text: str) -> Iterable[tuple]:
+            yield from _pieces(function, text)
+
+    spark.udtf.register(name, F.udtf(Segmenter, returnType=PIECES, useArrow=True))

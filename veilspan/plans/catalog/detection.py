@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ...functions.checks import card_scheme, is_bank_card
+from ...operators.dictionary import scan_dictionary
 from ...operators.joins import lookup_join
 from ...operators.reference_values import BANK_BY_BIN, CARD_SCHEME_PREFIXES
 from ...operators.resolve import resolve
@@ -332,3 +333,23 @@ g_out AS (
 def overlap_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resolve(scan(documents(spark, sf_dir), RAW), "greedy")
     return explode_spans(found, "doc_id").select(*CHECKED)
+
+
+@query("scan_dictionary", q.with_query(
+    [PEOPLE_SQL, """pairs AS (SELECT doc_id, text, c_name AS value, 'CUSTOMER' AS entity_type
+      FROM people JOIN customer ON contains(text, 'customer ' || c_name || ' tel')
+      UNION ALL SELECT doc_id, text, substring(text, strpos(text, ' plate ') + 7, 7), 'PLATE' FROM people
+      WHERE doc_id % 4 > 0)"""],
+    """SELECT doc_id, entity_type, CAST(strpos(text, value) - 1 AS INTEGER) AS "start",
+      CAST(strpos(text, value) - 1 + length(value) AS INTEGER) AS "end", value FROM pairs"""))
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customer names and plates as literal values, in two automata."""
+    customers = read_table(spark, f"{sf_dir}/customer.parquet", "c_name")
+    orders = read_table(spark, f"{sf_dir}/orders.parquet", "o_orderkey").filter("o_orderkey % 4 > 0")
+    plates = orders.select(F.concat(F.lit("京A"), F.lpad((F.col("o_orderkey") % 100000).cast("string"), 5, "0")))
+    values = customers.select(F.col("c_name").alias("value"), F.lit("CUSTOMER").alias("entity_type")).unionAll(
+        plates.select("*", F.lit("PLATE"))
+    )
+    limit = values.distinct().count() // 2 + 1
+    found = scan_dictionary(people(spark, sf_dir), values, max_values=limit)
+    return explode_spans(found, "doc_id").select("doc_id", "entity_type", "start", "end", "value")

@@ -10,6 +10,7 @@ from ...operators.redact import config_policy, redact
 from ...operators.resolve import resolve
 from ...operators.scan import entity_list, explode_spans, language_or_default, scan
 from ...operators.segment import segment
+from ...operators.steps import new_path
 from ...sources.readers import read_table
 from . import sqltext as q
 from .detection import RAW, all_checked, strict
@@ -144,3 +145,18 @@ def entity_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, f"{sf_dir}/orders.parquet", "o_orderkey", "o_orderpriority", "o_orderstatus"
     )
     return orders.select("o_orderkey", F.explode(entity_list(csv)).alias("name"))
+
+
+OBSERVED = ["BANK_CARD", "EMAIL_ADDRESS", "IP_ADDRESS", "PHONE_NUMBER", "URL"]
+
+
+@query("masking_observed", q.with_query(
+    COVERED,
+    f"""SELECT 'rows' AS figure, count(*) AS n FROM documents UNION ALL SELECT 'errors', 0
+    UNION ALL SELECT 'spans', count(*) FROM v UNION ALL
+    SELECT 'n_' || t, (SELECT count(*) FROM v WHERE entity_type = t) FROM (SELECT UNNEST({OBSERVED}) AS t)"""))
+def masking_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of a masking run, gathered while its result is written."""
+    masked, figures = metrics.observed(redact(found(spark, sf_dir), config_policy()), OBSERVED)
+    masked.select("doc_id", "redacted_text", "error").write.parquet(new_path(spark, "observed"))
+    return spark.createDataFrame(list(figures.get.items()), "figure string, n long")

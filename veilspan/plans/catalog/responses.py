@@ -19,7 +19,8 @@ from ...operators import responses as rs
 from ...operators.resolve import resolve
 from ...operators.rules import Rule
 from ...operators.scan import scan
-from ...sources.readers import read_table
+from ...operators.steps import new_path
+from ...sources.readers import read_response_errors, read_responses, read_table
 from . import sqltext as q
 from .detection import GREEDY_SQL, strict
 from .inputs import documents
@@ -399,3 +400,21 @@ def cache_lru_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     letter = F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 1))
     log = turns.select(n.alias("n"), F.concat("role", F.lit(" "), letter).alias("key"), (n / 25.0).alias("at"))
     return lru.cache_hits(log, capacity=LRU_CAPACITY, ttl_seconds=LRU_TTL, width=4000)
+
+
+@query("response_files", """
+SELECT CASE WHEN doc_id % 7 > 0 AND doc_id % 11 > 0 THEN doc_id END AS doc_id,
+  CASE WHEN doc_id % 7 > 0 AND doc_id % 11 > 0 AND doc_id % 13 > 0 THEN text END AS raw_response,
+  CASE WHEN doc_id % 7 = 0 THEN '{"doc_id": ' || doc_id END AS record,
+  CASE WHEN doc_id % 7 = 0 THEN 'unreadable record' WHEN doc_id % 11 = 0 THEN 'record without key'
+    WHEN doc_id % 13 = 0 THEN 'record without raw_response' END AS error
+FROM documents""")
+def response_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses as lines of JSON, some cut off, without a key or without a text: read again, good and bad."""
+    key = F.col("doc_id")
+    own = F.struct(F.when(key % 11 > 0, key).alias("doc_id"), F.when(key % 13 > 0, F.col("text")).alias("raw_response"))
+    line = F.when(key % 7 == 0, F.concat(F.lit('{"doc_id": '), key)).otherwise(F.to_json(own))
+    path = new_path(spark, "responses")
+    documents(spark, sf_dir).select(line.alias("value")).write.text(path)
+    good = read_responses(spark, path)
+    return good.unionByName(read_response_errors(spark, path), allowMissingColumns=True)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ...operators.redact import Policy, redact
 from ...operators.resolve import resolve
 from ...operators.scan import scan
-from ...operators.segment import explode_segments, merge_segments_long, segment, segment_rows, segment_with
+from ...operators.segment import explode_segments, merge_segments_long, register_segmenter, segment, segment_rows, segment_with
 from ...plans.text import analyze, process
 from . import sqltext as q
 from .detection import RAW, strict
@@ -136,19 +136,32 @@ def seg_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cut(spark, sf_dir, "whole")
 
 
-@query("seg_function", q.with_query(
+FUNCTION_SQL = q.with_query(
     ["""parts AS (SELECT doc_id, text, UNNEST(range(0, (length(text) + 99) // 100)) AS part FROM documents
       WHERE regexp_matches(text, '[^ \\t\\n\\v\\f\\r]'))"""],
     """SELECT doc_id, CAST(part AS INTEGER) AS seg_no, printf('seg_%04d', part) AS segment_id,
       CAST(part * 100 AS INTEGER) AS "start", CAST(least(part * 100 + 100, length(text)) AS INTEGER) AS "end",
-      substring(text, part * 100 + 1, 100) AS text, CAST(NULL AS VARCHAR) AS error FROM parts"""))
+      substring(text, part * 100 + 1, 100) AS text, CAST(NULL AS VARCHAR) AS error FROM parts""")
+
+
+def hundreds(text: str) -> list[tuple[int, int, str]]:
+    return [(i, min(i + 100, len(text)), text[i : i + 100]) for i in range(0, len(text), 100)]
+
+
+@query("seg_function", FUNCTION_SQL)
 def seg_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments by a caller's function: a hundred characters each."""
+    return segment_with(documents(spark, sf_dir), hundreds)
 
-    def hundreds(text: str) -> list[tuple[int, int, str]]:
-        return [(i, min(i + 100, len(text)), text[i : i + 100]) for i in range(0, len(text), 100)]
 
-    return segment_with(documents(spark, sf_dir), hundreds)
+@query("seg_function_sql", FUNCTION_SQL)
+def seg_function_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same function as a table function of SQL."""
+    register_segmenter(spark, "hundreds", hundreds)
+    return spark.sql(
+        "SELECT d.doc_id, s.seg_no, s.segment_id, s.start, s.end, s.text, s.error FROM {docs} AS d, LATERAL hundreds(d.text) AS s",
+        docs=documents(spark, sf_dir),
+    )
 
 
 BLANKS = "\u3000 \n\t"

@@ -10,6 +10,8 @@ from ...operators import transcript as tr
 from ...operators.offsets import flat_word_places
 from ...operators.resolve import resolve
 from ...operators.scan import explode_spans, scan
+from ...operators.steps import new_path
+from ...sources.rttm import read_rttm, write_rttm
 from . import sqltext as q
 from .detection import all_checked, strict
 from .inputs import SPEECH_RULES, SPEECH_SQL, WORD, documents, speaker_turns, turn_segments
@@ -428,3 +430,17 @@ def ocr_boxes_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     laid_out = boxes.explode_words(found, "doc_id", spans_col="spans")
     joined = boxes.covered_boxes(explode_spans(found, "doc_id"), laid_out, ["doc_id"])
     return joined.select("doc_id", "entity_type", "start", "end", "word_no")
+
+
+@query("rttm_roundtrip", q.with_query(
+    [SPEECH_SQL], """SELECT CAST(conv_id AS VARCHAR) AS audio_id, speaker_id, start_time, end_time,
+      CAST(NULL AS VARCHAR) AS record, CAST(NULL AS VARCHAR) AS error FROM speaker_turns
+    UNION ALL SELECT CAST(conv_id AS VARCHAR), NULL, NULL, NULL, 'SPEAKER ' || conv_id || ' 1 0.5', 'fewer than 9 fields'
+    FROM speaker_turns WHERE turn = 0"""))
+def rttm_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns written as RTTM files and read again, in small parts, with bad lines among them."""
+    turns, path = speaker_turns(spark, sf_dir), new_path(spark, "rttm")
+    write_rttm(turns.withColumn("audio_id", F.col("conv_id").cast("string")), path)
+    bad = turns.filter("turn = 0").select(F.concat(F.lit("SPEAKER "), F.col("conv_id"), F.lit(" 1 0.5")))
+    bad.write.text(f"{path}/bad")
+    return read_rttm(spark, path, part_bytes=1 << 14)

@@ -136,16 +136,53 @@ def read_turn_errors(spark: SparkSession, path: str) -> DataFrame:
     return bad.select("audio_id", F.col("value").alias("record"), F.lit("turn without readable times").alias("error"))
 
 
-def read_responses(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+def _raw_records(spark: SparkSession, path: str, fmt: str, schema: str, key: str, what: str) -> DataFrame:
+    """Records of a nested table, with what could not be read in ``error``."""
     if fmt == "json":
-        return spark.read.schema(RESPONSE_SCHEMA).json(path)
-    return spark.read.format(fmt).load(path).select("doc_id", "raw_response")
+        reader = spark.read.schema(f"{schema}, {CORRUPT} string").option("mode", "PERMISSIVE")
+        df = reader.option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    else:
+        df = spark.read.format(fmt).load(path).withColumn(CORRUPT, F.lit(None).cast("string"))
+    error = (
+        F.when(F.col(CORRUPT).isNotNull(), "unreadable record")
+        .when(F.col(key).isNull(), "record without key")
+        .when(F.col(what).isNull(), f"record without {what}")
+    )
+    return df.withColumn("error", error)
+
+
+def _bad_records(df: DataFrame, key: str) -> DataFrame:
+    return df.filter(F.col("error").isNotNull()).select(key, F.col(CORRUPT).alias("record"), "error")
+
+
+def read_responses(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """Model responses: doc_id, raw_response. What cannot be used comes out of ``read_response_errors``."""
+    df = _raw_records(spark, path, fmt, RESPONSE_SCHEMA, "doc_id", "raw_response")
+    return df.filter(F.col("error").isNull()).select("doc_id", "raw_response")
+
+
+def read_response_errors(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """Responses that cannot be read, or have no key or no text: doc_id, ``record`` (as it stands) and ``error``."""
+    return _bad_records(_raw_records(spark, path, fmt, RESPONSE_SCHEMA, "doc_id", "raw_response"), "doc_id")
+
+
+def _raw_ocr(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    df = _raw_records(spark, path, fmt, OCR_SCHEMA, "image_id", "words")
+    box = lambda w: (
+        w.isNull() | w["text"].isNull() | w["left"].isNull() | w["top"].isNull() | w["width"].isNull() | w["height"].isNull()
+    )
+    short = F.coalesce(F.exists("words", box), F.lit(False))
+    return df.withColumn("error", F.coalesce("error", F.when(short, "word without text or box")))
 
 
 def read_ocr_words(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    if fmt == "json":
-        return spark.read.schema(OCR_SCHEMA).json(path)
-    return spark.read.format(fmt).load(path).select("image_id", "words")
+    """Word boxes of pages: image_id, words. What cannot be used comes out of ``read_ocr_errors``."""
+    return _raw_ocr(spark, path, fmt).filter(F.col("error").isNull()).select("image_id", "words")
+
+
+def read_ocr_errors(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """Pages that cannot be read, have no key or words, or a word without text or box: image_id, ``record``, ``error``."""
+    return _bad_records(_raw_ocr(spark, path, fmt), "image_id")
 
 
 def area_table(spark: SparkSession) -> DataFrame:

@@ -5,9 +5,9 @@ import sentencepiece
 
 import corpus_pipeline
 from tests.llm.test_containment import slow_hits
-from tests.llm.test_lines import slow_dedup
+from tests.llm.test_line_recall import slow_dedup
+from tests.llm.test_near_copies import slow_kept
 from tests.llm.test_rules import slow_measure
-from tests.llm.test_simhash import slow_components, slow_fingerprint
 
 
 def test_run_equals_brute_force(spark, sf_dir):
@@ -15,8 +15,7 @@ def test_run_equals_brute_force(spark, sf_dir):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     docs = {k: t for k, t in docs.items() if slow_measure(t)[6]}
     docs = {k: t for k, t in slow_dedup(docs).items() if t}
-    groups = slow_components({k: slow_fingerprint(t) for k, t in docs.items()})
-    docs = {k: t for k, t in docs.items() if groups[k] == k}
+    docs = {k: docs[k] for k in slow_kept(docs)}
     hit = {r[0] for r in slow_hits(docs, items)}
     docs = {k: t for k, t in docs.items() if k not in hit}
     plain = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))

@@ -123,3 +123,23 @@ def test_unigram_models_keep_their_scores():
     fast = piece_codec.build(data)
     for text in ("ab", "abba  ab ", "a b", "ba ab", "abé", "cab"):
         assert fast.encode(text, add_special_tokens=False).ids == model.encode(text), text
+
+
+def test_a_wrong_id_is_seen():
+    """What is decoded are the ids of the text."""
+    codec = piece_codec.Codec(MODEL, 1)
+    ((ids, same, back),) = codec.encode(["old harbour"])
+    assert same and back
+    codec.known["harbour"] = codec.known["old"]
+    ((wrong, same, back),) = codec.encode(["old harbour"])
+    assert wrong != ids and not same and not back
+    codec.known["harbour"] = b""
+    assert codec.encode(["old harbour"])[0][1:] == (False, False)
+
+
+def test_own_bytes_decode_as_the_library_does():
+    codec = piece_codec.Codec(MODEL, 1)
+    texts = [*[t for t in STRANGE if t], "é😀 " * 50, " two  blanks ", "a\n\nb", "<unk> <0x41>"]
+    for text, ids in zip(texts, codec._by_word(texts), strict=True):
+        assert codec.gives([ids], [text]) == [codec.decode([ids])[0] == text]
+        assert codec.gives([ids[:-1]], [text]) == [codec.decode([ids[:-1]])[0] == text]

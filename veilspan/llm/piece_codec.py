@@ -187,17 +187,29 @@ class Codec:
         mark = np.array([self.plain.piece_to_id(MARK)], dtype=np.int32)
         #: Ids of a word as int32 bytes; a space with nothing behind it is an empty word.
         self.known: dict[str, bytes] = {"": mark.tobytes()}
-        #: Words that do not come back as they were.
-        self.changed: dict[str, str] = {}
+        #: What each piece stands for in a text.
+        self.shown = np.array([p.replace(MARK.encode(), b" ") for p in self.pieces], dtype=object)
+        self.prefix = model["prefix"]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int32) for e in self.fast.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def whole(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """Ids and the text made of them."""
-        ids = self._ids(texts)
-        back = self.fast.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
-        return [(a.tobytes(), t) for a, t in zip(ids, back, strict=True)]
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        """Texts by the tokenizers library."""
+        return self.fast.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+
+    def gives(self, ids: list[np.ndarray], texts: list[str]) -> list[bool]:
+        """Whether ids decode to texts.
+
+        The bytes of a text's pieces, joined, mostly settle it; where they are not the text's, the
+        library decodes the ids.
+        """
+        made = (b"".join(self.shown[x].tolist()) for x in ids)
+        same = [(m[1:] if self.prefix and m[:1] == b" " else m) == t.encode() for m, t in zip(made, texts, strict=True)]
+        open_ = [i for i, s in enumerate(same) if not s]
+        for i, back in zip(open_, self.decode([ids[i] for i in open_]), strict=True):
+            same[i] = back == texts[i]
+        return same
 
     def _learn(self, words: list[str]) -> None:
         """Enter the ids of new words: in long rows of words, cut where a word's first piece is."""
@@ -216,34 +228,26 @@ class Codec:
         self._learn_each([w for w in words if w[:1] == " "])
 
     def _learn_each(self, words: list[str]) -> None:
-        for word, (ids, back) in zip(words, self.whole(words), strict=True):
-            self.known[word] = ids
-            if back != word:
-                self.changed[word] = back
+        self.known.update((w, x.tobytes()) for w, x in zip(words, self._ids(words), strict=True))
 
-    def _by_word(self, texts: list[str]) -> list[tuple[bytes, str]]:
+    def _by_word(self, texts: list[str]) -> list[np.ndarray]:
         split = [_words(t) for t in texts]
         every = set(chain.from_iterable(split))
         new = list(every - self.known.keys())
         if len(self.known) + len(new) > KNOWN_WORDS:
             self.known = {w: self.known[w] for w in (every & self.known.keys()) | {""}}
         self._learn(new)
-        changed = every & self.changed.keys()
-        results, ids_of = [], self.known.__getitem__
-        for text, words in zip(texts, split, strict=True):
-            back = text
-            if MARK in text or not changed.isdisjoint(words):
-                back = " ".join([self.changed.get(w, w) for w in words])
-            results.append((b"".join(map(ids_of, words)), back))
-        return results
+        ids_of = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(ids_of, words)), dtype=np.int32) for words in split]
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         """Ids (int32 bytes), parity, and whether the ids give the text back."""
-        mine = self._by_word(texts) if self.by_word else self.whole(texts)
+        mine = self._by_word(texts) if self.by_word else self._ids(texts)
+        back = self.gives(mine, texts)
         theirs = self.plain.encode(texts, num_threads=self.threads)
         return [
-            (ids, ids == np.array(same, dtype=np.int32).tobytes(), back == text)
-            for text, (ids, back), same in zip(texts, mine, theirs, strict=True)
+            (ids.tobytes(), len(ids) == len(same) and bool((ids == np.array(same, dtype=np.int32)).all()), b)
+            for ids, b, same in zip(mine, back, theirs, strict=True)
         ]
 
 
@@ -285,8 +289,8 @@ def encode_pieces(
     once and a text's ids are those of its words. ``parity`` says that the sentencepiece
     library gives the same ids for the text as a whole; it is worked out for every text.
 
-    Null and empty texts have no ids. Repeated keys give a row each, an empty table gives an
-    empty one, other columns are not read. ``model_path`` must be readable on every executor.
+    ``round_trip`` comes from decoding the ids of the whole text. Null and empty texts have no ids.
+    Repeated keys give a row each, an empty table gives an empty one, other columns are not read. ``model_path`` must be readable on every executor.
     """
 
     def work(batches: Iterator[list[list]]) -> Iterator[list[list]]:
@@ -308,7 +312,11 @@ def encode_pieces(
 def decode_pieces(
     tokens: DataFrame, model_path: str, key: str = "doc_id", ids: str = "ids", threads: int = 2
 ) -> DataFrame:
-    """``key`` and the ``text`` that the ids stand for; null ids give an empty text."""
+    """``key`` and the ``text`` that the ids stand for, by the tokenizers library.
+
+    Null and empty ids give an empty text. Repeated keys give a row each, an empty table gives an
+    empty one, other columns are not read.
+    """
 
     def work(batches: Iterator[list[list]]) -> Iterator[list[list]]:
         codec = load(model_path, threads)

@@ -48,7 +48,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Like ``cut``, as a compressed table that stays in the shared folder."""
     path = shared_path(df.sparkSession, name)
     release(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -95,6 +95,17 @@ def test_placing(spark, entity, want):
         assert (s.is_inferred is True) == s.repair.endswith("search")
 
 
+@pytest.mark.parametrize(("text", "value", "place"), [
+    ("İİ call Bob Smith here", "BOB SMITH", (8, 17)), ("İ a İb", "İB", (4, 6)), ("Straße İ ÄB x", "äb", (9, 11)),
+    ("İİ J.R. Smith", "j r  smith", (3, 13)),
+])
+def test_letters_that_grow_in_lower_case(spark, text, value, place):
+    """Places are those of the text, whatever its letters become."""
+    df = spark.createDataFrame([([("X", value, 500, 510, 0.9, None, None, None)], text)], f"e array<{rs.FOUND_TYPE}>, t string")
+    (span,) = df.select(rs.ground_expr(F.col("e"), F.col("t")).alias("s")).first().s
+    assert (span.start, span.end) == place and span.value == text[slice(*place)]
+
+
 def test_overlaps_and_order(spark):
     entities = [("A", "mail a@b.com", 23, 35, 0.7, None, None, None), ("B", "a@b.com", 28, 35, 0.9, None, None, None),
                 ("C", "张三", 0, 2, 0.8, None, None, None)]

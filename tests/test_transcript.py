@@ -40,6 +40,35 @@ def test_intervals(recordings):
     ]
 
 
+def plain_words(text, words):
+    pos, out = 0, []
+    for word in words:
+        at = text.find(word, pos) if word else -1
+        if at >= 0:
+            out.append((at, at + len(word), word))
+            pos = at + len(word)
+    return out
+
+
+@pytest.mark.parametrize("ahead", [4, 16, 2048])
+def test_words_anywhere(spark, monkeypatch, ahead):
+    """Words near by, far off, longer than what is looked ahead, missing, and letters of several bytes."""
+    monkeypatch.setattr(tr, "AHEAD", ahead)
+    draw = random.Random(ahead)
+    rows = []
+    for i in range(40):
+        parts = [draw.choice(["ab", "é", "😀京", "word", "averylongword" * 3, "x"]) for _ in range(60)]
+        text = "".join(p + draw.choice([" ", "  ", "", "\n"]) for p in parts)
+        words = [w for w in parts if draw.random() < 0.6] + ["gone"] * (i % 3)
+        draw.random() < 0.3 and draw.shuffle(words)
+        rows.append((str(i), [(0.0, 9.0, text, [(w, 1.0, 2.0, 0.5) for w in words])], "en"))
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {}
+    for r in tr.word_intervals(df, "audio_id").filter("word IS NOT NULL").orderBy("c0").collect():
+        got.setdefault(r.audio_id, []).append((r.c0, r.c1, r.word))
+    assert got == {a: plain_words(s[0][2], [w[0] for w in s[0][3]]) for a, s, _ in rows}
+
+
 SPANS = "audio_id string, start int, end int, entity_type string, pattern string, value string"
 
 

@@ -64,11 +64,13 @@ def fold_emit(
             F.struct(acc.getField("state").alias("state"), empty_array(emit_type).alias("out")),
             advance,
         )
-        return let(
-            folded,
-            lambda r: F.struct(
+        # Not a ``let``, which would copy all runs so far each time.
+        return F.aggregate(
+            F.array(folded),
+            acc,
+            lambda a, r: F.struct(
                 r.getField("state").alias("state"),
-                F.concat(acc.getField("runs"), F.array(r.getField("out"))).alias("runs"),
+                F.concat(a.getField("runs"), F.array(r.getField("out"))).alias("runs"),
             ),
         )
 
@@ -125,11 +127,12 @@ def running_starts(lengths: Column) -> Column:
         folded = F.aggregate(
             runs,
             F.struct(F.lit(0).alias("total"), F.array().cast("array<array<int>>").alias("runs")),
-            lambda acc, run: let(
-                one_run(acc.getField("total"), run),
-                lambda r: F.struct(
+            lambda acc, run: F.aggregate(
+                F.array(one_run(acc.getField("total"), run)),
+                acc,
+                lambda a, r: F.struct(
                     r.getField("total").alias("total"),
-                    F.concat(acc.getField("runs"), F.array(r.getField("out"))).alias("runs"),
+                    F.concat(a.getField("runs"), F.array(r.getField("out"))).alias("runs"),
                 ),
             ),
         )

@@ -224,6 +224,17 @@ def _no_punctuation(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\W", "")
 
 
+def lower_in_place(text: Column) -> Column:
+    """Lower case with every character where it was: one whose lower case is two stays as it is."""
+
+    def each(t: Column) -> Column:
+        lower = F.lower(t)
+        apart = F.transform(F.split(t, "", -1), lambda c: F.when(F.length(F.lower(c)) == 1, F.lower(c)).otherwise(c))
+        return F.when(F.length(lower) == F.length(t), lower).otherwise(F.array_join(apart, ""))
+
+    return let(text, each)
+
+
 def _loose_place(chars: Column, size: Column, bare: Column, width: Column) -> Column:
     """Where ``width`` characters in a row hold just the letters of ``bare``; null if nowhere.
 
@@ -323,7 +334,7 @@ def ground_entity(
 
         def exact(at: Column) -> Column:
             return F.when(at >= 0, placed("search", at, at + width, v, 0.9, True)).otherwise(
-                let(F.instr(F.lower(text), F.lower(v)) - 1, any_case)
+                let(F.instr(lower_in_place(text), lower_in_place(v)) - 1, any_case)
             )
 
         return let(F.instr(text, v) - 1, exact)

@@ -15,6 +15,8 @@ from .joins import bucket_of, buckets_of, join_within
 
 WORD_TYPE = "struct<c0:int,c1:int,word_no:int,word:string,t0:double,t1:double>"
 CHAR_BUCKET = 512
+#: Characters of a text that are looked through for the next words.
+AHEAD = 2048
 TIME_BUCKET = 60.0
 SAMPLE_RATE = 22_050
 
@@ -67,10 +69,11 @@ def segment_intervals_expr(
     """
     nothing = F.lit(None)
     whole = F.array(_interval(F.lit(0), F.length(text), nothing, nothing, seg_start, seg_end))
-    # The rest of the text is carried along: locating a word from an offset would
-    # walk through the text from its beginning every time.
+    # A stretch of the text ahead is carried along: locating a word from an offset, or cutting the
+    # whole rest off, would walk through the text for every word.
     start = F.struct(
-        F.lit(0).alias("pos"), text.alias("rest"), F.lit(None).cast("double").alias("time")
+        F.lit(0).alias("pos"), F.substring(text, 1, AHEAD).alias("ahead"), F.lit(None).cast("double").alias("time"),
+        F.length(text).alias("length"),
     )
     numbered = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("no")))
 
@@ -78,7 +81,7 @@ def segment_intervals_expr(
         w, pos = item.getField("w"), state.getField("pos")
         size = F.length(w.getField("word"))
 
-        def placed(skip: Column) -> Column:
+        def placed(ahead: Column, skip: Column) -> Column:
             at = pos + skip
             gap = _interval(pos, at, nothing, nothing, w.getField("start"), w.getField("start"))
             here = _interval(
@@ -87,15 +90,26 @@ def segment_intervals_expr(
             )
             nxt = F.struct(
                 (at + size).alias("pos"),
-                F.substr(state.getField("rest"), skip + size + 1).alias("rest"),
+                F.substr(ahead, skip + size + 1).alias("ahead"),
                 w.getField("end").cast("double").alias("time"),
+                state.getField("length").alias("length"),
             )
             return F.when(
                 (skip >= 0) & (size > 0),
                 step_result(nxt, F.when(skip > 0, F.array(gap, here)).otherwise(F.array(here))),
             ).otherwise(step_result(state, empty_array(WORD_TYPE)))
 
-        return let(F.instr(state.getField("rest"), w.getField("word")) - 1, placed)
+        def search(ahead: Column) -> Column:
+            def found(at: Column) -> Column:
+                return F.when(at > 0, at - 1).otherwise(F.instr(F.substr(text, pos + 1), w.getField("word")) - 1)
+
+            return let(
+                let(F.instr(ahead, w.getField("word")), found), lambda skip: placed(ahead, skip)
+            )
+
+        held = state.getField("ahead")
+        low = (F.length(held) < AHEAD // 2) & (pos + F.length(held) < state.getField("length"))
+        return let(F.when(low, F.substring(text, pos + 1, F.lit(AHEAD))).otherwise(held), search)
 
     def with_tail(r: Column) -> Column:
         state = r.getField("state")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -22,9 +23,12 @@ TOKEN = re.compile(
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-STYLE_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+STYLE_PART = re.compile(r"([^{};]*)([{};])")
 SIMPLE_SELECTOR = re.compile(r"^([a-z][a-z0-9-]*|\*)?((?:[.#][\w-]+)*)$", re.IGNORECASE)
-NOT_SHOWN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*([\w-]+)\s*(!\s*important)?", re.IGNORECASE)
+SHEET_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(hidden|collapse|visible)\s*(!\s*important)?", re.IGNORECASE)
+#: Groups of rules that hold on a screen of any size.
+SHOWN_GROUP = re.compile(r"@(?:supports\b|layer\b|media\s+(?:(?:only\s+)?(?:screen|all)\s*(?:,|$)|[^()]*,\s*(?:screen|all)\s*(?:,|$)))", re.IGNORECASE)
 VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.IGNORECASE)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -95,19 +99,28 @@ def build_tree(source: str) -> tuple[Node, str]:
     """The document's tree and the text of its style sheets."""
     root = Node("html", {})
     stack, sheets, at = [root], [], 0
+    opened: Counter[str] = Counter()  # so that the stack is searched only for what is in it
+
+    def cut(i: int) -> None:
+        for node in stack[i:]:
+            opened[node.tag] -= 1
+        del stack[i:]
 
     def close(tags: set[str], borders: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return close(tags, borders)
-            if stack[i].tag in borders:
+        while any(opened[t] for t in tags):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in tags:
+                    cut(i)
+                    break
+                if stack[i].tag in borders:
+                    return
+            else:
                 return
 
     def text(part: str) -> None:
         if part:
             if stack[-1].tag == "head" and part.strip():
-                stack.pop()
+                cut(len(stack) - 1)
             stack[-1].children.append(part)
 
     size = len(source)
@@ -124,12 +137,13 @@ def build_tree(source: str) -> tuple[Node, str]:
                 text(found["cdata"])
             continue
         if found["end"]:
-            if tag in ("p", "br") and not any(n.tag == tag for n in stack):
-                stack[-1].children.append(Node(tag, {}))
+            if not opened[tag]:
+                if tag in ("p", "br"):
+                    stack[-1].children.append(Node(tag, {}))
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].tag in SCOPES and tag not in SCOPES and tag not in ("tr", "tbody", "thead", "tfoot"):
                     break
@@ -139,7 +153,7 @@ def build_tree(source: str) -> tuple[Node, str]:
             root.attrs = attrs | root.attrs
             continue
         if stack[-1].tag == "head" and tag not in HEAD_ONLY:
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in CLOSES_P:
             close({"p"}, SCOPES | {"button", "foreignobject", "annotation-xml"})
         if tag in IMPLIED:
@@ -157,22 +171,49 @@ def build_tree(source: str) -> tuple[Node, str]:
             node.children.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
         elif tag not in VOID:
             stack.append(node)
+            opened[tag] += 1
     return root, "\n".join(sheets)
 
 
-def hiding_rules(sheet: str) -> list[tuple[str, frozenset[str], frozenset[str]]]:
-    """Simple selectors (tag, classes, ids) that a style sheet does not display."""
-    found = []
-    for selectors, body in STYLE_RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.DOTALL)):
-        if NOT_SHOWN.search(body):
-            for one in selectors.split(","):
-                if m := SIMPLE_SELECTOR.match(one.strip()):
-                    parts = re.findall(r"([.#])([\w-]+)", m[2] or "")
-                    if m[1] or parts:
-                        tag = (m[1] or "*").lower()
-                        names = [frozenset(n for k, n in parts if k == kind) for kind in ".#"]
-                        found.append((tag, names[0], names[1]))
-    return found
+def sheet_rules(sheet: str) -> list[tuple]:
+    """Rules of a style sheet on what is displayed and visible, by what weighs least first.
+
+    Each has a simple selector (tag, classes, ids) and what it says: displayed and visible, true,
+    false or None. Rules for print, for screens of some sizes only, and of key frames say nothing.
+    """
+    found, groups, selectors = [], [], ""
+    for m in STYLE_PART.finditer(re.sub(r"/\*.*?\*/", "", sheet, flags=re.DOTALL)):
+        before, mark = m[1].strip(), m[2]
+        if mark == "{":
+            group = before.startswith("@")
+            groups.append((bool(SHOWN_GROUP.match(before)) if group else True, before, []))
+        elif groups:
+            groups[-1][2].append(before)
+            if mark == "}":
+                _, selectors, body = groups.pop()
+                if not selectors.startswith("@") and all(g[0] and g[1].startswith("@") for g in groups):
+                    found += _rules_of(selectors, "; ".join(body), len(found))
+    return [rule[1:] for rule in sorted(found, key=lambda r: r[0])]
+
+
+def _rules_of(selectors: str, body: str, place: int) -> list[tuple]:
+    shown, seen = (list(p.finditer(body))[-1:] for p in (DISPLAY, SHEET_VISIBILITY))
+    out = []
+    for one in selectors.split(",") if shown or seen else ():
+        if m := SIMPLE_SELECTOR.match(one.strip()):
+            parts = re.findall(r"([.#])([\w-]+)", m[2] or "")
+            if m[1] or parts:
+                tag = (m[1] or "*").lower()
+                classes, ids = (frozenset(n for k, n in parts if k == kind) for kind in ".#")
+                weight = (len(ids), len(classes), tag != "*", place)
+                for important in (False, True):
+                    says = [
+                        v[0][1].lower() not in ("none", "hidden", "collapse") if v and bool(v[0][2]) == important else None
+                        for v in (shown, seen)
+                    ]
+                    if says != [None, None]:
+                        out.append(((important, *weight), tag, classes, ids, *says, important))
+    return out
 
 
 class Page:
@@ -183,16 +224,35 @@ class Page:
 
     def displayed(self, node: Node) -> bool:
         attrs = node.attrs
-        if node.tag in UNSEEN or "hidden" in attrs or NOT_SHOWN.search(attrs.get("style", "")):
+        if node.tag in UNSEEN:
             return False
         if node.inside and (node.tag in UNSEEN_INSIDE[node.inside] or attrs.get("display") == "none"):
             return False
         if node.tag == "dialog" and "open" not in attrs:
             return False
-        if self.rules:
-            classes, own = set(attrs.get("class", "").split()), {attrs.get("id")}
-            return not any(t in ("*", node.tag) and c <= classes and i <= own for t, c, i in self.rules)
-        return True
+        own = list(DISPLAY.finditer(attrs.get("style", "")))[-1:]
+        says = self.said(node, 0)
+        if own and not (says and says[-1][1] and not own[0][2]):
+            return own[0][1].lower() != "none"
+        return says[-1][0] if says else "hidden" not in attrs
+
+    def said(self, node: Node, what: int) -> list[tuple[bool, bool]]:
+        """What the sheet's rules for an element say of its display (0) or visibility (1), the last word last."""
+        if not self.rules:
+            return []
+        classes, own = set(node.attrs.get("class", "").split()), {node.attrs.get("id")}
+        return [
+            (rule[3 + what], rule[5])
+            for rule in self.rules
+            if rule[3 + what] is not None and rule[0] in ("*", node.tag) and rule[1] <= classes and rule[2] <= own
+        ]
+
+    def seen(self, node: Node, inherited: bool) -> bool:
+        """Whether an element is visible, by its own style, else by the sheet, else as what it stands in."""
+        if m := VISIBILITY.search(node.attrs.get("style", "")):
+            return m[1].lower() == "visible"
+        rules = self.said(node, 1)
+        return rules[-1][0] if rules else inherited
 
     def lines(self, top: Node, tables: int = 0, seen: bool = True) -> list[str]:
         """The lines below ``top``; walks without recursion but for tables."""
@@ -236,8 +296,7 @@ class Page:
             tag = item.tag
             if not self.displayed(item):
                 continue
-            if m := VISIBILITY.search(item.attrs.get("style", "")):
-                visible = m[1].lower() == "visible"
+            visible = self.seen(item, visible)
             if tag == "br":
                 if line:
                     line[-1] = line[-1].rstrip(" ")
@@ -307,8 +366,7 @@ class Page:
                 continue
             if not self.displayed(item):
                 continue
-            if m := VISIBILITY.search(item.attrs.get("style", "")):
-                shown = m[1].lower() == "visible"
+            shown = self.seen(item, shown)
             if item.tag in ("td", "th"):
                 if not rows:
                     rows.append([])
@@ -365,7 +423,7 @@ class Page:
 def visible_text(source: str) -> str:
     """All text that a page shows, laid out; no text for an empty page."""
     root, sheet = build_tree(source)
-    page = Page(hiding_rules(sheet))
+    page = Page(sheet_rules(sheet))
     return "\n".join(page.lines(root)).strip("\n")
 
 

@@ -1,4 +1,4 @@
-"""What style sheets hide, and pages with very many open tags."""
+"""What style sheets hide, wide and deep tables, and pages with very many open tags."""
 
 import time
 
@@ -35,3 +35,25 @@ def test_many_tags_take_linear_time(part):
     begun = time.process_time()
     build_tree(part * (200_000 // part.count("<")))
     assert time.process_time() - begun < 12
+
+
+def test_wide_cells_keep_columns():
+    wide = "word " * 30 + "end"
+    page = f"<table><tr><td>{wide}<td>one<tr><td>short<td>two<tr><td>{'x' * 500}<td>three</table>"
+    lines = visible_text(page).split("\n")
+    assert [line.split()[-1] for line in lines] == ["one", "two", "three"]
+    assert {line.rindex(line.split()[-1]) for line in lines} == {502}
+
+
+def test_blanks_of_wide_columns_are_bounded():
+    page = f"<table><tr><td>{'x' * 300_000}<td>one" + "<tr><td>a<td>b" * 5_000 + "</table>"
+    text = visible_text(page)
+    assert text.split() == ["x" * 300_000, "one"] + ["a", "b"] * 5_000
+    assert len(text) < 20 * len(page)
+
+
+def test_deep_tables_are_laid_out():
+    depth = 60
+    page = "<table><tr><td>a<td>" * depth + "<table><tr><td>left<td>right<tr><td>l<td>r</table>" + "</table>" * depth
+    lines = [line for line in visible_text(page).split("\n") if "right" in line or line.endswith("r")]
+    assert len(lines) == 2 and lines[0].index("right") == lines[1].rindex("r")

@@ -71,8 +71,11 @@ IMPLIED = {
 HEAD_ONLY = frozenset("base link meta title script style template noscript head html body".split())
 #: An end tag does not reach over these.
 SCOPES = frozenset("table td th caption html template".split())
-WIDEST = 40
-DEEPEST_TABLE = 12
+#: Blanks that aligned columns may take, beside so many for each character of the page; tables beyond
+#: it have columns of at most ``NARROW`` characters, out of which longer cells stick.
+BLANKS, BLANKS_EACH, NARROW = 1 << 20, 8, 40
+#: Tables within so many others are laid out as running text.
+DEEPEST_TABLE = 100
 MOST_SPAN = 1000
 
 
@@ -219,8 +222,9 @@ def _rules_of(selectors: str, body: str, place: int) -> list[tuple]:
 class Page:
     """Lays a tree out as lines."""
 
-    def __init__(self, rules: list) -> None:
+    def __init__(self, rules: list, size: int = 0) -> None:
         self.rules = rules
+        self.blanks = BLANKS + BLANKS_EACH * size
 
     def displayed(self, node: Node) -> bool:
         attrs = node.attrs
@@ -395,14 +399,7 @@ class Page:
                 column += wide
             taken = {c: n - 1 for c, n in taken.items() if n > 1}
             grid.append(cells)
-        widths: dict[int, int] = {}
-        for cells in grid:
-            for c, cell in cells.items():
-                widths[c] = max([widths.get(c, 0), *(min(len(x), WIDEST) for x in cell)])
-        places, at = {}, 0
-        for c in sorted(widths):
-            places[c] = at
-            at += widths[c] + (2 if widths[c] else 0)
+        places = self.places(grid)
         out = list(before)
         for cells in grid:
             for i in range(max((len(x) for x in cells.values()), default=0)):
@@ -414,6 +411,23 @@ class Page:
                 out.append(text.rstrip())
         return out
 
+    def places(self, grid: list[dict[int, list[str]]]) -> dict[int, int]:
+        """Where columns begin: each is as wide as its widest cell, while there are blanks left for that."""
+        widths: dict[int, int] = {}
+        for cells in grid:
+            for c, cell in cells.items():
+                widths[c] = max([widths.get(c, 0), *map(len, cell)])
+        for most in (max(widths.values(), default=0), NARROW):
+            places, at = {}, 0
+            for c in sorted(widths):
+                places[c] = at
+                at += min(widths[c], most) + (2 if widths[c] else 0)
+            needed = sum(places[max(cells)] * max(map(len, cells.values())) for cells in grid if cells)
+            if needed <= self.blanks:
+                break
+        self.blanks = max(0, self.blanks - needed)
+        return places
+
     @staticmethod
     def span(cell: Node, name: str) -> int:
         value = cell.attrs.get(name, "1").strip()
@@ -423,7 +437,7 @@ class Page:
 def visible_text(source: str) -> str:
     """All text that a page shows, laid out; no text for an empty page."""
     root, sheet = build_tree(source)
-    page = Page(sheet_rules(sheet))
+    page = Page(sheet_rules(sheet), len(source))
     return "\n".join(page.lines(root)).strip("\n")
 
 
@@ -432,7 +446,9 @@ def html_text(pages: DataFrame, key: str = "page_id", markup: str = "html") -> D
 
     Null and empty pages have an empty text and no lines; text without markup is text.
     Repeated keys give a row each, an empty table gives an empty one, other columns are not
-    read. No shuffle.
+    read. No shuffle. Columns are as wide as their widest cell; on a page where that would take
+    more than ``BLANKS`` and ``BLANKS_EACH`` times its length of blanks, cells of further tables may
+    stick out. Tables within ``DEEPEST_TABLE`` others are running text. No text is lost by either.
     """
 
     def work(batches: Iterator[list[list]]) -> Iterator[list[list]]:

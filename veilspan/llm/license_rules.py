@@ -80,6 +80,37 @@ SENTENCES = {
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation; version 2 of the License."
     ),
+    "lgpl2-later": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+        "option) any later version."
+    ),
+    "lgpl21-later": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+        "option) any later version."
+    ),
+    "lgpl21-only": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; version 2.1 of the License."
+    ),
+    "lgpl3-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version."
+    ),
+    "agpl3-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version."
+    ),
+    "apache-text": "Apache License.\nVersion 2.0, January 2004.",
+    "gpl2-text": "GNU GENERAL PUBLIC LICENSE.\nVersion 2, June 1991.",
+    "gpl3-text": "GNU GENERAL PUBLIC LICENSE.\nVersion 3, 29 June 2007.",
+    "lgpl21-text": "GNU LESSER GENERAL PUBLIC LICENSE.\nVersion 2.1, February 1999.",
+    "lgpl3-text": "GNU LESSER GENERAL PUBLIC LICENSE.\nVersion 3, 29 June 2007.",
+    "agpl3-text": "GNU AFFERO GENERAL PUBLIC LICENSE.\nVersion 3, 19 November 2007.",
+    "mpl2-text": "Mozilla Public License Version 2.0.",
     "gpl-warranty": (
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
         "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
@@ -114,6 +145,18 @@ RULES = [
     ("GPL-2.0-only", ("gpl2-only",)),
     ("GPL-3.0-only", ("gpl3-short",)),
     ("GPL-2.0-only", ("gpl2-short",)),
+    ("LGPL-2.0-or-later", ("lgpl2-later",)),
+    ("LGPL-2.1-or-later", ("lgpl21-later",)),
+    ("LGPL-2.1-only", ("lgpl21-only",)),
+    ("LGPL-3.0-or-later", ("lgpl3-later",)),
+    ("AGPL-3.0-or-later", ("agpl3-later",)),
+    ("Apache-2.0", ("apache-text",)),
+    ("GPL-2.0-only", ("gpl2-text",)),
+    ("GPL-3.0-only", ("gpl3-text",)),
+    ("LGPL-2.1-only", ("lgpl21-text",)),
+    ("LGPL-3.0-only", ("lgpl3-text",)),
+    ("AGPL-3.0-only", ("agpl3-text",)),
+    ("MPL-2.0", ("mpl2-text",)),
     ("MPL-2.0", ("mpl2",)),
     ("CC-BY-4.0", ("cc-by",)),
     ("CC-BY-SA-4.0", ("cc-by-sa",)),
@@ -136,6 +179,9 @@ CUT = "\x01"
 SENTENCE_END = r"""[.!?;:]["')\]]*(?:[ \t\r\n]+|$)|\n[ \t\r]*\n"""
 LINE_END = r"""[.!?;:]["')\]]*(?:[ \t\r\n]+|$)|\n"""
 BETWEEN_WORDS = r"[^a-z0-9\x01]+"
+#: A clause that names an organisation, and as the known sentence has it; a name may have a mark as in "Inc.".
+NAMED = r"neither the names? of [a-z0-9 \x01]{1,200}?[ \x01]nor the names? of (?:its|their|any|the) contributors may"
+UNNAMED = "neither the name of the copyright holder nor the names of its contributors may"
 
 
 def _plain_sentence(sentence: str) -> str:
@@ -172,7 +218,8 @@ RULES = [(licence, tuple(i for name in names for i in MADE_OF[name])) for licenc
 def _identifiers(text: Column, ends: str) -> Column:
     """Known identifiers in the order of the text, each between bars: ``|a||b|``."""
     cut = F.regexp_replace(F.lower(text), ends, CUT)
-    parts = F.split(F.regexp_replace(cut, BETWEEN_WORDS, " "), CUT)
+    plain = F.regexp_replace(F.regexp_replace(cut, BETWEEN_WORDS, " "), NAMED, UNNAMED)
+    parts = F.split(plain, CUT)
     known = F.map_from_arrays(
         F.array(*[F.lit(k) for k in KNOWN]), F.array(*[F.lit(f"|{name}|") for name in KNOWN.values()])
     )
@@ -218,7 +265,8 @@ def licences_sql(table: str, key: str = "doc_id", text: str = "text") -> str:
 
     def identifiers(ends: str) -> str:
         cut = f"regexp_replace(lower(coalesce({text}, '')), {quoted(ends)}, chr(1), 'g')"
-        parts = f"string_split(regexp_replace({cut}, {quoted(BETWEEN_WORDS)}, ' ', 'g'), chr(1))"
+        plain = f"regexp_replace({cut}, {quoted(BETWEEN_WORDS)}, ' ', 'g')"
+        parts = f"string_split(regexp_replace({plain}, {quoted(NAMED)}, {quoted(UNNAMED)}, 'g'), chr(1))"
         return (
             f"CASE WHEN regexp_matches(lower(coalesce({text}, '')), {quoted(TRIGGER)}) THEN "
             f"array_to_string(list_transform({parts}, lambda s: coalesce(known.m[trim(s, ' ')], '')), '') ELSE '' END"

@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import PROSE, rows_of
-from tests.llm.test_line_recall import slow_dedup
+from tests.llm.test_line_recall import slow_dedup, word_distance
 from veilspan.llm import fuzzy_lines as fl
 
 
@@ -108,3 +108,32 @@ def test_repeats_inside_one_document(docs_of):
     got = fl.without_repeats(docs_of(text)).first().text
     assert got == f"{PROSE}\nof.\n"
 
+
+
+def test_alike_lines_amid_many_unlike_ones(spark):
+    """Under one block: pairs far from its first and last lines, and a line met through one that is done."""
+    unlike = lambda i: [f"u{i}w{j}" for j in range(10)]
+    lines = [unlike(i) for i in range(20)]
+    lines += [[*unlike(i)[:-1], "other"] for i in range(8, 12)]
+    lines += [[*unlike(0)[:-k], *["new"] * k] for k in (2, 4)]
+    lines += [unlike(i) for i in range(20, 30)]
+    rows = [(i, len(w), i, i, [1], " ".join(w)) for i, w in enumerate(lines)]
+    distinct = spark.createDataFrame(rows, "id long, n int, h1 long, h2 long, blocks array<long>, body string")
+    links = [(r.a, r.b) for r in fl.fuzzy_links(distinct, distinct).collect()]
+    assert sorted(set(links)) == [(20, 8), (21, 9), (22, 10), (23, 11), (24, 0), (25, 24)]
+
+
+def test_pairs_apart_are_all_that_can_be_alike(spark, monkeypatch):
+    """Against edit distance over all pairs, with repeated words, on one large block dealt out to parts."""
+    monkeypatch.setattr(fl, "DEALT", 2)
+    draw = random.Random(10)
+    lines = [[f"word{draw.randrange(9)}" for _ in range(draw.randrange(5, 16))] for _ in range(100)]
+    for words in list(lines):
+        edits = [draw.choice([[], [w], [w, "word1"], ["word2"]]) if draw.random() < 0.2 else [w] for w in words]
+        lines.append(sum(edits, []))
+    bodies = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "id long, body string")
+    apart = bodies.select(F.lit(1).alias("block"), "id", F.size(F.split("body", " ")).alias("n"), F.col("id").alias("component"))
+    got = {(r.a, r.b) for r in fl._pairs_apart(apart, bodies).collect()}
+    limit = lambda x, y: 0.2 * max(len(x), len(y)) + 1e-9
+    expected = {(a, b) for a, x in enumerate(lines) for b, y in enumerate(lines[:a]) if word_distance(x, y) <= limit(x, y)}
+    assert expected and expected <= got

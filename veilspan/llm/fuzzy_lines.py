@@ -4,8 +4,10 @@ Lines are normalised; equal ones meet by digest. A distinct line of ``MIN_WORDS`
 SimHash blocks: its words in order of their hashes, and from each of some fixed points in that order
 one SimHash of the next three words (every bit as in two of the three hashes). By the pigeonhole
 principle a few edits leave some blocks as they are, so lines meet where they share a block, and
-link if their words are alike by edit distance. Of each connected group of lines the first
-occurrence stays.
+link if their words are alike by edit distance. Under a block all are compared with a few lines
+first; those that this leaves apart meet all others there that have one of their rarest words, as
+alike lines must, so that no link between lines that share a block is lost. Of each connected group
+of lines the first occurrence stays.
 
 One SimHash of a whole line does not do: at an edit similarity of 0.8 or more its bits scatter so
 far that two of four blocks of it agree for 29 % of the pairs only.
@@ -13,6 +15,8 @@ far that two of four blocks of it agree for 29 % of the pairs only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +39,14 @@ ALIKE_SHORT = 30
 BLOCK_BITS = 44
 #: So many lines that share a block are sent to where the texts of all lines are; more are joined by a shuffle.
 SENT_LINES = 1 << 20
-#: Times that the lines under a block which are unlike the first are compared with the next.
+#: Times that the lines under a block which are unlike the first are compared with the next, before all the rest are.
 ROUNDS = 3
+#: Words are ordered by how often those with the same so many bits of the hash occur.
+CLASS_BITS = 16
+#: Numbers of 64 bits in which each word of a line turns over one bit.
+SIGN = 4
+#: So many lines that share a block and a rare word are compared in one task; more are dealt out.
+DEALT = 1 << 10
 
 BETWEEN_WORDS = r"[^\p{L}\p{N}\n]+"
 BLANKS = r"[\s\p{Z}\p{C}]+"
@@ -240,15 +250,87 @@ def _not_done(members: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Lines under blocks whose lines are not all connected: ``block``, ``id``, ``n``, ``component``.
+
+    Up to three lines under a block have all been compared.
+    """
+    labelled = members.select("block", "id", "n").join(components(links, "a", "b"), "id", "left")
+    dealt = labelled.withColumn("component", F.coalesce("component", "id")).repartition("block")
+    sides = dealt.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k"))
+    sides = sides.filter("lo < hi AND k > 3").select("block")
+    return cut(dealt.join(sides.hint("shuffle_hash"), "block"))
+
+
+def _hashes(body: Column) -> Column:
+    return F.transform(_words(body), lambda w: F.xxhash64(w))
+
+
+def _word_classes(bodies: DataFrame) -> bytes:
+    """A byte for the last ``CLASS_BITS`` bits of a word's hash, the larger the more often they occur."""
+    low = F.col("w").bitwiseAND(F.lit((1 << CLASS_BITS) - 1))
+    classes = bytearray(1 << CLASS_BITS)
+    for r in bodies.select(F.explode(_hashes(F.col("body"))).alias("w")).groupBy(low.alias("low")).count().toLocalIterator():
+        classes[r["low"]] = min(255, 1 + int(4 * math.log2(r["count"])))
+    return bytes(classes)
+
+
+def _rarest(words: Column, classes: bytes) -> Column:
+    """One word more than may differ, the rarest first: lines that are alike have one of them in common.
+
+    By the prefix principle: of lines of n and of up to n words, at least n less the edits are the same.
+    """
+    place = lambda w: (w.bitwiseAND(F.lit((1 << CLASS_BITS) - 1)) + 1).cast("int")
+    number = lambda w: F.struct(F.substring(F.lit(bytearray(classes)), place(w), F.lit(1)), w.alias("w"))
+    ordered = F.sort_array(F.transform(words, number))
+    return F.array_distinct(F.transform(F.slice(ordered, 1, _most(F.size(words)) + 1), lambda x: x["w"]))
+
+
+def _sign(words: Column) -> Column:
+    """``SIGN`` numbers in which every word turns over a bit: an edit changes two bits at most."""
+
+    def of(number: int) -> Column:
+        def turned(bits: Column, w: Column) -> Column:
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))
+            own = F.shiftright(w, 6).bitwiseAND(F.lit(SIGN - 1)) == number
+            return F.when(own, bits.bitwiseXOR(bit)).otherwise(bits)
+
+        return F.aggregate(words, F.lit(0).cast("long"), turned)
+
+    return F.array(*[of(i) for i in range(SIGN)])
+
+
+def _pairs_apart(apart: DataFrame, bodies: DataFrame) -> DataFrame:
+    """All pairs ``a`` > ``b`` of lines of different components that share a block and can be alike."""
+    classes = _word_classes(bodies)
+    mark = lambda w: F.struct(_rarest(w, classes).alias("rarest"), _sign(w).alias("sign"))
+    own = bodies.join(apart.select("id").distinct(), "id")
+    marked = own.select("id", let(_hashes(F.col("body")), mark).alias("m")).select("id", "m.rarest", "m.sign")
+    keyed = apart.join(marked, "id").select("block", "id", "n", "component", "sign", F.explode("rarest").alias("w"))
+    dealt = keyed.withColumn("key", F.xxhash64("block", "w")).drop("block", "w").repartition("key")
+    sides = dealt.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k"))
+    sides = sides.filter("lo < hi").select("key", F.expr(f"k div {DEALT}").alias("parts"))
+    met = cut(dealt.join(sides.hint("shuffle_hash"), "key"))
+    one = met.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts") + 1)).alias("x")
+    other = met.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), "parts"))).alias("y")
+    most = _most(F.greatest("x.n", "y.n"))
+    bits = [F.bit_count(F.col("x.sign")[i].bitwiseXOR(F.col("y.sign")[i])) for i in range(SIGN)]
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part"))
+    other_line = (F.col("x.id") > F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
+    fits = (F.abs(F.col("x.n") - F.col("y.n")) <= most) & (sum(bits[1:], bits[0]) <= 2 * most)
+    return cut(one.join(other, same & other_line & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+
+
 def fuzzy_links(distinct: DataFrame, lines: DataFrame) -> DataFrame:
-    """Links (``a`` > ``b``) between alike lines that share a block.
+    """Links (``a`` > ``b``) that connect all alike lines that share a block.
 
     Under a block, all lines are compared with the smallest and the largest id; those alike one of
-    them are done. The others are compared likewise among themselves, ``ROUNDS`` times in all. A
-    block with very many lines so costs a few comparisons for each, whether they are alike or
-    not; and lines that are share several blocks, whose first and last lines differ.
+    them are done for then. The others are compared likewise among themselves, ``ROUNDS`` times in
+    all, so that large groups of alike lines cost a few comparisons for each. Of the lines under a
+    block that are not connected by then, each is compared with all others there that can be alike:
+    that share one of its rarest words and of whose words not too many differ.
     """
-    members = _members(distinct)
+    members = members_of_all = _members(distinct)
     used = cut(members.select("id").distinct().join(distinct.select("id", "h1", "h2"), "id"))
     used = F.broadcast(used) if used.count() <= SENT_LINES else used
     met = lines.select("h1", "h2", "body").join(used, ["h1", "h2"]).groupBy("id").agg(F.first("body").alias("body"))
@@ -259,7 +341,8 @@ def fuzzy_links(distinct: DataFrame, lines: DataFrame) -> DataFrame:
         members = cut(_ends(_not_done(members, links)))
         pairs = candidate_pairs(members).join(links, ["a", "b"], "left_anti")
         links = links.unionByName(_verified(pairs, bodies))
-    return links
+    apart = _apart(members_of_all, links)
+    return links if apart.isEmpty() else links.unionByName(_verified(_pairs_apart(apart, bodies), bodies))
 
 
 def _distinct_lines(lines: DataFrame) -> DataFrame:

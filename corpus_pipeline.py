@@ -25,7 +25,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares four fifths of its five-word shingles stays."""
+    """One document of each group stays: near SimHash prints or a shared band, and four fifths of the five-word shingles."""
     return one_of_each_near(docs)
 
 

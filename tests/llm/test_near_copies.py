@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from tests.llm.conftest import PROSE, rows_of
-from veilspan.llm.near_copies import one_of_each_near
+from veilspan.llm.near_copies import near_links, one_of_each_near, sketch, sketches
 
 
 def shingle_set(text):
@@ -67,3 +67,19 @@ def test_odd_rows(odd_docs, no_docs, docs_of):
     assert one_of_each_near(no_docs).count() == 0
     same_key = docs_of("a b c", "a b c", PROSE, keys=[1, 2, 2])
     assert rows_of(one_of_each_near(same_key), "doc_id", "text") == [(1, "a b c"), (2, PROSE)]
+
+
+def test_near_prints_meet_without_bands(docs_of):
+    """Texts whose SimHash prints differ by up to two bits are found by their prints alone, and verified."""
+    words = [f"w{i}" for i in range(1500)]
+    bits = lambda t: (sketch(t.encode())[2] ^ sketch(" ".join(words).encode())[2]) & (1 << 64) - 1
+    texts = [" ".join([*words[:i], "other", *words[i + 1 :]]) for i in range(0, 1500, 50)]
+    near = [t for t in texts if bits(t).bit_count() <= 2]
+    docs = docs_of(" ".join(words), *near, " ".join(reversed(words)))
+    rows = docs.selectExpr("doc_id AS key", "xxhash64(text) AS h", "text AS body")
+    prints = sketches(rows).selectExpr("key AS id", "key", "digest", "n", "sim", "array(key) AS bands").localCheckpoint()
+    links = {(r.a, r.b) for r in near_links(rows, prints).collect()}
+    reached = {0}
+    for _ in range(len(near)):
+        reached |= {x for pair in links if set(pair) & reached for x in pair}
+    assert len(near) > 3 and reached == set(range(len(near) + 1))

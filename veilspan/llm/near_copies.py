@@ -1,8 +1,9 @@
 """One of each group of documents with nearly the same text, by five-word shingles.
 
-SimHash prints of documents at a similarity of 0.8 differ by about ten of 64 bits, more than
-blocks of a print can be keyed by. So texts meet by bands of min-hashes, pairs beyond
-``RADIUS`` bits are discarded, and the rest are verified by their shingles.
+Texts whose SimHash prints differ by two bits at most meet by the prints' distances to references, as
+in ``simhash_dedup``. Prints of documents at a similarity of 0.8 differ by about ten of 64 bits, more
+than they can be keyed by. So texts further apart meet by bands of min-hashes, pairs beyond
+``RADIUS`` bits are discarded. All pairs are verified by their shingles.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash_dedup
 from .common import cut, map_texts
 from .components import components
 
@@ -122,8 +124,20 @@ def _compared(pairs: DataFrame, rows: DataFrame, prints: DataFrame) -> DataFrame
     return cut(both.filter(OF * common >= SHARED * (F.size("x") + F.size("y") - common)).select("a", "b"))
 
 
+def simhash_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs ``a`` > ``b`` whose SimHash prints are the same or, by the tables of distances, nearly so.
+
+    Texts with one print stand behind the smallest id of them.
+    """
+    first = cut(prints.groupBy("sim").agg(F.min("id").alias("id")))
+    same = prints.select("id", "sim").join(first.select("sim", F.col("id").alias("b")), "sim").filter("id != b")
+    near = simhash_dedup.near_links(first.select("id", F.col("sim").alias("fp")))
+    met = same.select(F.col("id").alias("a"), "b").unionByName(near.select("a", "b"))
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
 def near_links(rows: DataFrame, prints: DataFrame) -> DataFrame:
-    """Links (``a``, ``b``) that connect all of ``prints`` that share a band and are alike.
+    """Links (``a``, ``b``) that connect all of ``prints`` that are alike and have near prints or share a band.
 
     Under each band key, all are compared with the smallest id there; only those unlike it are
     compared with the rest, so that a group of copies costs one comparison for each.
@@ -136,7 +150,8 @@ def near_links(rows: DataFrame, prints: DataFrame) -> DataFrame:
     )
     followers = members.filter("id != leader")
     led = followers.filter(_near(*map(F.col, ("n", "leader_n", "sim", "leader_sim"))))
-    with_leader = _compared(led.select(F.col("id").alias("a"), F.col("leader").alias("b")), rows, prints)
+    with_leader = led.select(F.col("id").alias("a"), F.col("leader").alias("b")).unionByName(simhash_pairs(prints))
+    with_leader = _compared(with_leader, rows, prints)
     met = with_leader.select(F.col("a").alias("id"), F.col("b").alias("leader"))
     rest = followers.join(met, ["id", "leader"], "left_anti")
     rest = rest.select("band", F.col("id").alias("other"), F.col("n").alias("m"), F.col("sim").alias("print"))

@@ -428,12 +428,12 @@ def register_segmenter(
     """Make a Python function of a text a table function of SQL: ``FROM t, LATERAL name(t.text)``.
 
     Columns are those of ``segment_with`` but for the key. A blank text has no rows, so that
-    ``LEFT JOIN LATERAL name(t.text) ON true`` keeps its key. Rows travel in Arrow batches (a table
-    function of whole Arrow columns cannot stand in a lateral join).
+    ``LEFT JOIN LATERAL name(t.text) ON true`` keeps its key. Rows travel a few at a time: an Arrow
+    batch holds as many texts as the session allows rows, however long they are.
     """
 
     class Segmenter:
         def eval(self, text: str) -> Iterable[tuple]:
             yield from _pieces(function, text)
 
-    spark.udtf.register(name, F.udtf(Segmenter, returnType=PIECES, useArrow=True))
+    spark.udtf.register(name, F.udtf(Segmenter, returnType=PIECES, useArrow=False))

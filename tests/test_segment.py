@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from veilspan.operators.segment import explode_segments, scan_segments, segment, segment_with
+from veilspan.operators.segment import explode_segments, register_segmenter, scan_segments, segment, segment_with
 from veilspan.operators.rules import Rule
 
 
@@ -103,7 +103,7 @@ def test_spans_found_in_overlapping_segments_count_once(texts):
 
 def test_table_function_rows_travel_a_few_at_a_time(spark):
     """Not in Arrow batches, which hold thousands of texts of any length."""
-    sg.register_segmenter(spark, "in_twos", lambda t: [(i, i + 2, t[i : i + 2]) for i in range(0, len(t), 2)])
+    register_segmenter(spark, "in_twos", lambda t: [(i, i + 2, t[i : i + 2]) for i in range(0, len(t), 2)])
     cut = spark.sql("SELECT d.id, s.* FROM VALUES (1, 'abcd'), (2, ' '), (3, NULL) AS d(id, t), LATERAL in_twos(d.t) AS s")
     assert [tuple(r) for r in cut.collect()] == [(1, 0, "seg_0000", 0, 2, "ab", None), (1, 1, "seg_0001", 2, 4, "cd", None)]
     assert "BatchEvalPythonUDTF" in cut._jdf.queryExecution().toString() and "ArrowEval" not in cut._jdf.queryExecution().toString()

@@ -137,3 +137,15 @@ def test_pairs_apart_are_all_that_can_be_alike(spark, monkeypatch):
     limit = lambda x, y: 0.2 * max(len(x), len(y)) + 1e-9
     expected = {(a, b) for a, x in enumerate(lines) for b, y in enumerate(lines[:a]) if word_distance(x, y) <= limit(x, y)}
     assert expected and expected <= got
+
+
+def test_pairs_apart_come_out_once(spark, monkeypatch):
+    """However many blocks and rare words two lines share; without their first keys, under each of them."""
+    lines = [[*[f"same{j}" for j in range(40)], *[f"own{i}w{j}" for j in range(5)]] for i in range(20)]
+    bodies = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "id long, body string")
+    apart = bodies.select(F.explode(F.array(*map(F.lit, range(6)))).alias("block"), "id", F.lit(45).alias("n"), F.col("id").alias("component"))
+    pairs = [(a, b) for a in range(20) for b in range(a)]
+    assert sorted(map(tuple, fl._pairs_met(apart, bodies).collect())) == pairs
+    monkeypatch.setattr(fl, "FIRST_KEYS", 0)
+    again = sorted(map(tuple, fl._pairs_met(apart, bodies).collect()))
+    assert len(again) > 6 * len(pairs) and sorted(set(again)) == pairs

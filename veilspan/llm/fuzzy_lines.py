@@ -47,6 +47,8 @@ CLASS_BITS = 16
 SIGN = 4
 #: So many lines that share a block and a rare word are compared in one task; more are dealt out.
 DEALT = 1 << 10
+#: Keys that each line brings along, the smallest ones, so that a pair comes out under the first key it shares only.
+FIRST_KEYS = 16
 
 BETWEEN_WORDS = r"[^\p{L}\p{N}\n]+"
 BLANKS = r"[\s\p{Z}\p{C}]+"
@@ -300,25 +302,47 @@ def _sign(words: Column) -> Column:
     return F.array(*[of(i) for i in range(SIGN)])
 
 
-def _pairs_apart(apart: DataFrame, bodies: DataFrame) -> DataFrame:
-    """All pairs ``a`` > ``b`` of lines of different components that share a block and can be alike."""
-    classes = _word_classes(bodies)
-    mark = lambda w: F.struct(_rarest(w, classes).alias("rarest"), _sign(w).alias("sign"))
-    own = bodies.join(apart.select("id").distinct(), "id")
-    marked = own.select("id", let(_hashes(F.col("body")), mark).alias("m")).select("id", "m.rarest", "m.sign")
-    keyed = apart.join(marked, "id").select("block", "id", "n", "component", "sign", F.explode("rarest").alias("w"))
-    dealt = keyed.withColumn("key", F.xxhash64("block", "w")).drop("block", "w").repartition("key")
-    sides = dealt.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k"))
-    sides = sides.filter("lo < hi").select("key", F.expr(f"k div {DEALT}").alias("parts"))
-    met = cut(dealt.join(sides.hint("shuffle_hash"), "key"))
-    one = met.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts") + 1)).alias("x")
-    other = met.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), "parts"))).alias("y")
+def _shared_keys(apart: DataFrame, bodies: DataFrame, classes: bytes) -> DataFrame:
+    """``id``, its component and ``at``: the keys (of a block and a rare word), with parts, that other components have."""
+    own = bodies.join(apart.select("id").distinct(), "id").select("id", _rarest(_hashes(F.col("body")), classes).alias("rarest"))
+    keyed = apart.join(own, "id").select("block", "id", "component", F.explode("rarest").alias("w"))
+    dealt = keyed.select(F.hash("block", "w").alias("key"), "id", "component").repartition("key")
+    # all three columns, so that one exchange serves both sides of the join
+    sides = dealt.groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"),
+        F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("k"),
+    ).filter("lo < hi AND first < last")
+    sides = sides.select("key", F.expr(f"CAST(k div {DEALT} AS int)").alias("parts"))
+    met = dealt.join(sides.hint("shuffle_hash"), "key")
+    return met.groupBy("id").agg(F.first("component").alias("component"), F.collect_set(F.struct("key", "parts")).alias("at"))
+
+
+def _pairs_met(apart: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Pairs as in ``_pairs_apart``, of which few come out more than once.
+
+    A pair comes out where both lines have the smallest key they share; only those that share none
+    of the first ``FIRST_KEYS`` of both come out under each key.
+    """
+    shared = cut(_shared_keys(apart, bodies, _word_classes(bodies)))
+    mark = lambda w: F.struct(F.size(w).alias("n"), _sign(w).alias("sign"))
+    marked = bodies.join(shared.select("id"), "id").select("id", let(_hashes(F.col("body")), mark).alias("m"))
+    keys = F.slice(F.array_sort(F.col("at.key")), 1, FIRST_KEYS)
+    met = cut(shared.join(marked, "id").select("id", "component", "m.n", "m.sign", keys.alias("keys"), "at"))
+    each = met.select("id", "component", "n", "sign", "keys", F.inline("at"))
+    one = each.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts") + 1).cast("int")).drop("parts").alias("x")
+    other = each.withColumn("part", F.explode(F.sequence(F.lit(0), "parts"))).drop("parts").alias("y")
     most = _most(F.greatest("x.n", "y.n"))
     bits = [F.bit_count(F.col("x.sign")[i].bitwiseXOR(F.col("y.sign")[i])) for i in range(SIGN)]
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part"))
     other_line = (F.col("x.id") > F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
     fits = (F.abs(F.col("x.n") - F.col("y.n")) <= most) & (sum(bits[1:], bits[0]) <= 2 * most)
-    return cut(one.join(other, same & other_line & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    here = F.coalesce(F.array_min(F.array_intersect("x.keys", "y.keys")), F.col("x.key")) == F.col("x.key")
+    return one.join(other, same & other_line & fits & here).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def _pairs_apart(apart: DataFrame, bodies: DataFrame) -> DataFrame:
+    """All pairs ``a`` > ``b`` of lines of different components that share a block and can be alike."""
+    return cut(_pairs_met(apart, bodies).distinct())
 
 
 def fuzzy_links(distinct: DataFrame, lines: DataFrame) -> DataFrame:

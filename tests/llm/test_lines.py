@@ -38,7 +38,9 @@ def slow_blocks(words):
     if fl.MIN_WORDS <= len(h) <= fl.ALIKE_SHORT:
         out += [tuple(h[i : i + 2]) for i in range(min(len(h) - 1, fl.SHORT_BLOCKS))]
     if len(h) > fl.SHORT_LINE:
-        out += [tuple(h[i : i + 3]) for i in range(fl.BLOCKS)]
+        points = [k * ((1 << 63) // fl.BLOCKS) - (1 << 63) for k in range(fl.BLOCKS)]
+        starts = dict.fromkeys(sum(x < point for x in h) for point in points)
+        out += [tuple(h[(i + j) % len(h)] for j in range(3)) for i in starts]
     return out
 
 

@@ -64,7 +64,8 @@ def bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.n
     least, most = up @ low_f + down @ high_f, up @ high_f + down @ low_f
     if queries.shape[1] * max(largest(low), largest(high)) * largest(queries) >= EXACT:
         spare = (up - down) @ np.maximum(np.abs(low_f), np.abs(high_f)) * 1e-12
-        least, most = (np.clip(x, -(2.0**63), 2.0**63) for x in (least - spare, most + spare))
+        # scores end at 2**63 - 1, which no double is: the next smaller one bounds them from below
+        least, most = np.clip(least - spare, -(2.0**63), np.nextafter(2.0**63, 0)), np.clip(most + spare, -(2.0**63), 2.0**63)
     return least, most
 
 

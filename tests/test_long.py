@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +105,17 @@ def test_overlaps_are_refused(spark):
         (1, None, "a segment has no text")
     ]
     assert sg.merge_segments_long(rows.filter("false"), "doc_id", text_col="text").count() == 0
+
+
+def test_work_grows_with_the_segments(spark):
+    """Nothing is worked out for all segments of a text once for each of them, and rows are grouped once."""
+    text = "ab. " * 12_000
+    began = time.monotonic()
+    rows = rows_of(spark, [(1, text)])
+    generate = re.search(r"Generate .*", rows._jdf.queryExecution().optimizedPlan().toString())[0]
+    assert re.search(r"inline\(__rows#\d+\), \[\d+\]", generate)  # the array itself stays behind
+    back = sg.merge_segments_long(rows, "doc_id", text_col="text")
+    assert [(r.redacted_text, r.error) for r in back.collect()] == [(text, None)]
+    assert time.monotonic() - began < 30
+    plan = back._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2 and "distinct count" not in plan and "count(distinct" not in plan

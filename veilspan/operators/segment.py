@@ -257,14 +257,16 @@ def segment_rows(df: DataFrame, *keys: str, text_col: str = "text") -> DataFrame
 
     def numbered(s: Column) -> Column:
         bounds = F.transform(s, lambda x: F.struct(x.getField("start").alias("a"), x.getField("end").alias("b")))
-        ends = F.concat(F.array(F.lit(0)), F.transform(bounds, lambda x: x.getField("b")))
         tail = F.struct(size.alias("a"), size.alias("b"))
-        parts = F.transform(
-            F.concat(bounds, F.array(tail)),
-            lambda x, i: F.struct(F.get(ends, i).alias("p"), x.getField("a").alias("a"), x.getField("b").alias("b")),
-        )
-        apart = F.forall(parts, lambda x: (x.getField("p") <= x.getField("a")) & (x.getField("a") <= x.getField("b")))
-        return F.when(apart, F.flatten(F.transform(parts, pieces)))
+        apart = lambda x: (x.getField("p") <= x.getField("a")) & (x.getField("a") <= x.getField("b"))
+
+        # each worked out once a text, not once a segment
+        def after(b: Column) -> Column:
+            ends = F.concat(F.array(F.lit(0)), F.transform(b, lambda x: x.getField("b")))
+            own = lambda p, x: F.struct(p.alias("p"), x.getField("a").alias("a"), x.getField("b").alias("b"))
+            return F.zip_with(ends, F.concat(b, F.array(tail)), own)
+
+        return let(let(bounds, after), lambda p: F.when(F.forall(p, apart), F.flatten(F.transform(p, pieces))))
 
     def pieces(x: Column) -> Column:
         gap = F.substring(text, x.getField("p") + 1, x.getField("a") - x.getField("p"))
@@ -290,28 +292,36 @@ def segment_rows(df: DataFrame, *keys: str, text_col: str = "text") -> DataFrame
         return F.struct(a.alias("start"), b.alias("end"), lead.alias("lead"), own.alias("text"))
 
     none = F.array(F.lit(None).cast("struct<start:int,end:int,lead:string,text:string>"))
-    rows = F.coalesce(let(F.coalesce("segments", empty_array(SEGMENT_TYPE)), numbered), none)
-    own = df.select(F.monotonically_increasing_id().alias("text_no"), *keys, rows.alias("__rows"))
-    each = own.select("text_no", *keys, F.size("__rows").alias("n_rows"), F.posexplode("__rows").alias("seg_no", "__row"))
-    return each.select("text_no", *keys, "seg_no", "n_rows", "__row.start", "__row.end", "__row.lead", "__row.text")
+    found = F.coalesce(let(F.coalesce("segments", empty_array(SEGMENT_TYPE)), numbered), none)
+
+    # with their number in each of them: a size of the array beside its generator would put the whole array on every row
+    def counted(r: Column) -> Column:
+        fields = lambda x, i: [i.alias("seg_no"), F.size(r).alias("n_rows"), *[x.getField(c).alias(c) for c in ("start", "end", "lead", "text")]]
+        return F.transform(r, lambda x, i: F.struct(*fields(x, i)))
+
+    own = df.select(F.monotonically_increasing_id().alias("text_no"), *keys, let(found, counted).alias("__rows"))
+    return own.select("text_no", *keys, F.inline("__rows"))
 
 
 def _joined_stretches(rows: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
     """Up to ``STRETCH`` segments as one row each: text_no, part_no, keys, n, n_rows, part, lost."""
-    piece = F.concat("lead", F.col(text_col))
+    piece = F.struct("seg_no", F.concat("lead", F.col(text_col)).alias("piece"))
     stretch = F.expr(f"seg_no div {STRETCH}").alias("part_no")
-    return (
-        rows.withColumn("__piece", piece)
-        .groupBy("text_no", stretch)
-        .agg(
-            *[F.first(k).alias(k) for k in keys],
-            F.count("*").alias("n"),
-            F.count_distinct("seg_no").alias("n_own"),
-            F.max("n_rows").alias("n_rows"),
-            F.bool_or(F.col("__piece").isNull()).alias("lost"),
-            F.expr("listagg(__piece, '') WITHIN GROUP (ORDER BY seg_no)").alias("part"),
-        )
+    # numbers are counted in the list: a distinct count would group all rows by number first
+    lists = rows.groupBy("text_no", stretch).agg(
+        *[F.first(k).alias(k) for k in keys],
+        F.count("*").alias("n"),
+        F.max("n_rows").alias("n_rows"),
+        F.sort_array(F.collect_list(piece)).alias("__pieces"),
     )
+    numbers, pieces = F.col("__pieces.seg_no"), F.col("__pieces.piece")
+    return lists.select(
+        "text_no", "part_no", *keys, "n",
+        F.size(F.array_distinct(F.array_compact(numbers))).cast("long").alias("n_own"),
+        "n_rows",
+        F.exists(pieces, lambda x: x.isNull()).alias("lost"),
+        F.array_join(pieces, "").alias("part"),
+    )
 
 
 def _merge_error(n: Column, n_own: Column, n_rows: Column, lost: Column) -> Column:

@@ -168,6 +168,14 @@ def test_dictionary_spans_are_masked(spark, texts):
     assert _longest([]) == []
 
 
+def test_dictionary_is_one_pass(spark, texts):
+    """However many files of values there are, one Python worker a task maps them all."""
+    values = spark.createDataFrame([(f"value {i}", "X") for i in range(50)], "value string, entity_type string")
+    df = scan_dictionary(texts("a value 7, a value 49", "value 5"), values, max_values=9)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert spans_of(df) == [(0, 2, 9, "value 7", "X"), (0, 13, 21, "value 49", "X"), (1, 0, 7, "value 5", "X")]
+
+
 # --- figures of a run -------------------------------------------------------------
 
 

@@ -151,3 +151,11 @@ def test_pairs_apart_come_out_once(spark, monkeypatch):
     monkeypatch.setattr(fl, "FIRST_KEYS", 0)
     again = sorted(map(tuple, fl._pairs_met(apart, bodies).collect()))
     assert len(again) > 6 * len(pairs) and sorted(set(again)) == pairs
+
+
+def test_rare_words_are_worked_out_once(spark):
+    """Not in a filter on empty arrays, which would go below the join and do all lines once more."""
+    bodies = spark.createDataFrame([(0, "a b c d e", [1, 2, 3, 4, 5])], "id long, body string, codes array<int>")
+    apart = spark.createDataFrame([(7, 0, 0)], "block long, id long, component long")
+    plan = fl._shared_keys(apart, bodies, bytes(1 << fl.CLASS_BITS))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == plan.count("explode(") > 0

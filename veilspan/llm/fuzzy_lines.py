@@ -50,7 +50,8 @@ DEALT = 1 << 10
 #: Keys that each line brings along, the smallest ones, so that a pair comes out under the first key it shares only.
 FIRST_KEYS = 16
 
-BETWEEN_WORDS = r"[^\p{L}\p{N}\n]+"
+#: All but a blank alone, which is what comes in its place.
+BETWEEN_WORDS = r"[^\p{L}\p{N}\n](?:(?<! )[^\p{L}\p{N}\n]*+|[^\p{L}\p{N}\n]++)"
 BLANKS = r"[\s\p{Z}\p{C}]+"
 #: Characters of scripts without spaces, each of which counts as a word.
 UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
@@ -61,8 +62,8 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), BETWEEN_WORDS, " ")
 
 
-#: Where such characters are, among others; scripts take several times as long to look up.
-ABOUT_UNSPACED = r"[\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{AA7F}\x{F900}-\x{FFDC}\x{16FE0}-\x{3FFFF}]"
+#: Where such characters are, among others; one range, as scripts take several times as long to look up.
+ABOUT_UNSPACED = r"[\x{E00}-\x{3FFFF}]"
 
 
 def _words(body: Column) -> Column:
@@ -75,32 +76,30 @@ def _words(body: Column) -> Column:
 def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Every line that is not blank: ``LINE``, its body, number of words and SimHash blocks.
 
-    A line without letters and digits is its own body, less its blanks.
+    A line without letters and digits is its own body, less its blanks. Words and blocks are
+    worked out column by column, as what stands within a lambda is interpreted, sorting above all.
     """
-    # Within the generator, so that nothing is worked out once more for a filter on it.
     bodies = F.zip_with(
         F.split(normalised(F.col(text)), "\n"),
         F.split(F.col(text), "\n"),
         lambda line, raw: F.when(F.trim(line) != "", F.trim(line)).otherwise(F.regexp_replace(raw, BLANKS, "")),
     )
-
-    def line(body: Column, i: Column) -> Column:
-        # not split where there is nothing to compare
-        enough = F.octet_length(body) >= 2 * MIN_WORDS - 1
-        words = F.when(enough | (F.octet_length(body) > F.length(body)), _words(body)).otherwise(F.array(body))
-        fields = let(words, lambda w: F.struct(F.size(w).alias("n"), simhash_blocks(w).alias("blocks")))
-        return F.struct(i.alias("line_no"), body.alias("body"), fields.alias("f"))
-
-    filled = F.filter(F.transform(bodies, line), lambda x: x["body"] != "")
-    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.inline_outer(filled))
-    return rows.filter(F.col("line_no").isNotNull()).select(
+    # an outer one, as for others all is worked out once more in a filter on empty arrays
+    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.posexplode_outer(bodies).alias("line_no", "body"))
+    body = F.col("body")
+    # not split where there is nothing to compare
+    enough = (F.octet_length(body) >= 2 * MIN_WORDS - 1) | (F.octet_length(body) > F.length(body))
+    words = F.when(enough, _words(body)).otherwise(F.array(body))
+    ordered = rows.filter("body <> ''").select("key", "line_no", "body", _in_order(words).alias("h"))
+    started = ordered.select("key", "line_no", "body", "h", _starts(F.col("h")).alias("starts"))
+    return started.select(
         "key",
         "line_no",
         F.xxhash64("body").alias("h1"),
         F.xxhash64(F.lit(1), "body").alias("h2"),
         "body",
-        F.col("f.n").alias("n"),
-        F.col("f.blocks").alias("blocks"),
+        F.size("h").alias("n"),
+        _blocks(F.col("h"), F.col("starts")).alias("blocks"),
     )
 
 
@@ -122,31 +121,34 @@ def _in_order(words: Column) -> Column:
 
 def simhash_blocks(words: Column) -> Column:
     """Keys of a line's word blocks; none for lines of fewer than ``MIN_WORDS`` words."""
+    return let(_in_order(words), lambda h: _blocks(h, _starts(h)))
+
+
+def _starts(h: Column) -> Column:
+    """Of ordered numbers, the place from which on they are not below each of the fixed points."""
+    points = [-(1 << 63) + k * ((1 << 63) // BLOCKS) for k in range(1, BLOCKS)]
+    among = F.sort_array(F.concat(h, F.array(*map(F.lit, points))))
+    before = [(F.array_position(among, F.lit(point)) - k).cast("int") for k, point in enumerate(points, 1)]
+    return F.array_distinct(F.array(F.lit(0), *before))
 
+
+def _blocks(h: Column, starts: Column) -> Column:
+    """Keys of the blocks of ordered numbers of words."""
     mask = F.lit((1 << BLOCK_BITS) - 1)
 
-    def three(h: Column, i: Column) -> Column:
+    def three(i: Column) -> Column:
         a, b, c = (h[(i + j) % F.size(h)] for j in range(3))
         # of a word that occurs twice, two would be all that counts
         most = a.bitwiseAND(b).bitwiseOR(a.bitwiseOR(b).bitwiseAND(c))
         return F.when((a == b) | (b == c), F.xxhash64(a, b, c)).otherwise(most).bitwiseAND(mask)
 
-    def from_points(h: Column) -> Column:
-        def before(point: int) -> Column:
-            return F.size(F.filter(h, lambda x: x < F.lit(point)))
-
-        starts = [before(-(1 << 63) + k * ((1 << 63) // BLOCKS)) for k in range(1, BLOCKS)]
-        return F.transform(F.array_distinct(F.array(F.lit(0), *starts)), lambda i: three(h, i))
-
-    def of(h: Column) -> Column:
-        n = F.size(h)
-        places = F.sequence(F.lit(0), F.least(n - 2, F.lit(SHORT_BLOCKS - 1)))
-        few = F.transform(places, lambda i: F.xxhash64(h[i], h[i + 1]).bitwiseAND(mask))
-        many = from_points(h)
-        return F.when(n <= SHORT_LINE, few).when(n <= ALIKE_SHORT, F.concat(few, many)).otherwise(many)
-
+    n = F.size(h)
+    places = F.sequence(F.lit(0), F.least(n - 2, F.lit(SHORT_BLOCKS - 1)))
+    few = F.transform(places, lambda i: F.xxhash64(h[i], h[i + 1]).bitwiseAND(mask))
+    many = F.transform(starts, three)
     none = F.array().cast("array<bigint>")
-    return F.when(F.size(words) < MIN_WORDS, none).otherwise(let(_in_order(words), of))
+    kinds = F.when(n < MIN_WORDS, none).when(n <= SHORT_LINE, few)
+    return kinds.when(n <= ALIKE_SHORT, F.concat(few, many)).otherwise(many)
 
 
 def _place(key: Column, line_no: Column) -> Column:
@@ -154,18 +156,25 @@ def _place(key: Column, line_no: Column) -> Column:
     return key.cast("decimal(19,0)") * F.lit(1 << LINE_BITS).cast("decimal(10,0)") + line_no
 
 
-#: Symbols of words lie outside the basic plane: as many as 20 bits can tell apart.
-FIRST_SYMBOL, SYMBOLS = 0x10000, 1 << 20
+#: Symbols of words lie outside the basic plane: those of five hexadecimal digits.
+FIRST_SYMBOL, SYMBOLS = 0x10000, 0xF0000
+#: More than there are codes, and places of words in two lines.
+CODES = 1 << 20
 
 
 def _code(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(SYMBOLS))
 
 
+def _codes(body: Column) -> Column:
+    """A number below ``SYMBOLS`` for each word."""
+    return F.transform(_words(body), lambda w: _code(w).cast("int"))
+
+
 def _symbols(codes: Column) -> Column:
     """A string with one character per code."""
-    units = F.transform(codes, lambda c: F.lpad(F.hex(c + FIRST_SYMBOL), 8, "0"))
-    return F.decode(F.unhex(F.array_join(units, "")), "UTF-32")
+    units = F.transform(codes, lambda c: F.hex(c + FIRST_SYMBOL))
+    return F.decode(F.unhex(F.concat(F.lit("000"), F.array_join(units, "000"))), "UTF-32")
 
 
 def _most(longest: Column) -> Column:
@@ -189,7 +198,7 @@ def _alike(x: str, y: str, a: str, b: str) -> Column:
         all_words = F.array_distinct(F.concat(w["a"], w["b"]))
 
         def anew(known: Column) -> Column:
-            own = [_symbols(F.transform(w[s], lambda v: F.array_position(known, v) % (1 << 20))) for s in ("a", "b")]
+            own = [_symbols(F.transform(w[s], lambda v: F.array_position(known, v) % 0xF0000)) for s in ("a", "b")]
             clear = F.size(F.array_distinct(F.transform(known, _code))) == F.size(known)
             return clear | _near(*own)
 
@@ -201,8 +210,9 @@ def _alike(x: str, y: str, a: str, b: str) -> Column:
 
 def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The alike ones of distinct pairs ``a``, ``b``."""
-    first = bodies.select(F.col("id").alias("a"), F.col("symbols").alias("x"), F.col("body").alias("p"))
-    second = bodies.select(F.col("id").alias("b"), F.col("symbols").alias("y"), F.col("body").alias("q"))
+    known = bodies.select("id", "body", _symbols(F.col("codes")).alias("symbols"))
+    first = known.select(F.col("id").alias("a"), F.col("symbols").alias("x"), F.col("body").alias("p"))
+    second = known.select(F.col("id").alias("b"), F.col("symbols").alias("y"), F.col("body").alias("q"))
     met = pairs.join(first, "a").join(second, "b")
     return cut(met.filter(_alike("x", "y", "p", "q")).select("a", "b"))
 
@@ -213,17 +223,17 @@ def _ends(keyed: DataFrame) -> DataFrame:
     Blocks of one line are left out.
     """
     dealt = keyed.repartition("block")
-    line = F.struct("id", "n")
-    ends = dealt.groupBy("block").agg(F.min(line).alias("f"), F.max(line).alias("l")).filter("f.id < l.id")
-    ends = ends.select(
-        "block", F.col("f.id").alias("first"), F.col("f.n").alias("first_n"), F.col("l.id").alias("last"), F.col("l.n").alias("last_n")
-    )
+    # numbers only, which are summed up in place; structs would be sorted
+    ends = dealt.groupBy("block").agg(
+        F.min("id").alias("first"), F.min_by("n", "id").alias("first_n"),
+        F.max("id").alias("last"), F.max_by("n", "id").alias("last_n"),
+    ).filter("first < last")
     return dealt.join(ends.hint("shuffle_hash"), "block")
 
 
 def _members(distinct: DataFrame) -> DataFrame:
     """Lines that share a block with another: ``block``, ``id``, ``n``, and first and last as in ``_ends``."""
-    keyed = distinct.filter(F.size("blocks") > 0).select("id", "n", F.explode("blocks").alias("block"))
+    keyed = distinct.select("id", "n", F.explode_outer("blocks").alias("block")).filter("block IS NOT NULL")
     return stored(_ends(keyed), "line-blocks")
 
 
@@ -264,48 +274,53 @@ def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
     return cut(dealt.join(sides.hint("shuffle_hash"), "block"))
 
 
-def _hashes(body: Column) -> Column:
-    return F.transform(_words(body), lambda w: F.xxhash64(w))
+def _coded(bodies: DataFrame) -> DataFrame:
+    """``id`` and ``codes``: alike lines have alike codes, so that nothing is lost by comparing these first."""
+    return bodies.select("id", "codes" if "codes" in bodies.columns else _codes(F.col("body")).alias("codes"))
 
 
-def _word_classes(bodies: DataFrame) -> bytes:
-    """A byte for the last ``CLASS_BITS`` bits of a word's hash, the larger the more often they occur."""
-    low = F.col("w").bitwiseAND(F.lit((1 << CLASS_BITS) - 1))
+def _word_classes(coded: DataFrame) -> bytes:
+    """A byte below 128 for the last ``CLASS_BITS`` bits of a word's code, the larger the more often they occur."""
+    low = F.transform("codes", lambda c: c.bitwiseAND(F.lit((1 << CLASS_BITS) - 1)))
     classes = bytearray(1 << CLASS_BITS)
-    for r in bodies.select(F.explode(_hashes(F.col("body"))).alias("w")).groupBy(low.alias("low")).count().toLocalIterator():
-        classes[r["low"]] = min(255, 1 + int(4 * math.log2(r["count"])))
+    for r in coded.select(F.explode_outer(low).alias("low")).filter("low IS NOT NULL").groupBy("low").count().toLocalIterator():
+        classes[r["low"]] = min(127, 1 + int(4 * math.log2(r["count"])))
     return bytes(classes)
 
 
-def _rarest(words: Column, classes: bytes) -> Column:
+def _rarest(codes: Column, classes: bytes) -> Column:
     """One word more than may differ, the rarest first: lines that are alike have one of them in common.
 
     By the prefix principle: of lines of n and of up to n words, at least n less the edits are the same.
     """
-    place = lambda w: (w.bitwiseAND(F.lit((1 << CLASS_BITS) - 1)) + 1).cast("int")
-    number = lambda w: F.struct(F.substring(F.lit(bytearray(classes)), place(w), F.lit(1)), w.alias("w"))
-    ordered = F.sort_array(F.transform(words, number))
-    return F.array_distinct(F.transform(F.slice(ordered, 1, _most(F.size(words)) + 1), lambda x: x["w"]))
+
+    def number(c: Column) -> Column:
+        at = c.bitwiseAND(F.lit((1 << CLASS_BITS) - 1)) + 1
+        of = F.ascii(F.substring(F.lit(bytearray(classes)), at, F.lit(1)).cast("string"))
+        return of * CODES + c
+
+    ordered = F.sort_array(F.transform(codes, number))
+    return F.array_distinct(F.slice(ordered, 1, _most(F.size(codes)) + 1))
 
 
-def _sign(words: Column) -> Column:
+def _sign(codes: Column) -> Column:
     """``SIGN`` numbers in which every word turns over a bit: an edit changes two bits at most."""
 
     def of(number: int) -> Column:
-        def turned(bits: Column, w: Column) -> Column:
-            bit = F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))
-            own = F.shiftright(w, 6).bitwiseAND(F.lit(SIGN - 1)) == number
+        def turned(bits: Column, c: Column) -> Column:
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)))
+            own = F.shiftright(c, 6).bitwiseAND(F.lit(SIGN - 1)) == number
             return F.when(own, bits.bitwiseXOR(bit)).otherwise(bits)
 
-        return F.aggregate(words, F.lit(0).cast("long"), turned)
+        return F.aggregate(codes, F.lit(0).cast("long"), turned)
 
     return F.array(*[of(i) for i in range(SIGN)])
 
 
-def _shared_keys(apart: DataFrame, bodies: DataFrame, classes: bytes) -> DataFrame:
+def _shared_keys(apart: DataFrame, coded: DataFrame, classes: bytes) -> DataFrame:
     """``id``, its component and ``at``: the keys (of a block and a rare word), with parts, that other components have."""
-    own = bodies.join(apart.select("id").distinct(), "id").select("id", _rarest(_hashes(F.col("body")), classes).alias("rarest"))
-    keyed = apart.join(own, "id").select("block", "id", "component", F.explode("rarest").alias("w"))
+    own = coded.select("id", _rarest(F.col("codes"), classes).alias("rarest"))
+    keyed = apart.join(own, "id").select("block", "id", "component", F.explode_outer("rarest").alias("w"))
     dealt = keyed.select(F.hash("block", "w").alias("key"), "id", "component").repartition("key")
     # all three columns, so that one exchange serves both sides of the join
     sides = dealt.groupBy("key").agg(
@@ -323,11 +338,11 @@ def _pairs_met(apart: DataFrame, bodies: DataFrame) -> DataFrame:
     A pair comes out where both lines have the smallest key they share; only those that share none
     of the first ``FIRST_KEYS`` of both come out under each key.
     """
-    shared = cut(_shared_keys(apart, bodies, _word_classes(bodies)))
-    mark = lambda w: F.struct(F.size(w).alias("n"), _sign(w).alias("sign"))
-    marked = bodies.join(shared.select("id"), "id").select("id", let(_hashes(F.col("body")), mark).alias("m"))
-    keys = F.slice(F.array_sort(F.col("at.key")), 1, FIRST_KEYS)
-    met = cut(shared.join(marked, "id").select("id", "component", "m.n", "m.sign", keys.alias("keys"), "at"))
+    coded = _coded(bodies)
+    shared = cut(_shared_keys(apart, coded, _word_classes(coded)))
+    marked = coded.select("id", F.size("codes").alias("n"), _sign(F.col("codes")).alias("sign"))
+    keys = F.slice(F.sort_array(F.col("at.key")), 1, FIRST_KEYS)
+    met = cut(shared.join(marked, "id").select("id", "component", "n", "sign", keys.alias("keys"), "at"))
     each = met.select("id", "component", "n", "sign", "keys", F.inline("at"))
     one = each.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts") + 1).cast("int")).drop("parts").alias("x")
     other = each.withColumn("part", F.explode(F.sequence(F.lit(0), "parts"))).drop("parts").alias("y")
@@ -358,7 +373,7 @@ def fuzzy_links(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     used = cut(members.select("id").distinct().join(distinct.select("id", "h1", "h2"), "id"))
     used = F.broadcast(used) if used.count() <= SENT_LINES else used
     met = lines.select("h1", "h2", "body").join(used, ["h1", "h2"]).groupBy("id").agg(F.first("body").alias("body"))
-    coded = met.select("id", "body", _symbols(F.transform(_words(F.col("body")), _code)).alias("symbols"))
+    coded = met.select("id", "body", _codes(F.col("body")).alias("codes"))
     bodies = stored(coded, "line-bodies")
     links = _verified(candidate_pairs(members), bodies)
     for _ in range(1, ROUNDS):

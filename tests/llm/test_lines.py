@@ -1,6 +1,7 @@
 """Line dedup: groups, blocks, verification, odd rows."""
 
 import random
+from pathlib import Path
 
 import pytest
 import xxhash
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tests.llm.conftest import PROSE, rows_of
 from tests.llm.test_line_recall import slow_dedup, word_distance
 from veilspan.llm import fuzzy_lines as fl
+from veilspan.llm.common import shared_folder
 
 
 def test_fuzzy_groups(docs_of):
@@ -159,3 +161,40 @@ def test_rare_words_are_worked_out_once(spark):
     apart = spark.createDataFrame([(7, 0, 0)], "block long, id long, component long")
     plan = fl._shared_keys(apart, bodies, bytes(1 << fl.CLASS_BITS))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_distinct") == plan.count("explode(") > 0
+
+
+def test_few_lines_under_a_block_are_compared_by_signs(spark):
+    """Against edit distance over all pairs: none that is alike is lost, and few that are not are left."""
+    draw = random.Random(11)
+    lines = [[f"{'long' * draw.randrange(2)}{draw.randrange(10**6)}" for _ in range(draw.randrange(5, 60))] for _ in range(60)]
+    for words in list(lines):
+        edits = [draw.choice([[], [w, "another"], ["replaced"]]) if draw.random() < 0.15 else [w] for w in words]
+        lines.append(sum(edits, []))
+    rows = [(i, " ".join(w), len(w), i, i) for i, w in enumerate(lines)]
+    table = spark.createDataFrame(rows, "id long, body string, n int, h1 long, h2 long")
+    members = table.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("block"), "id")
+    pairs = [(r.a, r.b) for r in fl._few_pairs(members, fl._marks(table, table)).collect()]
+    limit = lambda x, y: 0.2 * max(len(x), len(y)) + 1e-9
+    alike = {(a, b) for a, x in enumerate(lines) for b, y in enumerate(lines[:a]) if word_distance(x, y) <= limit(x, y)}
+    assert alike and alike <= set(pairs)
+    assert len(pairs) == len(set(pairs)) < 3 * len(alike)
+
+
+def test_links_between_few_lines_are_all_found(spark):
+    """A line whose smallest possible partner is none by its words, and one met through another line only."""
+    words = [f"words{i}" for i in range(10)]
+    changed = lambda k: [*words[:-k], *["new"] * k]
+    lines = [list(reversed(words)), words, changed(2), changed(4), [f"apart{i}" for i in range(10)]]
+    rows = [(i, len(w), i, i, [1], " ".join(w)) for i, w in enumerate(lines)]
+    distinct = spark.createDataFrame(rows, "id long, n int, h1 long, h2 long, blocks array<long>, body string")
+    assert {(r.a, r.b) for r in fl.fuzzy_links(distinct, distinct).collect()} == {(2, 1), (3, 2)}
+
+
+def test_tables_of_lines_go(spark, docs_of):
+    """Nothing that only the work needs takes disk while the result is written."""
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    got = fl.deduplicated_lines(docs_of(PROSE, f"{PROSE} more", "a line of its own words here"))
+    assert sorted(r.text for r in got.collect()) == ["", "a line of its own words here", PROSE]
+    names = ("lines-", "distinct-lines-", "line-blocks-", "line-bodies-")
+    assert not [p.name for p in set(folder.iterdir()) - before if p.name.startswith(names)]

@@ -52,6 +52,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def removed(table: DataFrame) -> None:
+    """Delete a table from ``stored`` that nothing reads any more."""
+    jvm = table.sparkSession.sparkContext._jvm
+    folders = {file.rsplit("/", 1)[0] for file in table.inputFiles()}
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_texts(
     docs: DataFrame,
     columns: list[str],

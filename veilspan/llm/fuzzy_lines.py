@@ -4,10 +4,11 @@ Lines are normalised; equal ones meet by digest. A distinct line of ``MIN_WORDS`
 SimHash blocks: its words in order of their hashes, and from each of some fixed points in that order
 one SimHash of the next three words (every bit as in two of the three hashes). By the pigeonhole
 principle a few edits leave some blocks as they are, so lines meet where they share a block, and
-link if their words are alike by edit distance. Under a block all are compared with a few lines
-first; those that this leaves apart meet all others there that have one of their rarest words, as
-alike lines must, so that no link between lines that share a block is lost. Of each connected group
-of lines the first occurrence stays.
+link if their words are alike by edit distance. Under a block of few lines all are compared with
+each other; under others with a few lines first, and those that this leaves apart meet all others
+there that have one of their rarest words, as alike lines must, so that no link between lines that
+share a block is lost. A parity sign of the words tells most unlike lines apart before their texts
+are looked up. Of each connected group of lines the first occurrence stays.
 
 One SimHash of a whole line does not do: at an edit similarity of 0.8 or more its bits scatter so
 far that two of four blocks of it agree for 29 % of the pairs only.
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
-from .common import cut, stored
+from .common import cut, removed, stored
 from .components import components
 
 #: Bytes of a word that tells lines apart.
@@ -37,14 +38,20 @@ SHORT_LINE, SHORT_BLOCKS = 24, 8
 #: Longest line that one of them can be alike.
 ALIKE_SHORT = 30
 BLOCK_BITS = 44
+#: Lines are compared for so many edits first.
+FIRST_EDITS = 3
 #: So many lines that share a block are sent to where the texts of all lines are; more are joined by a shuffle.
 SENT_LINES = 1 << 20
-#: Times that the lines under a block which are unlike the first are compared with the next, before all the rest are.
+#: Under a block of so many lines each is compared with all others there.
+FEW_LINES = 128
+#: Times that the lines under a larger block which are unlike the first are compared with the next, before all the rest are.
 ROUNDS = 3
 #: Words are ordered by how often those with the same so many bits of the hash occur.
 CLASS_BITS = 16
 #: Numbers of 64 bits in which each word of a line turns over one bit.
 SIGN = 4
+#: Such numbers that every line brings along, of its long words.
+PARITIES = 3
 #: So many lines that share a block and a rare word are compared in one task; more are dealt out.
 DEALT = 1 << 10
 #: Keys that each line brings along, the smallest ones, so that a pair comes out under the first key it shares only.
@@ -74,7 +81,10 @@ def _words(body: Column) -> Column:
 
 
 def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Every line that is not blank: ``LINE``, its body, number of words and SimHash blocks.
+    """Every line that is not blank: its place, digests, body, number of words, SimHash blocks and parity sign.
+
+    Blocks (``b0``, ...) and the numbers of the sign (``s0``, ...) have columns of their own, which
+    an aggregate keeps in place; arrays would be sorted.
 
     A line without letters and digits is its own body, less its blanks. Words and blocks are
     worked out column by column, as what stands within a lambda is interpreted, sorting above all.
@@ -91,15 +101,23 @@ def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     enough = (F.octet_length(body) >= 2 * MIN_WORDS - 1) | (F.octet_length(body) > F.length(body))
     words = F.when(enough, _words(body)).otherwise(F.array(body))
     ordered = rows.filter("body <> ''").select("key", "line_no", "body", _in_order(words).alias("h"))
-    started = ordered.select("key", "line_no", "body", "h", _starts(F.col("h")).alias("starts"))
-    return started.select(
+    placed = ordered.select("key", "line_no", "body", "h", _places(F.col("h")).alias("places"))
+    columns = ["key", "line_no", "body", "h"]
+    worked_out = placed.select(
+        *columns,
+        _parities(F.col("h"), F.col("places")).alias("sign"),
+        _threes(F.col("h"), _starts(F.col("places"))).alias("threes"),
+    )
+    blocks = [*_pairs_of_words(F.col("h")), *[F.get("threes", F.lit(i)) for i in range(BLOCKS)]]
+    return worked_out.select(
         "key",
         "line_no",
         F.xxhash64("body").alias("h1"),
         F.xxhash64(F.lit(1), "body").alias("h2"),
         "body",
         F.size("h").alias("n"),
-        _blocks(F.col("h"), F.col("starts")).alias("blocks"),
+        *[b.alias(f"b{i}") for i, b in enumerate(blocks)],
+        *[F.get("sign", F.lit(i)).alias(f"s{i}") for i in range(PARITIES)],
     )
 
 
@@ -121,34 +139,60 @@ def _in_order(words: Column) -> Column:
 
 def simhash_blocks(words: Column) -> Column:
     """Keys of a line's word blocks; none for lines of fewer than ``MIN_WORDS`` words."""
-    return let(_in_order(words), lambda h: _blocks(h, _starts(h)))
+    return let(
+        _in_order(words),
+        lambda h: F.array_compact(F.concat(F.array(*_pairs_of_words(h)), _threes(h, _starts(_places(h))))),
+    )
 
 
-def _starts(h: Column) -> Column:
-    """Of ordered numbers, the place from which on they are not below each of the fixed points."""
-    points = [-(1 << 63) + k * ((1 << 63) // BLOCKS) for k in range(1, BLOCKS)]
+def _places(h: Column) -> Column:
+    """Of ordered numbers, the places from which on they are not below each of the fixed points, and of short words."""
+    points = [-(1 << 63) + k * ((1 << 63) // BLOCKS) for k in range(1, BLOCKS)] + [0]
     among = F.sort_array(F.concat(h, F.array(*map(F.lit, points))))
-    before = [(F.array_position(among, F.lit(point)) - k).cast("int") for k, point in enumerate(points, 1)]
-    return F.array_distinct(F.array(F.lit(0), *before))
+    return F.array(*[(F.array_position(among, F.lit(point)) - k).cast("int") for k, point in enumerate(points, 1)])
+
+
+def _starts(places: Column) -> Column:
+    return F.array_distinct(F.concat(F.array(F.lit(0)), F.slice(places, 1, BLOCKS - 1)))
+
+
+_BLOCK_MASK = (1 << BLOCK_BITS) - 1
+
+
+def _pairs_of_words(h: Column) -> list[Column]:
+    """Keys of the blocks of two neighbours, null where there are none."""
+    n = F.size(h)
+    own = n.between(MIN_WORDS, ALIKE_SHORT)
+    keys = [F.xxhash64(F.get(h, F.lit(i)), F.get(h, F.lit(i + 1))).bitwiseAND(F.lit(_BLOCK_MASK)) for i in range(SHORT_BLOCKS)]
+    return [F.when(own & (n > i + 1), key) for i, key in enumerate(keys)]
 
 
-def _blocks(h: Column, starts: Column) -> Column:
-    """Keys of the blocks of ordered numbers of words."""
-    mask = F.lit((1 << BLOCK_BITS) - 1)
+def _threes(h: Column, starts: Column) -> Column:
+    """Keys of the blocks of three words."""
 
     def three(i: Column) -> Column:
         a, b, c = (h[(i + j) % F.size(h)] for j in range(3))
         # of a word that occurs twice, two would be all that counts
         most = a.bitwiseAND(b).bitwiseOR(a.bitwiseOR(b).bitwiseAND(c))
-        return F.when((a == b) | (b == c), F.xxhash64(a, b, c)).otherwise(most).bitwiseAND(mask)
+        return F.when((a == b) | (b == c), F.xxhash64(a, b, c)).otherwise(most).bitwiseAND(F.lit(_BLOCK_MASK))
 
-    n = F.size(h)
-    places = F.sequence(F.lit(0), F.least(n - 2, F.lit(SHORT_BLOCKS - 1)))
-    few = F.transform(places, lambda i: F.xxhash64(h[i], h[i + 1]).bitwiseAND(mask))
-    many = F.transform(starts, three)
     none = F.array().cast("array<bigint>")
-    kinds = F.when(n < MIN_WORDS, none).when(n <= SHORT_LINE, few)
-    return kinds.when(n <= ALIKE_SHORT, F.concat(few, many)).otherwise(many)
+    return F.when(F.size(h) > SHORT_LINE, F.transform(starts, three)).otherwise(none)
+
+
+def _parities(h: Column, places: Column) -> Column:
+    """``PARITIES`` numbers in which every long word turns over a bit: an edit changes two bits at most.
+
+    A word's number tells in which of them, as it lies between the same fixed points in all lines.
+    """
+    bounds = [F.lit(0), *[F.get(places, F.lit(BLOCKS * k // PARITIES - 1)) for k in range(1, PARITIES + 1)]]
+
+    def turned(bits: Column, x: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+        return bits.bitwiseXOR(bit)
+
+    own = [F.slice(h, lo + 1, hi - lo) for lo, hi in zip(bounds, bounds[1:])]
+    return F.array(*[F.aggregate(numbers, F.lit(0).cast("long"), turned) for numbers in own])
 
 
 def _place(key: Column, line_no: Column) -> Column:
@@ -184,41 +228,51 @@ def _most(longest: Column) -> Column:
 
 def _near(a: Column, b: Column) -> Column:
     most = _most(F.greatest(F.length(a), F.length(b)))
-    return (F.abs(F.length(a) - F.length(b)) <= most) & (F.call_function("levenshtein", a, b, most) >= 0)
+    within = lambda edits: F.call_function("levenshtein", a, b, edits) >= 0
+    # the time is that of the edits allowed, and most alike lines differ by a few
+    return (F.abs(F.length(a) - F.length(b)) <= most) & (within(F.least(most, F.lit(FIRST_EDITS))) | within(most))
 
 
-def _alike(x: str, y: str, a: str, b: str) -> Column:
-    """Whether the words of bodies ``a`` and ``b``, with symbols ``x`` and ``y``, are alike.
+def _alike(x: str, y: str) -> Column:
+    """Whether the words of lines ``x`` and ``y`` (symbols, codes, body) are alike.
 
     Two words with one symbol can only make lines look more alike; where the lines hold such
     words, symbols are given out anew, by the words' places among those of the two lines.
     """
 
     def exact(w: Column) -> Column:
-        all_words = F.array_distinct(F.concat(w["a"], w["b"]))
-
         def anew(known: Column) -> Column:
             own = [_symbols(F.transform(w[s], lambda v: F.array_position(known, v) % 0xF0000)) for s in ("a", "b")]
-            clear = F.size(F.array_distinct(F.transform(known, _code))) == F.size(known)
-            return clear | _near(*own)
+            return (F.size(F.array_union(f"{x}.codes", f"{y}.codes")) == F.size(known)) | _near(*own)
+
+        return let(F.array_union(w["a"], w["b"]), anew)
+
+    words = F.struct(_words(F.col(f"{x}.body")).alias("a"), _words(F.col(f"{y}.body")).alias("b"))
+    return F.when(_near(F.col(f"{x}.symbols"), F.col(f"{y}.symbols")), let(words, exact)).otherwise(F.lit(False))
 
-        return let(all_words, anew)
 
-    words = F.struct(_words(F.col(a)).alias("a"), _words(F.col(b)).alias("b"))
-    return F.when(_near(F.col(x), F.col(y)), let(words, exact)).otherwise(F.lit(False))
+def _bodies(ids: DataFrame, distinct: DataFrame, lines: DataFrame) -> DataFrame:
+    """``id`` and ``body`` of the lines in ``ids``."""
+    used = cut(ids.select("id").distinct().join(distinct.select("id", "h1", "h2"), "id"))
+    used = F.broadcast(used) if used.count() <= SENT_LINES else used
+    met = lines.select("h1", "h2", "body").join(used, ["h1", "h2"])
+    return met.groupBy("id").agg(F.first("body").alias("body"))
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The alike ones of distinct pairs ``a``, ``b``."""
-    known = bodies.select("id", "body", _symbols(F.col("codes")).alias("symbols"))
-    first = known.select(F.col("id").alias("a"), F.col("symbols").alias("x"), F.col("body").alias("p"))
-    second = known.select(F.col("id").alias("b"), F.col("symbols").alias("y"), F.col("body").alias("q"))
-    met = pairs.join(first, "a").join(second, "b")
-    return cut(met.filter(_alike("x", "y", "p", "q")).select("a", "b"))
+    pairs = cut(pairs)
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= SENT_LINES else ids
+    known = bodies.join(ids, "id", "left_semi").select("id", "body", "codes", _symbols(F.col("codes")).alias("symbols"))
+    known = known.repartition("id")
+    x, y = known.alias("x"), known.alias("y")
+    met = pairs.join(x, F.col("x.id") == F.col("a")).join(y, F.col("y.id") == F.col("b"))
+    return cut(met.filter(_alike("x", "y")).select("a", "b"))
 
 
 def _ends(keyed: DataFrame) -> DataFrame:
-    """``keyed`` (block, id, n) with the smallest and the largest id under the block, and their lengths.
+    """``keyed`` (block, id, n) with the smallest and the largest id under the block, their lengths, and the lines' number.
 
     Blocks of one line are left out.
     """
@@ -226,13 +280,13 @@ def _ends(keyed: DataFrame) -> DataFrame:
     # numbers only, which are summed up in place; structs would be sorted
     ends = dealt.groupBy("block").agg(
         F.min("id").alias("first"), F.min_by("n", "id").alias("first_n"),
-        F.max("id").alias("last"), F.max_by("n", "id").alias("last_n"),
+        F.max("id").alias("last"), F.max_by("n", "id").alias("last_n"), F.count("*").alias("k"),
     ).filter("first < last")
     return dealt.join(ends.hint("shuffle_hash"), "block")
 
 
 def _members(distinct: DataFrame) -> DataFrame:
-    """Lines that share a block with another: ``block``, ``id``, ``n``, and first and last as in ``_ends``."""
+    """Lines that share a block with another: ``block``, ``id``, ``n``, and the rest as in ``_ends``."""
     keyed = distinct.select("id", "n", F.explode_outer("blocks").alias("block")).filter("block IS NOT NULL")
     return stored(_ends(keyed), "line-blocks")
 
@@ -251,6 +305,36 @@ def candidate_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
 
 
+def _marks(distinct: DataFrame, lines: DataFrame) -> DataFrame:
+    """``id``, ``n`` and the numbers of the sign, ``s0``, ..., of lines."""
+    if "s0" in distinct.columns:
+        return distinct.select("id", "n", *[f"s{i}" for i in range(PARITIES)])
+    ordered = _bodies(distinct, distinct, lines).select("id", _in_order(_words(F.col("body"))).alias("h"))
+    signs = ordered.select("id", F.size("h").alias("n"), _parities(F.col("h"), _places(F.col("h"))).alias("sign"))
+    return signs.select("id", "n", *[F.get("sign", F.lit(i)).alias(f"s{i}") for i in range(PARITIES)])
+
+
+def _can_be_alike(x: str, y: str) -> Column:
+    """Whether neither the lengths nor the signs of ``x`` and ``y`` differ by more than alike lines' do."""
+    most = _most(F.greatest(f"{x}.n", f"{y}.n"))
+    bits = [F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(PARITIES)]
+    return (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= most) & (sum(bits[1:], bits[0]) <= 2 * most)
+
+
+def _few_pairs(members: DataFrame, marks: DataFrame) -> DataFrame:
+    """All pairs ``a`` > ``b`` of lines that share a block and can be alike, of blocks of few lines."""
+    dealt = members.select("block", "id").join(marks, "id").repartition("block")
+    fits = (F.col("x.block") == F.col("y.block")) & (F.col("x.id") > F.col("y.id")) & _can_be_alike("x", "y")
+    met = dealt.alias("x").join(dealt.alias("y"), fits)
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def _fitting(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Those of the pairs that can be alike by their signs."""
+    met = pairs.join(marks.alias("x"), F.col("x.id") == F.col("a")).join(marks.alias("y"), F.col("y.id") == F.col("b"))
+    return met.filter(_can_be_alike("x", "y")).select("a", "b")
+
+
 def _not_done(members: DataFrame, links: DataFrame) -> DataFrame:
     """Lines under a block that are alike neither the first nor the last: ``block``, ``id`` and ``n``."""
     inner = members.filter("id <> first AND id <> last")
@@ -262,12 +346,19 @@ def _not_done(members: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
+def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those of the pairs ``a``, ``b`` whose components differ."""
+    own = [labels.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}")) for end in ("a", "b")]
+    met = pairs.join(own[0], "a", "left").join(own[1], "b", "left")
+    return met.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Lines under blocks whose lines are not all connected: ``block``, ``id``, ``n``, ``component``.
 
     Up to three lines under a block have all been compared.
     """
-    labelled = members.select("block", "id", "n").join(components(links, "a", "b"), "id", "left")
+    labelled = members.select("block", "id", "n").join(labels, "id", "left")
     dealt = labelled.withColumn("component", F.coalesce("component", "id")).repartition("block")
     sides = dealt.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k"))
     sides = sides.filter("lo < hi AND k > 3").select("block")
@@ -363,33 +454,49 @@ def _pairs_apart(apart: DataFrame, bodies: DataFrame) -> DataFrame:
 def fuzzy_links(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     """Links (``a`` > ``b``) that connect all alike lines that share a block.
 
-    Under a block, all lines are compared with the smallest and the largest id; those alike one of
-    them are done for then. The others are compared likewise among themselves, ``ROUNDS`` times in
-    all, so that large groups of alike lines cost a few comparisons for each. Of the lines under a
-    block that are not connected by then, each is compared with all others there that can be alike:
-    that share one of its rarest words and of whose words not too many differ.
+    Under a block of up to ``FEW_LINES``, each is compared with all others, by signs; then by words
+    with the smallest that it can be alike, and with others where that leaves the two unconnected.
+    Under a larger one, all
+    are compared with the smallest and the largest id; those alike one of them are done for then.
+    The others are compared likewise among themselves, ``ROUNDS`` times in all, so that large
+    groups of alike lines cost a few comparisons for each. Of the lines under such a block that are
+    not connected by then, each is compared with all others there that can be alike: that share one
+    of its rarest words and of whose words not too many differ.
     """
-    members = members_of_all = _members(distinct)
-    used = cut(members.select("id").distinct().join(distinct.select("id", "h1", "h2"), "id"))
-    used = F.broadcast(used) if used.count() <= SENT_LINES else used
-    met = lines.select("h1", "h2", "body").join(used, ["h1", "h2"]).groupBy("id").agg(F.first("body").alias("body"))
-    coded = met.select("id", "body", _codes(F.col("body")).alias("codes"))
-    bodies = stored(coded, "line-bodies")
-    links = _verified(candidate_pairs(members), bodies)
+    members = _members(distinct)
+    marks = _marks(distinct, lines)
+    few, large = members.filter(F.col("k") <= FEW_LINES), members.filter(F.col("k") > FEW_LINES)
+    # all that is looked up again of lines under large blocks
+    ids = cut(large.select("id").distinct())
+    marked = cut(marks.join(ids, "id"))
+    near, ends = cut(_few_pairs(few, marks)), cut(_fitting(candidate_pairs(large), marked))
+    used = ids.unionByName(near.unionByName(ends).select(F.explode(F.array("a", "b")).alias("id")))
+    bodies = _bodies(used, distinct, lines).select("id", "body", _codes(F.col("body")).alias("codes"))
+    bodies = stored(bodies, "line-bodies")
+    links = _verified(near.groupBy("a").agg(F.min("b").alias("b")).unionByName(ends).distinct(), bodies)
+    rest = large
     for _ in range(1, ROUNDS):
-        members = cut(_ends(_not_done(members, links)))
-        pairs = candidate_pairs(members).join(links, ["a", "b"], "left_anti")
-        links = links.unionByName(_verified(pairs, bodies))
-    apart = _apart(members_of_all, links)
-    return links if apart.isEmpty() else links.unionByName(_verified(_pairs_apart(apart, bodies), bodies))
+        rest = cut(_ends(_not_done(rest, links)))
+        pairs = candidate_pairs(rest).join(links, ["a", "b"], "left_anti")
+        links = links.unionByName(_verified(_fitting(pairs, marked), bodies))
+    labels = components(links, "a", "b")
+    apart, left = _apart(large, labels), _across(near, labels)
+    if not apart.isEmpty():
+        left = left.unionByName(_pairs_apart(apart, bodies.join(ids, "id", "left_semi"))).distinct()
+    links = links.unionByName(_verified(left, bodies))
+    removed(members)
+    removed(bodies)
+    return links
 
 
 def _distinct_lines(lines: DataFrame) -> DataFrame:
     place = _place(F.col("key"), F.col("line_no"))
+    blocks, sign = [f"b{i}" for i in range(SHORT_BLOCKS + BLOCKS)], [f"s{i}" for i in range(PARITIES)]
     distinct = lines.groupBy("h1", "h2").agg(
-        F.min(place).alias("place"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("blocks").alias("blocks")
+        F.min(place).alias("place"), F.count("*").alias("times"), *[F.max(c).alias(c) for c in ["n", *blocks, *sign]]
     )
-    return stored(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
+    rows = distinct.select("h1", "h2", "place", "times", "n", F.array_compact(F.array(*blocks)).alias("blocks"), *sign)
+    return stored(rows.withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
 
 
 def _first_of_groups(distinct: DataFrame, lines: DataFrame) -> DataFrame:
@@ -406,10 +513,15 @@ def _first_of_groups(distinct: DataFrame, lines: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``removed`` (line numbers from 0, in order) of the documents that lose lines."""
     lines = stored(line_table(docs, key, text), "lines")
-    stays = _first_of_groups(_distinct_lines(lines), lines)
+    distinct = _distinct_lines(lines)
+    stays = _first_of_groups(distinct, lines)
     place = _place(F.col("key"), F.col("line_no"))
-    removed = lines.select("key", "line_no", "h1", "h2").join(stays, ["h1", "h2"]).filter(place != F.col("kept"))
-    return cut(removed.groupBy(F.col("key").alias(key)).agg(F.array_sort(F.collect_set("line_no")).alias("removed")))
+    again = lines.select("key", "line_no", "h1", "h2").join(stays, ["h1", "h2"]).filter(place != F.col("kept"))
+    gone = cut(again.groupBy(F.col("key").alias(key)).agg(F.array_sort(F.collect_set("line_no")).alias("removed")))
+    # the result needs neither; they would take disk while all texts are shuffled
+    removed(lines)
+    removed(distinct)
+    return gone
 
 
 def _with_removed(docs: DataFrame, key: str, text: str) -> DataFrame:

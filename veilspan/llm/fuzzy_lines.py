@@ -43,7 +43,7 @@ FIRST_EDITS = 3
 #: So many lines that share a block are sent to where the texts of all lines are; more are joined by a shuffle.
 SENT_LINES = 1 << 20
 #: Under a block of so many lines each is compared with all others there.
-FEW_LINES = 128
+FEW_LINES = 16
 #: Times that the lines under a larger block which are unlike the first are compared with the next, before all the rest are.
 ROUNDS = 3
 #: Words are ordered by how often those with the same so many bits of the hash occur.
